@@ -1 +1,9 @@
 """Registered queries with their SQL equivalents."""
+
+
+def all_queries():
+    """Import every section and return (queries, oracles)."""
+    from checks import registry
+    from checks import generators  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLES

@@ -78,3 +78,13 @@ def clamp(c: Column, low=None, high=None) -> Column:
     if high is not None:
         out = F.least(out, F.lit(high))
     return F.when(c.isNotNull(), out)
+
+
+def first_match(arms: Iterable[tuple[Column, Column]], default: Column | None = None) -> Column:
+    """Value of the first arm whose test holds."""
+    chain = None
+    for test, value in arms:
+        chain = (F if chain is None else chain).when(test, value)
+    if chain is None:
+        return F.lit(None) if default is None else default
+    return chain if default is None else chain.otherwise(default)

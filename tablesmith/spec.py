@@ -37,6 +37,9 @@ FORMULA_FUNCTIONS = {"round", "min", "max", "abs"}
 # Parameters whose value is the name of another column.
 REFERENCE_PARAMS = ("source_field", "base_field", "hi_field", "add_seconds_field", "segment_field", "field")
 
+# Generators that are fixed combinations of others: name -> {"gen": ..., "params": ...}.
+COMPOSITES: dict[str, dict] = {}
+
 
 def names_in(text: str | None) -> set[str]:
     """Column names an expression string refers to."""
@@ -64,6 +67,12 @@ class ColumnSpec:
         """Declared dependencies plus the columns named by parameters and the formula."""
         found = set(self.depends_on) | names_in(self.formula)
         found |= _param_inputs(self.params)
+        if self.gen == "tx_id":
+            found.add("event_timestamp")
+        if self.gen == "segment_range":
+            found.add(self.params.get("segment_field", "subscriber_segment"))
+        if self.gen in COMPOSITES:
+            found |= _param_inputs(COMPOSITES[self.gen]["params"])
         return found - {self.name}
 
 
