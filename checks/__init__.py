@@ -1,9 +1,14 @@
 """Registered queries with their SQL equivalents."""
 
+from importlib import import_module
+
+SECTIONS = ["generators", "suppression", "composition", "predicates"]
+
 
 def all_queries():
     """Import every section and return (queries, oracles)."""
     from checks import registry
-    from checks import generators  # noqa: F401
 
+    for section in SECTIONS:
+        import_module(f"checks.{section}")
     return registry.QUERIES, registry.ORACLES
