@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["generators", "suppression", "composition", "predicates"]
+SECTIONS = ["generators", "suppression", "composition", "predicates", "edges"]
 
 
 def all_queries():
