@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["generators", "suppression", "composition", "predicates", "edges"]
+SECTIONS = ["generators", "suppression", "composition", "predicates", "edges", "repairs"]
 
 
 def all_queries():
