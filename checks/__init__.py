@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["generators", "suppression", "composition", "predicates", "edges", "repairs"]
+SECTIONS = ["generators", "suppression", "composition", "predicates", "edges", "repairs", "tables", "jobs"]
 
 
 def all_queries():

@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL and compare whole results.
 
-    python -m checks.compare [sf_dir] [name prefix ...]
+    python -m checks.compare [sf_dir] [name prefix or section: ...]
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def main() -> int:
     con, bad = connect(sf_dir), 0
     queries, oracles = all_queries()
     for name, run in queries.items():
-        if prefixes and not name.startswith(prefixes):
+        if prefixes and not (name.startswith(prefixes) or f"{run.__module__.split('.')[-1]}:" in prefixes):
             continue
         try:
             ok, note = compare(spark, con, name, run, oracles.get(name), sf_dir)
