@@ -31,7 +31,11 @@ TIMED = [
 
 def bulk_jobs() -> dict:
     """The same jobs with the draws meant for bulk work, on the largest table as keys."""
-    lines = lambda spark, sf: registry.table(spark, sf, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS unit")
+    def lines(spark, sf):
+        # One input file is one task; spread the bare keys over the cores before generating wide rows.
+        keys = registry.table(spark, sf, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS unit")
+        return keys.repartition(spark.sparkContext.defaultParallelism)
+
     return {
         "bulk_catalog": lambda spark, sf: synthesize(lines(spark, sf), "unit", low_balance_catalog(), FAST),
         "bulk_suppression": lambda spark, sf: synthesize(lines(spark, sf), "unit", suppression_catalog(), FAST),

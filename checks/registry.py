@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tablesmith.operators.synthesize import Settings
+from tablesmith.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = run
+        QUERIES[name] = wraps(run)(lambda spark, sf_dir: run(tune(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return run

@@ -12,10 +12,12 @@ broadcast list of hot keys has at most table rows / ``hot_rows`` entries.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablesmith.functions import values as V
 
 HOT_ROWS = 4_000_000
 CHUNK_ROWS = 1_000_000
@@ -56,51 +58,64 @@ class Running:
         return F.when(before.isNull(), here).otherwise(before + F.coalesce(here, F.lit(0)))
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Keys with more than hot_rows rows: counts are combined before the shuffle, few keys remain."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return counts.filter(F.col("__rows") > hot_rows)
+# Stand-ins for null keys by type; a flag column keeps them apart from real values.
+BLANKS = ((T.StringType, ""), (T.BooleanType, False), (V.NUMERIC, 0), ((T.TimestampType, T.TimestampNTZType, T.DateType), "1970-01-01"))
+
 
+def whole_div(c: Column, n: int) -> Column:
+    """Floor division of whole numbers, exact at any size."""
+    return F.call_function("div", c - F.pmod(c, F.lit(n)), F.lit(n))
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
+def with_group_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add non-null copies of the keys, so grouping, windows and joins share one partitioning and null is a key too."""
+    added = {}
+    for k in keys:
+        dtype = df.schema[k].dataType
+        blank = next((b for kind, b in BLANKS if isinstance(dtype, kind)), None)
+        if blank is None:
+            raise ValueError(f"column {k!r} of type {dtype.simpleString()} cannot be a key")
+        added[f"__key_{k}"] = F.coalesce(F.col(k), F.lit(blank).cast(dtype))
+    added["__nulls"] = F.concat(*[F.when(F.col(k).isNull(), "1").otherwise("0") for k in keys])
+    return df.withColumns(added), list(added)
 
-def flag_hot(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    hot = F.broadcast(hot_keys(df, keys, hot_rows).select(*keys, F.lit(True).alias("__hot"))).alias("h")
-    left = df.alias("d")
-    on = reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys])
-    return left.join(hot, on, "left").select("d.*", F.coalesce(F.col("h.__hot"), F.lit(False)).alias("__hot"))
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Keys with more than hot_rows rows and their row counts. Counts are combined before the shuffle; at most
+    table rows / hot_rows keys remain, which is what bounds the broadcasts below."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return counts.filter(F.col("__rows") > hot_rows)
 
 
 def running(df: DataFrame, keys: list[str], order: str, values: dict[str, Running], hot_rows: int = HOT_ROWS,
             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add running values over each key in arrival order, current row included."""
-    at = F.col(order)
-    chunked = flag_hot(df, keys, hot_rows).withColumn(
-        "__chunk", F.when(F.col("__hot"), F.floor(at / chunk_rows)).otherwise(0).cast("bigint"))
+    """Add running values over each key in arrival order, current row included. Null is a key like any other."""
+    keyed, group = with_group_keys(df, keys)
+    at, parts = F.col(order), [*group, "__chunk"]
+    hot = hot_keys(keyed, group, hot_rows)
+    chunk = F.when(F.col("__rows").isNotNull(), whole_div(at, chunk_rows)).otherwise(0)
+    chunked = keyed.join(F.broadcast(hot), group, "left").withColumn("__chunk", chunk.cast("bigint"))
 
-    totals = chunked.filter("__hot").groupBy(*keys, "__chunk").agg(*[v.total(at).alias(n) for n, v in values.items()])
-    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "__chunk", *[v.carry(F.col(n), earlier).alias(f"__{n}") for n, v in values.items()])
+    totals = chunked.filter("__rows IS NOT NULL").groupBy(*parts).agg(*[v.total(at).alias(f"__{n}") for n, v in values.items()])
+    earlier = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*parts, *[v.carry(F.col(f"__{n}"), earlier).alias(f"__before_{n}") for n, v in values.items()])
 
-    within = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = chunked.select("*", *[v.scan(within).alias(n) for n, v in values.items()]).drop("__hot").alias("d")
-    on = reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    joined = here.join(before.alias("b"), on & (F.col("d.__chunk") == F.col("b.__chunk")), "left")
-    return joined.select(*[F.col(f"d.{c}") for c in df.columns],
-                         *[v.join(F.col(f"b.__{n}"), F.col(f"d.{n}")).alias(n) for n, v in values.items()])
+    within = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = chunked.select(*df.columns, *parts, *[v.scan(within).alias(f"__here_{n}") for n, v in values.items()])
+    joined = here.join(before, parts, "left")
+    return joined.select(*df.columns, *[v.join(F.col(f"__before_{n}"), F.col(f"__here_{n}")).alias(n) for n, v in values.items()])
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "left",
-                hot_rows: int = HOT_ROWS, salts: int = 64) -> DataFrame:
-    """Join to a table with one row per key; rows of a hot left key are spread over salted copies of its match."""
-    hot = hot_keys(left, keys, hot_rows).select(*keys, F.lit(salts).alias("__salts"))
-    fanned = right.join(F.broadcast(hot), keys, "left").select(
-        *right.columns, F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("__salt"))
-    salted = left.join(F.broadcast(hot), keys, "left").select(
-        *left.columns, F.coalesce(F.pmod(F.xxhash64(spread), "__salts"), F.lit(0)).cast("int").alias("__salt"))
-    return salted.join(fanned, [*keys, "__salt"], how).drop("__salt")
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join to a table with one row per key. Rows of a hot left key are spread over copies of its match, one copy
+    per hot_rows rows, so no task gets more than about that many rows of one key."""
+    hot = hot_keys(left.select(*keys), keys, hot_rows).select(*keys, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__copies"))
+    copies = F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)
+    fanned = right.join(F.broadcast(hot), keys, "left").select(*right.columns, F.explode(copies).alias("__copy"))
+    copy = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__copies")), F.lit(0)).cast("int")
+    salted = left.join(F.broadcast(hot), keys, "left").select(*left.columns, copy.alias("__copy"))
+    return salted.join(fanned, [*keys, "__copy"], how).drop("__copy")
 
 
 def dense_index(df: DataFrame, key: str, name: str = "index", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -109,15 +124,14 @@ def dense_index(df: DataFrame, key: str, name: str = "index", chunk_rows: int =
     Rows are ranked inside chunks of the key range; chunk offsets are summed in two steps, so the last
     step sees one row per million chunks.
     """
-    chunked = df.withColumn("__chunk", F.floor(F.col(key) / chunk_rows).cast("bigint"))
-    sizes = chunked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.withColumn("__block", F.floor(F.col("__chunk") / 1_000_000).cast("bigint"))
+    chunked = df.withColumn("__chunk", whole_div(F.col(key), chunk_rows))
+    sizes = chunked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", whole_div(F.col("__chunk"), 1_000_000))
+    above = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = sizes.groupBy("__block").agg(F.sum("__n").alias("__bn"))
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("__block", F.coalesce(
-        F.sum("__bn").over(upto(Window.partitionBy(F.lit(0)).orderBy("__block"))), F.lit(0)).alias("__base"))
-    offsets = sizes.join(blocks, "__block").select("__chunk", (F.col("__base") + F.coalesce(
-        F.sum("__n").over(upto(Window.partitionBy("__block").orderBy("__chunk"))), F.lit(0))).alias("__offset"))
+    bases = F.sum("__bn").over(above(Window.partitionBy(F.lit(0)).orderBy("__block")))
+    blocks = blocks.select("__block", F.coalesce(bases, F.lit(0)).alias("__base"))
+    inside = F.sum("__n").over(above(Window.partitionBy("__block").orderBy("__chunk")))
+    offsets = sizes.join(blocks, "__block").select("__chunk", (F.col("__base") + F.coalesce(inside, F.lit(0))).alias("__offset"))
     rank = F.row_number().over(Window.partitionBy("__chunk").orderBy(key)) - 1
     return chunked.withColumn("__rank", rank).join(offsets, "__chunk").select(
         *df.columns, (F.col("__offset") + F.col("__rank")).alias(name))

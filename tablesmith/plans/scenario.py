@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.functions import values as V
 from tablesmith.functions.profiles import Profile
 from tablesmith.operators import edgecases as E
 from tablesmith.operators import journeys as J
@@ -21,36 +22,43 @@ def generate_records(df: DataFrame, key: str, spec: Spec, settings: Settings, to
     return E.plant(E.synthesize_normal(df, key, spec, settings), key, spec, settings, total, index)
 
 
-def event_attempt(rows: DataFrame, key: str, spec: Spec, settings: Settings) -> DataFrame:
-    """Event rows with the first attempt that meets no edge case in column __attempt."""
+def structural_rows(stable: DataFrame, key: str, spec: Spec, settings: Settings) -> DataFrame:
+    """One narrow row per event of every entity: entity columns, metadata, and a unique whole row_id in
+    (entity, event, occurrence) order, used as arrival order."""
+    base_time = F.col("event_timestamp") if "event_timestamp" in stable.columns else None
+    rows = J.fan_out(stable, key, spec.events, settings)
+    events = sorted((e.clamped() for e in spec.events), key=lambda e: (e.sequence, e.event_type))
+    before = [sum(e.max_occurrences for e in events[:i]) for i in range(len(events) + 1)]
+    slot = V.first_match([(F.col("event_type") == e.event_type, F.lit(n)) for e, n in zip(events, before)])
+    rows = rows.withColumn("row_id", F.col(key) * before[-1] + slot + F.col("event_occurrence") - 1)
+    return J.with_metadata(rows.drop("transaction_id"), key, settings, base_time).withColumn("__record", J.record_key(key))
+
+
+def with_event_columns(rows: DataFrame, stable: list[str], spec: Spec, settings: Settings) -> DataFrame:
+    """Generate the events' own columns, on the first attempt that meets no edge case."""
     if not spec.edge_cases or spec.edge_fraction <= 0:
-        return rows.withColumn("__attempt", F.lit(0))
-    return rows.withColumn("__attempt", E.normal_attempt(rows, "__record", spec, settings))
+        return J.own_columns(rows, stable, spec, settings)
+    numbered = rows.withColumn("__attempt", E.normal_attempt(rows, "__record", spec, settings))
+    return J.own_columns(numbered, stable, spec, settings, F.col("__attempt")).drop("__attempt")
 
 
 def generate_journeys(df: DataFrame, key: str, spec: Spec, settings: Settings, entities: int | None = None) -> DataFrame:
-    """Event histories for a keyed table.
+    """Event histories for a table with a whole-number key.
 
     The share of edge cases is a share of entities; that many event rows are picked among the rows able to carry one.
-    Adds row_id, unique and increasing with (entity, event, occurrence), used as arrival order.
+    Columns are pure functions of the keys, so the picks are joined to the narrow structural rows and the wide
+    columns are generated after that join: wide rows are never shuffled.
     """
     stable = J.entity_table(df.select(key), key, spec, settings)
-    base_time = F.col("event_timestamp") if "event_timestamp" in stable.columns else None
-    rows = J.fan_out(stable, key, spec.events, settings)
-    slots = sum(e.clamped().max_occurrences for e in spec.events)
-    first, before = [], 0
-    for e in sorted((e.clamped() for e in spec.events), key=lambda e: (e.sequence, e.event_type)):
-        first.append((F.col("event_type") == e.event_type, F.lit(before)))
-        before += e.max_occurrences
-    slot = Q.V.first_match(first) + F.col("event_occurrence") - 1
-    rows = rows.withColumn("row_id", F.col(key) * slots + slot)
-    rows = J.with_metadata(rows.drop("transaction_id"), key, settings, base_time).withColumn("__record", J.record_key(key))
-    rows = event_attempt(rows, key, spec, settings)
-    made = J.own_columns(rows, stable.columns, spec, settings, F.col("__attempt")).drop("__attempt")
+    rows = structural_rows(stable, key, spec, settings)
     target = E.edge_count(df.count() if entities is None else entities, spec.edge_fraction) if spec.edge_cases else 0
     if target == 0:
-        return made.drop("__record").withColumns({"edge_case_name": F.lit(None).cast("string"), "is_edge_case": F.lit(False)})
-    return E.plant_among_eligible(made, "__record", spec, settings, target, "row_id").drop("__record")
+        made = with_event_columns(rows, stable.columns, spec, settings).drop("__record")
+        return made.withColumns({"edge_case_name": F.lit(None).cast("string"), "is_edge_case": F.lit(False)})
+    able = with_event_columns(rows, stable.columns, spec, settings)
+    picked = E.pick_eligible(able, "__record", spec, settings, target, "row_id")
+    made = with_event_columns(rows.join(picked, "row_id", "left"), stable.columns, spec, settings)
+    return E.apply_cases(made, spec, settings, "__record").drop("__record")
 
 
 @dataclass(frozen=True)

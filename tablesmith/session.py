@@ -8,16 +8,28 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+# Settings that matter for wide generated rows and for skew; all may be changed on a running session.
+TUNING = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles a method above 8000 bytes of bytecode. A wide row can exceed that in one
+    # whole-stage method, which then runs interpreted; below the limit Spark splits the work into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session made elsewhere."""
+    for name, value in TUNING.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def build_session(app: str = "tablesmith", **options: str) -> SparkSession:
     """A session in UTC with adaptive execution; sizes stay with the cluster unless given."""
     builder = SparkSession.builder.appName(app)
-    defaults = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-    }
-    for name, value in {**defaults, **options}.items():
+    for name, value in {**TUNING, "spark.sql.execution.arrow.pyspark.enabled": "true", **options}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
