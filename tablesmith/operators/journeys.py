@@ -53,23 +53,24 @@ def fan_out(entities: DataFrame, key: str, events: tuple[EventSpec, ...], settin
         rows = rows.select(*entities.columns, "__kind.event_type", "__kind.event_sequence", "event_occurrence")
         return rows if not clock else _clock_by_window(rows, key, ordered, settings)
 
-    def timed(e: EventSpec) -> Column:
-        steps = F.sequence(F.lit(1), occurrences(e, settings, at).cast("int"))
-        return F.transform(steps, lambda i: F.struct(
+    counts = [occurrences(e, settings, at).cast("int") for e in ordered]
+    counted = entities.withColumns({f"__n{i}": n for i, n in enumerate(counts)})
+    gaps = F.concat(*[_gaps(e, settings, at, F.col(f"__n{i}")) for i, e in enumerate(ordered)])
+    sums = F.aggregate(gaps, F.array().cast("array<bigint>"), lambda done, g: F.concat(
+        done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + g)))
+    rows = counted.select("*", F.posexplode(sums).alias("__at", "elapsed_seconds"))
+    arms, start = [], F.lit(0)
+    for i, e in enumerate(ordered):
+        end = start + F.col(f"__n{i}")
+        arms.append((F.col("__at") < end, F.struct(
             F.lit(e.event_type).alias("event_type"), F.lit(e.sequence).alias("event_sequence"),
-            i.alias("event_occurrence"), gap(e, settings, at, i).alias("elapsed_seconds")))
+            (F.col("__at") - start + 1).alias("event_occurrence"))))
+        start = end
+    return rows.withColumn("__slot", V.first_match(arms)).select(*entities.columns, "__slot.*", "elapsed_seconds")
 
-    slots = F.concat(*[timed(e) for e in ordered])
-    empty = F.array().cast("array<struct<event_type:string,event_sequence:int,event_occurrence:int,elapsed_seconds:bigint>>")
 
-    def tick(done: Column, slot: Column) -> Column:
-        before = F.coalesce(F.try_element_at(done, F.lit(-1))["elapsed_seconds"], F.lit(0))
-        return F.concat(done, F.array(F.struct(
-            slot["event_type"].alias("event_type"), slot["event_sequence"].alias("event_sequence"),
-            slot["event_occurrence"].alias("event_occurrence"), (before + slot["elapsed_seconds"]).alias("elapsed_seconds"))))
-
-    rows = entities.withColumn("__slot", F.explode(F.aggregate(slots, empty, tick)))
-    return rows.select(*entities.columns, "__slot.*")
+def _gaps(event: EventSpec, settings: Settings, key: Column, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), n), lambda i: gap(event, settings, key, i))
 
 
 def _clock_by_window(rows: DataFrame, key: str, events: list[EventSpec], settings: Settings) -> DataFrame:

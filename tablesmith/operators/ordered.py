@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.functions import values as V
+from tablesmith.session import saved
 
 HOT_ROWS = 4_000_000
 CHUNK_ROWS = 1_000_000
@@ -118,14 +119,22 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str,
     return salted.join(fanned, [*keys, "__copy"], how).drop("__copy")
 
 
-def dense_index(df: DataFrame, key: str, name: str = "index", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def chunk_sizes(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows per chunk of a whole-number key, one row per chunk, kept in the shared folder so that it is counted once."""
+    return saved(df.groupBy(whole_div(F.col(key), chunk_rows).alias("__chunk")).agg(F.count(F.lit(1)).alias("__n")))
+
+
+def total_rows(sizes: DataFrame) -> int:
+    return sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first().n
+
+
+def dense_index(df: DataFrame, key: str, name: str = "index", chunk_rows: int = CHUNK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Number rows 0, 1, ... in order of a unique whole-number key, without a global window.
 
     Rows are ranked inside chunks of the key range; chunk offsets are summed in two steps, so the last
     step sees one row per million chunks.
     """
-    chunked = df.withColumn("__chunk", whole_div(F.col(key), chunk_rows))
-    sizes = chunked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", whole_div(F.col("__chunk"), 1_000_000))
+    sizes = (chunk_sizes(df, key, chunk_rows) if sizes is None else sizes).withColumn("__block", whole_div(F.col("__chunk"), 1_000_000))
     above = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = sizes.groupBy("__block").agg(F.sum("__n").alias("__bn"))
     bases = F.sum("__bn").over(above(Window.partitionBy(F.lit(0)).orderBy("__block")))
@@ -133,5 +142,5 @@ def dense_index(df: DataFrame, key: str, name: str = "index", chunk_rows: int =
     inside = F.sum("__n").over(above(Window.partitionBy("__block").orderBy("__chunk")))
     offsets = sizes.join(blocks, "__block").select("__chunk", (F.col("__base") + F.coalesce(inside, F.lit(0))).alias("__offset"))
     rank = F.row_number().over(Window.partitionBy("__chunk").orderBy(key)) - 1
-    return chunked.withColumn("__rank", rank).join(offsets, "__chunk").select(
-        *df.columns, (F.col("__offset") + F.col("__rank")).alias(name))
+    ranked = df.withColumn("__chunk", whole_div(F.col(key), chunk_rows)).withColumn("__rank", rank)
+    return ranked.join(offsets, "__chunk").select(*df.columns, (F.col("__offset") + F.col("__rank")).alias(name))

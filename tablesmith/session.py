@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Settings that matter for wide generated rows and for skew; all may be changed on a running session.
@@ -41,3 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = Path(tempfile.mkdtemp(prefix="run-", dir="/tmp")).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write a small intermediate table to the shared folder and read it back: computed once, safe against lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tablesmith-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
