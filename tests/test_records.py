@@ -1,5 +1,6 @@
 """Journeys, repairs, views, change sets, definition files and streams."""
 
+import uuid
 from datetime import datetime
 
 import pytest
@@ -248,6 +249,7 @@ def test_stream_gives_the_same_rows_as_the_batch(spark, tmp_path):
     stream = spark.readStream.schema("id long, n string, w string").parquet(source)
     with pytest.raises(ValueError, match="whole histories"):
         repair_stream(stream, spec, SET, Validation(journeys=True))
-    write_stream(repair_stream(stream, spec, SET), str(tmp_path / "out"), "records", continuous=False).awaitTermination(120)
+    name = f"records-{uuid.uuid4().hex}"
+    write_stream(repair_stream(stream, spec, SET), str(tmp_path / "out"), name, continuous=False).awaitTermination(120)
     want = validate(spark.read.parquet(source), spec, SET)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*want.columns).collect())) == sorted(map(str, want.collect()))
