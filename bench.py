@@ -1,6 +1,7 @@
 """Time the headline jobs. Prints one JSON line.
 
-BENCH_SF_DIR names the data folder and BENCH_CPUS the local cores.
+Each job runs twice over whole tables into a sink that discards rows: ``queries`` holds the second run, ``first_run``
+the one that also pays for compiling the plan. BENCH_SF_DIR names the data folder and BENCH_CPUS the local cores.
 """
 
 from __future__ import annotations
@@ -56,13 +57,14 @@ def main() -> None:
     if only := os.environ.get("BENCH_ONLY"):
         work = {n: run for n, run in work.items() if n in only.split(",")}
     registry.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").count().write.format("noop").mode("overwrite").save()
-    seconds = {}
+    first, seconds = {}, {}
     for name, run in work.items():
-        began = time.perf_counter()
-        run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - began, 3)
+        for taken in (first, seconds):
+            began = time.perf_counter()
+            run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            taken[name] = round(time.perf_counter() - began, 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-                      "sf": sf_dir.rstrip("/").split("sf")[-1]}))
+                      "first_run": first, "sf": sf_dir.rstrip("/").split("sf")[-1]}))
     spark.stop()
 
 
