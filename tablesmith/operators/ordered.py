@@ -12,6 +12,7 @@ broadcast list of hot keys has at most table rows / ``hot_rows`` entries.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +69,11 @@ def whole_div(c: Column, n: int) -> Column:
     return F.call_function("div", c - F.pmod(c, F.lit(n)), F.lit(n))
 
 
+def check_order(df: DataFrame, order: str) -> None:
+    if not isinstance(df.schema[order].dataType, V.INTEGRAL):
+        raise ValueError(f"order column {order!r} must hold unique whole numbers")
+
+
 def with_group_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     """Add non-null copies of the keys, so grouping, windows and joins share one partitioning and null is a key too."""
     added = {}
@@ -91,6 +97,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 def running(df: DataFrame, keys: list[str], order: str, values: dict[str, Running], hot_rows: int = HOT_ROWS,
             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add running values over each key in arrival order, current row included. Null is a key like any other."""
+    check_order(df, order)
     keyed, group = with_group_keys(df, keys)
     at, parts = F.col(order), [*group, "__chunk"]
     hot = hot_keys(keyed, group, hot_rows)
@@ -110,11 +117,13 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, Runnin
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "left",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join to a table with one row per key. Rows of a hot left key are spread over copies of its match, one copy
-    per hot_rows rows, so no task gets more than about that many rows of one key."""
+    per hot_rows rows, so no task gets more than about that many rows of one key. Null keys match nothing and are spread too."""
     hot = hot_keys(left.select(*keys), keys, hot_rows).select(*keys, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__copies"))
     copies = F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)
     fanned = right.join(F.broadcast(hot), keys, "left").select(*right.columns, F.explode(copies).alias("__copy"))
-    copy = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__copies")), F.lit(0)).cast("int")
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    copies_of = F.when(missing, 1 << 20).otherwise(F.coalesce("__copies", F.lit(1)))
+    copy = F.pmod(F.xxhash64(spread), copies_of).cast("int")
     salted = left.join(F.broadcast(hot), keys, "left").select(*left.columns, copy.alias("__copy"))
     return salted.join(fanned, [*keys, "__copy"], how).drop("__copy")
 
@@ -142,5 +151,6 @@ def dense_index(df: DataFrame, key: str, name: str = "index", chunk_rows: int =
     inside = F.sum("__n").over(above(Window.partitionBy("__block").orderBy("__chunk")))
     offsets = sizes.join(blocks, "__block").select("__chunk", (F.col("__base") + F.coalesce(inside, F.lit(0))).alias("__offset"))
     rank = F.row_number().over(Window.partitionBy("__chunk").orderBy(key)) - 1
+    check_order(df, key)
     ranked = df.withColumn("__chunk", whole_div(F.col(key), chunk_rows)).withColumn("__rank", rank)
     return ranked.join(offsets, "__chunk").select(*df.columns, (F.col("__offset") + F.col("__rank")).alias(name))

@@ -38,6 +38,7 @@ def latest_k(df: DataFrame, keys: list[str], order: str, k: int = LATEST) -> Dat
 
 def latest_entities(df: DataFrame, entity: str, order: str, k: int = LATEST) -> DataFrame:
     """Rows of the k entities that appeared last (by first row)."""
+    df = keyed_rows(df, entity)
     newest = df.groupBy(entity).agg(F.min(order).alias("__first")).orderBy(F.col("__first").desc()).limit(k)
     return df.join(F.broadcast(newest.select(entity)), entity, "left_semi")
 
@@ -66,15 +67,16 @@ def nest(df: DataFrame, entity: str, events: tuple[EventSpec, ...], order: str,
     Counts and identity are map-side combined aggregates and the records are cut to k per event before any grouping,
     so documents stay small however many rows an entity has. Unknown events follow in order of first appearance.
     """
-    df = keyed_rows(df, entity)
-    records = [c for c in df.columns]
-    counts = df.groupBy(entity, "event_type").agg(F.count(F.lit(1)).alias("totalCount"), F.min(order).alias("__first"))
-    recent = latest_k(df, [entity, "event_type"], order, k)
-    per_event = recent.groupBy(entity, "event_type").agg(F.array_sort(F.collect_list(
+    records, group = df.columns, [entity, "__kind"]
+    kind = F.coalesce(F.nullif(F.col("event_type"), F.lit("")), F.lit("BUSINESS_EVENT"))
+    df = keyed_rows(df, entity).withColumn("__kind", kind)
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("totalCount"), F.min(order).alias("__first"))
+    recent = latest_k(df, group, order, k)
+    per_event = recent.groupBy(*group).agg(F.array_sort(F.collect_list(
         F.struct(F.col(order).alias("__order"), F.struct(*records).alias("record")))).alias("__records"))
-    blocks = per_event.join(counts, [entity, "event_type"]).select(entity, F.struct(
-        event_rank(events, F.col("event_type")).alias("__rank"), F.col("__first"), F.struct(
-            "event_type", "totalCount", F.transform("__records", lambda r: r["record"]).alias("records")).alias("event")).alias("__block"))
+    blocks = per_event.join(counts, group).select(entity, F.struct(
+        event_rank(events, F.col("__kind")).alias("__rank"), F.col("__first"), F.struct(
+            F.col("__kind").alias("event_type"), "totalCount", F.transform("__records", lambda r: r["record"]).alias("records")).alias("event")).alias("__block"))
     documents = blocks.groupBy(entity).agg(
         F.transform(F.array_sort(F.collect_list("__block")), lambda b: b["event"]).alias("events"))
     names = [c for c in (IDENTITY if identity is None else identity) if c in df.columns and c != entity]
@@ -86,8 +88,7 @@ def nest(df: DataFrame, entity: str, events: tuple[EventSpec, ...], order: str,
 def renumber(df: DataFrame, group: list[str], order: str, name: str = "sequence", hot_rows: int = HOT_ROWS,
              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number rows 1..N inside each group by a unique whole-number order."""
-    return running(df, group, order, {name: Running("count")}, hot_rows, chunk_rows) if name not in df.columns else running(
-        df.drop(name), group, order, {name: Running("count")}, hot_rows, chunk_rows)
+    return running(df.drop(name), group, order, {name: Running("count")}, hot_rows, chunk_rows)
 
 
 def totals(df: DataFrame, entity: str) -> DataFrame:

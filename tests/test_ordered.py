@@ -56,3 +56,9 @@ def test_running_plan_shuffles_the_wide_table_once(spark):
     df = spark.range(100).selectExpr("id AS at", "id % 5 AS k", "id AS v", "cast(id as string) AS wide")
     plan = running(df, ["k"], "at", {"top": Running("max", F.col("v"))})._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_order_columns_must_be_whole_numbers(spark):
+    df = spark.createDataFrame([(1.5, "a")], "at double, k string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        running(df, ["k"], "at", {"n": Running("count")})

@@ -132,13 +132,14 @@ def test_coercions_follow_the_word_lists(spark):
 
 
 def test_documents_keep_definition_order_and_the_newest_records(spark):
-    rows = [(i, "a" if i % 3 else "b", ["Z", "CLICK", "VIEW"][i % 3], f"+1{i}") for i in range(90)] + [(900, None, "VIEW", ""), (901, "", "VIEW", "")]
+    rows = [(i, "a" if i % 3 else "b", ["Z", "CLICK", "VIEW"][i % 3], f"+1{i}") for i in range(90)]
+    rows += [(900, None, "VIEW", ""), (901, "", "VIEW", ""), (-2, "b", None, ""), (-1, "b", "", "")]
     df = spark.createDataFrame(rows, "at long, subscriber_id string, event_type string, phone_number string")
     docs = {d.subscriber_id: d for d in W.nest(df, "subscriber_id", (EventSpec("VIEW", 1), EventSpec("CLICK", 2)), "at", k=4).collect()}
     assert set(docs) == {"a", "b"} and docs["a"].phone_number == "+189"
     assert [(e.event_type, e.totalCount) for e in docs["a"].events] == [("VIEW", 30), ("CLICK", 30)]
     assert [r["at"] for r in docs["a"].events[0].records] == [80, 83, 86, 89]
-    assert [(e.event_type, e.totalCount) for e in docs["b"].events] == [("Z", 30)]
+    assert [(e.event_type, e.totalCount) for e in docs["b"].events] == [("BUSINESS_EVENT", 2), ("Z", 30)]
 
 
 def test_latest_k_is_cut_before_the_shuffle(spark):
