@@ -68,21 +68,29 @@ def _given(c: Column, dtype: T.DataType) -> Column:
     return ~is_placeholder(c) if isinstance(dtype, T.StringType) else c.isNotNull()
 
 
+def _value(f: T.StructField, have: set[str]) -> Column:
+    """A change's value for a column of the base table; blank or absent is null."""
+    if f.name not in have:
+        return F.lit(None).cast(f.dataType)
+    c = F.col(f.name).cast(f.dataType)
+    return F.when(_given(c, f.dataType), c)
+
+
 def apply_changes(base: DataFrame, key: str, deletes: DataFrame | None = None, edits: DataFrame | None = None,
                   adds: DataFrame | None = None, seq: str | None = None) -> DataFrame:
     """Delete, then edit, then add rows by a unique key.
 
-    Edits of unknown or deleted keys do nothing and blank values leave the old one; an added row replaces a deleted or
-    existing one. With ``seq`` several edits or adds of a key are applied in that order. All changes are merged per key
+    Placeholder keys and values count as not given. Edits of unknown or deleted keys do nothing and missing values leave
+    the old one; an added row replaces a deleted or existing one. With ``seq`` several edits or adds of a key are applied in that order. All changes are merged per key
     first, so the base table is shuffled once whatever the mix of changes.
     """
     fields = [f for f in base.schema.fields if f.name != key]
     parts = []
 
     def part(df: DataFrame, kind: str) -> DataFrame:
-        df = df.filter(F.col(key).isNotNull())
-        have = {f.name: f.dataType for f in df.schema.fields}
-        values = F.struct(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        df = df.filter(_given(F.col(key), base.schema[key].dataType))
+        have = {f.name for f in df.schema.fields}
+        values = F.struct(*[_value(f, have).alias(f.name) for f in fields])
         at = F.col(seq) if seq and seq in have else F.lit(0)
         return df.select(F.col(key), F.lit(kind).alias("__kind"), at.cast("bigint").alias("__at"), values.alias("__new"))
 
@@ -95,7 +103,7 @@ def apply_changes(base: DataFrame, key: str, deletes: DataFrame | None = None, e
     for p in parts[1:]:
         changes = changes.unionByName(p)
     is_edit, is_add = F.col("__kind") == "edit", F.col("__kind") == "add"
-    edited = [F.max_by(F.col(f"__new.{f.name}"), F.when(is_edit & _given(F.col(f"__new.{f.name}"), f.dataType), F.col("__at"))).alias(f.name) for f in fields]
+    edited = [F.max_by(F.col(f"__new.{f.name}"), F.when(is_edit & F.col(f"__new.{f.name}").isNotNull(), F.col("__at"))).alias(f.name) for f in fields]
     merged = changes.groupBy(key).agg(
         F.bool_or(F.col("__kind") == "delete").alias("__deleted"), F.bool_or(is_add).alias("__added"),
         F.max_by(F.col("__new"), F.when(is_add, F.col("__at"))).alias("__add"), F.struct(*edited).alias("__edit"))
@@ -155,14 +163,14 @@ def apply_grouped_changes(base: DataFrame, group: str, name: str, order: str, de
         changes = deletes.select(name).distinct().withColumn("__deleted", F.lit(True))
     if edits is not None:
         have = set(edits.columns)
-        patch = edits.select(name, F.struct(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).alias("__edit"))
+        patch = edits.select(name, F.struct(*[_value(f, have).alias(f.name) for f in fields]).alias("__edit"))
         changes = patch.withColumn("__deleted", F.lit(False)) if changes is None else changes.join(patch, name, "full_outer")
     out = base
     if changes is not None:
         if "__edit" not in changes.columns:
             changes = changes.withColumn("__edit", F.lit(None).cast(T.StructType(fields)))
         joined = lookup_join(base, changes, [name], order, "left", hot_rows).filter(~F.coalesce("__deleted", F.lit(False)))
-        patched = lambda f: F.coalesce(F.when(_given(F.col(f"__edit.{f.name}"), f.dataType), F.col(f"__edit.{f.name}")), F.col(f.name))
+        patched = lambda f: F.coalesce(F.col(f"__edit.{f.name}"), F.col(f.name))
         out = joined.select(*[F.col(c) if c in (group, name) else patched(base.schema[c]).alias(c) for c in base.columns])
     if adds is not None:
         out = out.join(adds.select(group, name), [group, name], "left_anti").select(*base.columns).unionByName(adds.select(*base.columns))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.functions import expressions as X
 from tablesmith.functions import values as V
 from tablesmith.functions.profiles import Profile
 from tablesmith.operators import edgecases as E
@@ -14,12 +15,19 @@ from tablesmith.operators import journeys as J
 from tablesmith.operators import quality as Q
 from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS
 from tablesmith.operators.synthesize import Settings
-from tablesmith.spec import Spec
+from tablesmith.spec import EventSpec, Spec
+
+# A scenario without events has one, carrying every column.
+DEFAULT_EVENT = EventSpec("BUSINESS_EVENT", 1, (), 1, 10)
 
 
 def generate_records(df: DataFrame, key: str, spec: Spec, settings: Settings, total: int | None = None, index: str | None = None) -> DataFrame:
-    """Flat records on a keyed table: normal rows clear of every edge case, an exact share planted and labelled."""
-    return E.plant(E.synthesize_normal(df, key, spec, settings), key, spec, settings, total, index)
+    """Flat records on a keyed table: normal rows clear of every edge case, an exact share planted and labelled.
+
+    Cases are placed on the keyed table first and columns are generated after, so wide rows are never shuffled.
+    """
+    placed = E.place_cases(df, key, spec, total, index)
+    return E.apply_cases(E.synthesize_normal(placed, key, spec, settings), spec, settings, key)
 
 
 def structural_rows(stable: DataFrame, key: str, spec: Spec, settings: Settings) -> DataFrame:
@@ -49,6 +57,9 @@ def generate_journeys(df: DataFrame, key: str, spec: Spec, settings: Settings, e
     Columns are pure functions of the keys, so the picks are joined to the narrow structural rows and the wide
     columns are generated after that join: wide rows are never shuffled.
     """
+    spec = spec if spec.events else replace(spec, events=(DEFAULT_EVENT,))
+    for case in spec.edge_cases:
+        X.check_condition(case.condition, E.effective_spec(spec, case))
     stable = J.entity_table(df.select(key), key, spec, settings)
     rows = structural_rows(stable, key, spec, settings)
     target = E.edge_count(df.count() if entities is None else entities, spec.edge_fraction) if spec.edge_cases else 0
@@ -63,10 +74,11 @@ def generate_journeys(df: DataFrame, key: str, spec: Spec, settings: Settings, e
 
 @dataclass(frozen=True)
 class Validation:
-    """Options of a validation run."""
+    """Options of a validation run. ``key`` identifies a record in redrawn values (default: order, else the first column)."""
 
     profile: Profile = Profile()
     rules: dict | None = None
+    key: str | None = None
     order: str | None = None
     journeys: bool = False
     hot_rows: int = HOT_ROWS
@@ -78,7 +90,7 @@ def validate(df: DataFrame, spec: Spec, settings: Settings, options: Validation
 
     Everything is narrow except the journey repairs, which shuffle on arrival and on journey.
     """
-    key = options.order or df.columns[0]
+    key = options.key or options.order or df.columns[0]
 
     def labelled(records: DataFrame) -> DataFrame:
         return records if "edge_case_name" not in records.columns else E.apply_cases(records, spec, settings, key)

@@ -79,6 +79,13 @@ def test_validated_journeys_are_stable_and_ordered(spark):
     fixed.unpersist()
 
 
+def test_a_scenario_without_events_gets_a_default_one(spark):
+    spec = Spec((ColumnSpec("customer_id", "string", "prefixed_int", {"prefix": "C-", "digits": 6}),), entity_key="customer_id")
+    df = generate_journeys(spark.range(30), "id", spec, SET)
+    assert [r.event_type for r in df.select("event_type").distinct().collect()] == ["BUSINESS_EVENT"]
+    assert df.groupBy("customer_id").count().filter("count NOT BETWEEN 1 AND 10").count() == 0
+
+
 # Repairs
 
 
@@ -177,6 +184,13 @@ def test_edits_apply_in_order_and_blanks_do_not(spark):
     assert sorted(map(tuple, C.apply_changes(base, "k", edits=edits, seq="seq").collect())) == [(1, "x", 5.0), (2, "b", 2.0)]
 
 
+def test_placeholder_keys_and_values_count_as_not_given(spark):
+    base = spark.createDataFrame([("a", "x"), ("string", "y")], "k string, v string")
+    make = lambda *rows: spark.createDataFrame(rows, "k string, v string")
+    done = C.apply_changes(base, "k", deletes=make((" String ", None)), edits=make(("", "z")), adds=make(("b", "string"), (None, "q")))
+    assert sorted(map(str, done.collect())) == sorted(map(str, make(("a", "x"), ("string", "y"), ("b", None)).collect()))
+
+
 def test_placeholders_are_cleaned_inside_structs(spark):
     df = spark.sql("SELECT struct('String' AS a, struct('x' AS c, '' AS d) AS b) AS s, named_struct('a', ' ') AS t, 5 AS n, 'ok' AS o")
     row = C.clean_placeholders(df).first()
