@@ -79,10 +79,10 @@ JOURNEY = Spec(entity_key="subscriber_id", events=PAIR, columns=(
     ColumnSpec("fee", "float", "formula", formula="amount * 0.5")))
 
 
-def slots_sql(key: str = "c_custkey", source: str = "customer") -> str:
+def slots_sql(key: str = "c_custkey", source: str = "customer", events: tuple[EventSpec, ...] = PAIR) -> str:
     """Entity x event x occurrence rows with the gap before each."""
     parts = []
-    for e in PAIR:
+    for e in events:
         n = S.between(e.min_occurrences, e.max_occurrences, f"occurrences:{e.event_type}", key)
         gap = (f"(5 + (CAST('0x' || substr(md5('{SEED}|gap:{e.event_type}|' || CAST({key} AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8)"
                f" AS BIGINT) * 296) // 4294967296)")
@@ -91,7 +91,11 @@ def slots_sql(key: str = "c_custkey", source: str = "customer") -> str:
     return " UNION ALL ".join(parts)
 
 
-CLOCK = f"SELECT *, sum(gap) OVER (PARTITION BY c_custkey ORDER BY event_sequence, event_occurrence) AS elapsed FROM ({slots_sql()})"
+def clock_sql(events: tuple[EventSpec, ...] = PAIR) -> str:
+    return f"SELECT *, sum(gap) OVER (PARTITION BY c_custkey ORDER BY event_sequence, event_occurrence) AS elapsed FROM ({slots_sql(events=events)})"
+
+
+CLOCK = clock_sql()
 
 
 @query("fan_out", f"SELECT c_custkey, event_type, event_sequence, event_occurrence FROM ({slots_sql()})")
@@ -105,10 +109,16 @@ def run_event_clock(spark, sf_dir):
 
 
 RECORD = "(CAST(c_custkey AS VARCHAR) || '|' || event_type || '|' || CAST(event_occurrence AS VARCHAR))"
-META = f"""
+
+
+def meta_sql(events: tuple[EventSpec, ...] = PAIR) -> str:
+    return f"""
     SELECT *, {S.AS_OF} + to_seconds(CAST(elapsed AS BIGINT)) AS event_timestamp,
            'JRN-' || upper(substr({S.hexes('journey_id', 'c_custkey')}, 1, 12)) AS journey_id,
-           upper(substr({S.hexes('transaction_id', RECORD)}, 1, 10)) AS own_digits FROM ({CLOCK})"""
+           upper(substr({S.hexes('transaction_id', RECORD)}, 1, 10)) AS own_digits FROM ({clock_sql(events)})"""
+
+
+META = meta_sql()
 
 
 @query("journey_metadata", f"""

@@ -218,3 +218,48 @@ def gen_tx_id(spark, sf_dir):
     base = table(spark, sf_dir, "events").selectExpr("event_id", "ts AS event_timestamp")
     spec = Spec((ColumnSpec("transaction_id", "string", "tx_id", {"prefix": "PG-TXN-"}),))
     return synthesize(base, "event_id", spec, PORTABLE).select("event_id", "transaction_id")
+
+
+def column_sql(c: ColumnSpec, key: str = KEY) -> str:
+    """SQL for a catalog column over the columns before it."""
+    p, n = c.params, c.name
+    if c.gen == "prefixed_int":
+        return prefixed(p["prefix"], p["digits"], n, key)
+    if c.gen == "id_mirror":
+        return f"'{p['prefix']}' || replace({p['source_field']}, '{p['source_prefix']}', '')"
+    if c.gen == "e164_phone":
+        return phone_sql(n, p["country_codes"][0])
+    if c.gen == "weighted_choice":
+        cast = {"int": "BIGINT", "float": "DOUBLE"}.get(c.dtype, "VARCHAR")
+        return S.choice([f"CAST('{v}' AS {cast})" for v in p["choices"]], p["weights"], n, key)
+    if c.gen == "constant":
+        return f"'{p['value']}'"
+    if c.gen == "uniform":
+        return S.cents(p["min"], p["max"], n, key)
+    if c.gen in ("lognormal", "lognormal_int"):
+        raw = f"exp({p['mu']}::DOUBLE + {p['sigma']}::DOUBLE * {S.standard_normal(n, key)})"
+        clipped = "greatest({0}::DOUBLE, least({1}::DOUBLE, {2}))".format(float(p["min"]), float(p["max"]), raw if c.gen == "lognormal" else f"floor({raw})")
+        return S.rounded(clipped) if c.gen == "lognormal" else f"CAST({clipped} AS BIGINT)"
+    if c.gen == "beta":
+        draws = ", ".join(S.u32(n, key, i) for i in range(p["alpha"] + p["beta"] - 1))
+        return S.rounded(f"list_sort([{draws}])[{p['alpha']}] / 4294967296.0::DOUBLE", 4)
+    if c.gen == "segment_range":
+        arms = {k: f"(CAST({round(v['min'] * 10000)} + {S.below(round((v['max'] - v['min']) * 10000) + 1, n, key)} AS DOUBLE) / 10000.0::DOUBLE)" for k, v in p.items()}
+        return "CASE subscriber_segment " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in arms.items()) + " END"
+    if c.gen == "uniform_bounded":
+        cents = f"CAST(floor(greatest({p['lo']}::DOUBLE, {p['hi_field']}) * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
+        return f"(CAST(({S.u32(n, key)} * ({cents} + 1)) // 4294967296 AS DOUBLE) / 100.0::DOUBLE)"
+    if c.gen == "prefixed_uuid":
+        parts = ", ".join(f"substr({S.hexes(n, key)}, {at}, {size})" for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+        return f"'{p['prefix']}' || substr(concat_ws('-', {parts}), {len(p['prefix']) + 1}, 36)"
+    if c.gen == "tx_id":
+        return f"'{p['prefix']}' || strftime(event_timestamp, '%Y%m%d') || '-' || CAST({S.between(1000000, 9999999, n, key)} AS VARCHAR)"
+    if c.gen == "recent_datetime":
+        return event_time_sql(p["days_back"], n, key)
+    if c.gen == "ts_offset":
+        return S.seconds_later(p["base_field"], S.between(p["min_sec"], p["max_sec"], n, key))
+    if c.gen == "ts_add_field":
+        return S.seconds_later(p["base_field"], p["add_seconds_field"])
+    if c.gen == "date_offset":
+        return f"CAST({p['base_field']} AS DATE) + {p['days']}"
+    raise ValueError(f"no SQL for {c.gen}")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.edges import KEY, PICKS, at
-from checks.generators import prefixed
+from checks.composition import RECORD, meta_sql
+from checks.generators import column_sql, prefixed
 from checks.registry import PORTABLE, query, table
 from tablesmith.functions.profiles import Profile
 from tablesmith.operators import quality as Q
@@ -85,7 +86,22 @@ def definition_driven_records(spark, sf_dir):
     return generate_records(table(spark, sf_dir, "customer").select(KEY), KEY, spec, PORTABLE, index=KEY)
 
 
-@query("full_catalog_job")
+# Formulas of the catalog in SQL.
+CATALOG_FORMULAS = {
+    "low_balance_threshold_amt": S.rounded("least(15.0::DOUBLE, greatest(0.5::DOUBLE, avg_daily_spend_trailing_30d * (dynamic_lb_threshold_pct / 100.0::DOUBLE)))"),
+    "recharge_amount": "recommended_topup_amt", "balance_after": S.rounded("balance_before + recharge_amount"),
+}
+
+
+def catalog_sql() -> str:
+    """Nested selects, one per catalog column."""
+    inner = "SELECT c_custkey FROM customer"
+    for c in low_balance_catalog().columns:
+        inner = f"SELECT *, {CATALOG_FORMULAS.get(c.name) or column_sql(c)} AS {c.name} FROM ({inner})"
+    return inner
+
+
+@query("full_catalog_job", catalog_sql())
 def full_catalog_job(spark, sf_dir):
     """All 35 catalog columns on every customer."""
     return synthesize(table(spark, sf_dir, "customer").select(KEY), KEY, low_balance_catalog(), PORTABLE)
@@ -95,7 +111,24 @@ def journeys(spark, sf_dir, settings=PORTABLE):
     return generate_journeys(table(spark, sf_dir, "customer").select(KEY), KEY, recharge_sample(), settings)
 
 
-@query("journey_records_job")
+EVENTS, SIZE = recharge_sample().events, sum(e.max_occurrences for e in recharge_sample().events)
+DRAWN = {c.name: at(column_sql(c, RECORD), "k") for c in recharge_sample().columns if c.name in ("balance_before", "recharge_amount", "session_status", "payment_method_type")}
+JOURNEYS = f"""
+    WITH rows AS (SELECT *, {prefixed('SUB-', 8, 'subscriber_id')} AS subscriber_id, 'TXN-' || strftime(event_timestamp, '%Y%m%d') || '-' || own_digits AS transaction_id,
+                         event_type = 'RECHARGE_COMPLETED' AS paid, c_custkey * {SIZE} + CASE event_type WHEN 'BALANCE_LOW' THEN 0 ELSE 3 END + event_occurrence - 1 AS row_id FROM ({meta_sql(EVENTS)})),
+    drawn AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in DRAWN.items())} FROM rows, range(20) AS r(k)),
+    normal AS (SELECT * FROM drawn WHERE NOT (paid AND ((balance_before = 0 AND session_status = 'TERMINATING') OR recharge_amount >= 500)) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY k) = 1),
+    sizes AS (SELECT (SELECT count(*) FROM rows WHERE paid) AS n, (SELECT CAST(floor(count(*) * 0.02::DOUBLE + 1e-12::DOUBLE) AS BIGINT) FROM customer) AS t),
+    picked AS (SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS index FROM rows WHERE paid)
+               JOIN (SELECT ((2 * range + 1) * n) // (2 * t) AS index FROM sizes, range((SELECT t FROM sizes))) USING (index)),
+    final AS (SELECT normal.* EXCLUDE (balance_before, session_status), p.row_id IS NOT NULL AS is_edge_case, CASE WHEN p.row_id IS NOT NULL THEN 0.0 ELSE balance_before END AS balance_before,
+                     CASE WHEN p.row_id IS NOT NULL THEN 'TERMINATING' ELSE session_status END AS session_status FROM normal LEFT JOIN picked p ON p.row_id = normal.row_id)
+    SELECT journey_id, transaction_id, event_type, event_sequence, event_occurrence, event_timestamp, subscriber_id, balance_before, session_status, is_edge_case,
+           CASE WHEN paid THEN recharge_amount END AS recharge_amount, CASE WHEN paid THEN balance_before + recharge_amount END AS balance_after,
+           CASE WHEN paid THEN payment_method_type END AS payment_method_type FROM final"""
+
+
+@query("journey_records_job", JOURNEYS)
 def journey_records_job(spark, sf_dir):
     return W.ordered_projection(journeys(spark, sf_dir), recharge_sample())
 
@@ -124,7 +157,13 @@ def validated_journeys_job(spark, sf_dir):
     return fixed.agg(F.sum(F.size("issues")).alias("fixes_on_sound_rows"), F.count_if("is_edge_case").alias("edge_cases"))
 
 
-@query("nested_journeys_job")
+@query("nested_journeys_job", f"""
+    SELECT subscriber_id, row_number() OVER (PARTITION BY subscriber_id ORDER BY event_type) - 1 AS position, event_type, count(*) AS total_count,
+           list(transaction_id ORDER BY event_occurrence) AS transactions, list(is_edge_case ORDER BY event_occurrence) AS labels FROM ({JOURNEYS}) GROUP BY subscriber_id, event_type""")
 def nested_journeys_job(spark, sf_dir):
+    """Whole histories as entity documents, unfolded again for the check."""
     spec = recharge_sample()
-    return W.nest(journeys(spark, sf_dir).drop(KEY), spec.entity_key, spec.events, "row_id")
+    documents = W.nest(journeys(spark, sf_dir).drop(KEY), spec.entity_key, spec.events, "row_id")
+    flat = documents.select("subscriber_id", F.posexplode("events").alias("position", "e"))
+    return flat.select("subscriber_id", "position", F.col("e.event_type").alias("event_type"), F.col("e.totalCount").alias("total_count"),
+                       F.col("e.records.transaction_id").alias("transactions"), F.col("e.records.is_edge_case").alias("labels"))

@@ -98,7 +98,7 @@ def with_metadata(rows: DataFrame, key: str, settings: Settings, base_time: Colu
 
 def entity_table(df: DataFrame, key: str, spec: Spec, settings: Settings) -> DataFrame:
     """Columns that stay the same over an entity's whole history."""
-    return synthesize(df, key, spec, settings, fields=[f for f in spec.entity_fields() if f not in METADATA or f == "event_timestamp"])
+    return synthesize(df, key, spec, settings, fields=spec.entity_fields())
 
 
 def event_rows(entities: DataFrame, key: str, spec: Spec, settings: Settings, attempt: Column | int = 0) -> DataFrame:

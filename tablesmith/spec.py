@@ -34,6 +34,9 @@ BOOLEAN_TYPES = {"bool", "boolean"}
 TEXT_TYPES = {"string", "categorical"}
 FORMULA_FUNCTIONS = {"round", "min", "max", "abs"}
 
+# Columns every event row gets from its place in the history, whatever the catalog says about them.
+STRUCTURAL = {"journey_id", "transaction_id", "event_type", "event_sequence", "event_occurrence"}
+
 # Parameters whose value is the name of another column.
 REFERENCE_PARAMS = ("source_field", "base_field", "hi_field", "add_seconds_field", "segment_field", "field")
 
@@ -165,8 +168,8 @@ class Spec:
         return stages
 
     def entity_fields(self) -> list[str]:
-        """Columns owned by no event, the entity key, and what those depend on."""
-        owned = {f for e in self.events for f in e.fields}
+        """Columns owned by no event, the entity key, and what those depend on. Structural columns are made per event row."""
+        owned = {f for e in self.events for f in e.fields} | STRUCTURAL
         stable = (set(self.names) - owned) | ({self.entity_key} if self.entity_key else set())
         return self.closure(stable)
 
