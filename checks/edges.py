@@ -207,10 +207,11 @@ def labelled_rows_repaired(spark, sf_dir):
 
 
 @query("boundary_rows", """
-    SELECT p_partkey, p_size, p_retailprice, list_filter([CASE WHEN p_size = s THEN 'p_size' ELSE '' END, CASE WHEN p_retailprice = r THEN 'p_retailprice' ELSE '' END], lambda x: x <> '') AS at_boundary
+    SELECT p_partkey, p_size, p_retailprice, array_to_string(list_filter([CASE WHEN p_size = s THEN 'p_size' ELSE '' END, CASE WHEN p_retailprice = r THEN 'p_retailprice' ELSE '' END], lambda x: x <> ''), '; ') AS at_boundary
     FROM part, (SELECT max(p_size) AS s, max(p_retailprice) AS r FROM part) WHERE p_size = s OR p_retailprice = r""")
 def boundary_rows(spark, sf_dir):
-    return E.boundary_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    rows = E.boundary_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    return rows.withColumn("at_boundary", F.concat_ws("; ", "at_boundary"))
 
 
 @query("label_totals", f"SELECT n AS total_records, k AS edge_cases FROM ({COUNT})")

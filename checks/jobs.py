@@ -14,8 +14,8 @@ from checks.edges import KEY, PICKS, at
 from checks.composition import RECORD, meta_sql
 from checks.generators import column_sql, prefixed
 from checks.registry import PORTABLE, query, table
+from checks.repairs import CHECK_LIST, report_row
 from tablesmith.functions.profiles import Profile
-from tablesmith.operators import quality as Q
 from tablesmith.operators import views as W
 from tablesmith.operators.synthesize import synthesize
 from tablesmith.plans.presets import account_sample, low_balance_catalog, recharge_sample
@@ -141,11 +141,11 @@ def journey_labels_job(spark, sf_dir):
 
 
 @query("validated_records_job", f"""
-    SELECT count(*) AS total_input, count(*) AS total_valid, 0 AS total_dropped, 0 AS recovered, 0 AS algo_fixes, [{', '.join(S.texts(Q.CHECKS))}] AS deterministic_checks FROM customer""")
+    SELECT count(*) AS total_input, count(*) AS total_valid, 0 AS total_dropped, 0 AS recovered, 0 AS algo_fixes, {CHECK_LIST} AS deterministic_checks FROM customer""")
 def validated_records_job(spark, sf_dir):
     """Freshly generated records pass validation without a single fix."""
     spec = account_sample()
-    return Q.validation_report(validate(flat_records(spark, sf_dir), spec, PORTABLE))
+    return report_row(validate(flat_records(spark, sf_dir), spec, PORTABLE))
 
 
 @query("validated_journeys_job", "SELECT count(*) * 0 AS fixes_on_sound_rows, CAST(floor(count(*) * 0.02::DOUBLE + 1e-12::DOUBLE) AS BIGINT) AS edge_cases FROM customer")
@@ -159,11 +159,11 @@ def validated_journeys_job(spark, sf_dir):
 
 @query("nested_journeys_job", f"""
     SELECT subscriber_id, row_number() OVER (PARTITION BY subscriber_id ORDER BY event_type) - 1 AS position, event_type, count(*) AS total_count,
-           list(transaction_id ORDER BY event_occurrence) AS transactions, list(is_edge_case ORDER BY event_occurrence) AS labels FROM ({JOURNEYS}) GROUP BY subscriber_id, event_type""")
+           string_agg(transaction_id, ' ' ORDER BY event_occurrence) AS transactions, string_agg(CAST(is_edge_case AS VARCHAR), ' ' ORDER BY event_occurrence) AS labels FROM ({JOURNEYS}) GROUP BY subscriber_id, event_type""")
 def nested_journeys_job(spark, sf_dir):
     """Whole histories as entity documents, unfolded again for the check."""
     spec = recharge_sample()
     documents = W.nest(journeys(spark, sf_dir).drop(KEY), spec.entity_key, spec.events, "row_id")
     flat = documents.select("subscriber_id", F.posexplode("events").alias("position", "e"))
     return flat.select("subscriber_id", "position", F.col("e.event_type").alias("event_type"), F.col("e.totalCount").alias("total_count"),
-                       F.col("e.records.transaction_id").alias("transactions"), F.col("e.records.is_edge_case").alias("labels"))
+                       F.concat_ws(" ", "e.records.transaction_id").alias("transactions"), F.concat_ws(" ", F.col("e.records.is_edge_case").cast("array<string>")).alias("labels"))

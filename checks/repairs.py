@@ -112,9 +112,9 @@ TYPE_ISSUES = """list_filter([
     CASE WHEN o_orderkey % 7 = 5 THEN 'day repaired as date' ELSE '' END], lambda x: x <> '')"""
 
 
-@query("type_defaults", f"SELECT o_orderkey, list_sort({TYPE_ISSUES}) AS issues FROM orders")
+@query("type_defaults", f"SELECT o_orderkey, array_to_string(list_sort({TYPE_ISSUES}), '; ') AS issues FROM orders")
 def type_defaults(spark, sf_dir):
-    return coerced(spark, sf_dir, F.sort_array("issues").alias("issues"))
+    return coerced(spark, sf_dir, F.concat_ws("; ", F.sort_array("issues")).alias("issues"))
 
 
 CHOICES = Spec((ColumnSpec("o_orderpriority", "categorical", "weighted_choice", {"choices": ["3 Medium", "1-urgent", "5_LOW"]}),))
@@ -132,11 +132,12 @@ RANGES = Spec((ColumnSpec("c_acctbal", "float", "uniform", {"min": 0, "max": 500
 
 @query("clamp_ranges", """
     SELECT c_custkey, least(greatest(c_acctbal, 0), 5000.5) AS c_acctbal, least(c_nationkey, 20) AS c_nationkey,
-           list_filter([CASE WHEN c_acctbal < 0 THEN 'c_acctbal raised to minimum' ELSE '' END, CASE WHEN c_acctbal > 5000.5 THEN 'c_acctbal lowered to maximum' ELSE '' END,
-                        CASE WHEN c_nationkey > 20 THEN 'c_nationkey lowered to maximum' ELSE '' END], lambda x: x <> '') AS issues
+           array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'c_acctbal raised to minimum' ELSE '' END, CASE WHEN c_acctbal > 5000.5 THEN 'c_acctbal lowered to maximum' ELSE '' END,
+                        CASE WHEN c_nationkey > 20 THEN 'c_nationkey lowered to maximum' ELSE '' END], lambda x: x <> ''), '; ') AS issues
     FROM customer""")
 def clamp_ranges(spark, sf_dir):
-    return Q.clamp_ranges(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), RANGES)
+    fixed = Q.clamp_ranges(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), RANGES)
+    return fixed.withColumn("issues", F.concat_ws("; ", "issues"))
 
 
 @query("clamp_percentages", """
@@ -321,13 +322,18 @@ def fill_missing_by_event(spark, sf_dir):
     return Q.fill_missing(events, spec).select("event_id", "value", "props")
 
 
-CHECK_LIST = "[" + ", ".join(S.texts(Q.CHECKS)) + "]"
+CHECK_LIST = "'" + "; ".join(Q.CHECKS) + "'"
+
+
+def report_row(checked):
+    """The report with its list of checks as text."""
+    return Q.validation_report(checked).withColumn("deterministic_checks", F.concat_ws("; ", "deterministic_checks"))
 
 
 @query("validation_report", f"""
     SELECT count(*) AS total_input, count(*) AS total_valid, 0 AS total_dropped, 0 AS recovered, CAST(sum(len({TYPE_ISSUES})) AS BIGINT) AS algo_fixes, {CHECK_LIST} AS deterministic_checks FROM orders""")
 def validation_report(spark, sf_dir):
-    return Q.validation_report(Q.coerce_types(arrived(spark, sf_dir), TYPED, PORTABLE))
+    return report_row(Q.coerce_types(arrived(spark, sf_dir), TYPED, PORTABLE))
 
 
 @query("issue_histogram", f"SELECT issue, count(*) AS n FROM (SELECT unnest({TYPE_ISSUES}) AS issue FROM orders) GROUP BY issue")

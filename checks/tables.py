@@ -44,15 +44,16 @@ def latest_entities(spark, sf_dir):
 @query("nested_documents", """
     WITH counted AS (SELECT user_id, event_type, count(*) AS total, min(event_id) AS first FROM events GROUP BY ALL),
     recent AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) <= 10),
-    listed AS (SELECT user_id, event_type, list(event_id ORDER BY event_id) AS ids, list(value ORDER BY event_id) AS amounts FROM recent GROUP BY ALL),
+    listed AS (SELECT user_id, event_type, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS ids, string_agg(CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR), ' ' ORDER BY event_id) AS amounts FROM recent GROUP BY ALL),
     placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 ELSE 4 END, first) - 1 AS position
                FROM counted JOIN listed USING (user_id, event_type))
     SELECT user_id, position, event_type, total AS total_count, ids, amounts FROM placed""")
 def nested_documents(spark, sf_dir):
     documents = W.nest(events(spark, sf_dir), "user_id", DEFINED, "event_id")
     flat = documents.select("user_id", F.posexplode("events").alias("position", "e"))
+    amounts = F.transform("e.records", lambda r: F.floor(r["value"] * 100).cast("string"))
     return flat.select("user_id", "position", F.col("e.event_type").alias("event_type"), F.col("e.totalCount").alias("total_count"),
-                       F.col("e.records.event_id").alias("ids"), F.col("e.records.value").alias("amounts"))
+                       F.concat_ws(" ", F.col("e.records.event_id").cast("array<string>")).alias("ids"), F.concat_ws(" ", amounts).alias("amounts"))
 
 
 @query("identity_attributes", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -207,7 +208,7 @@ def canonical_columns(spark, sf_dir):
 
 
 @query("normalised_events", """
-    SELECT replace(upper(trim(event_type)), ' ', '_') || '_EVENT' AS event_type, position, ['transaction_amount', 'props'] AS fields, CAST(greatest(1, low) AS BIGINT) AS min_occurrences,
+    SELECT replace(upper(trim(event_type)), ' ', '_') || '_EVENT' AS event_type, position, 'transaction_amount props' AS fields, CAST(greatest(1, low) AS BIGINT) AS min_occurrences,
            CAST(greatest(greatest(1, low), least(1000, high)) AS BIGINT) AS max_occurrences
     FROM (SELECT event_type, min(event_id) AS position, count(*) - 2000 AS low, count(*) AS high FROM events GROUP BY event_type ORDER BY position LIMIT 8)""")
 def normalised_events(spark, sf_dir):
@@ -215,27 +216,29 @@ def normalised_events(spark, sf_dir):
     raw = found.select(F.concat(F.lit(" "), "event_type", F.lit(" Event ")).alias("event_type"), "position",
                        F.array(*[F.lit(x) for x in ("payment_amount", " props ", "nowhere", "transaction_amount", "props")]).alias("fields"),
                        (F.col("n") - 2000).alias("min_occurrences"), F.col("n").alias("max_occurrences"))
-    return C.normalise_events(raw, ["transaction_amount", "props", "user_id"], N.alias_map("retail"))
+    return C.normalise_events(raw, ["transaction_amount", "props", "user_id"], N.alias_map("retail")).withColumn("fields", F.concat_ws(" ", "fields"))
 
 
 INDUSTRY = "CASE n_regionkey WHEN 0 THEN ' Telecom' WHEN 1 THEN 'Retail banking' WHEN 2 THEN 'bank' WHEN 3 THEN 'mining' END"
 COUNTRY_SQL = code_sql("n_nationkey", {c: f"'{c}'" for c in CODES})
-LISTS = {c: "[" + ", ".join(S.texts(m)) + "]" for c, m in METHODS.items()}
+LISTS = {c: f"'{' '.join(m)}'" for c, m in METHODS.items()}
 
 
 @query("profile_lookup", f"""
     SELECT n_nationkey, industry_key, {code_sql('n_nationkey', {'US': "'USD'", 'IN': "'INR'", 'GB': "'GBP'", 'AE': "'AED'", 'ZZ': "'USD'"})} AS currency,
            {code_sql('n_nationkey', {'US': "'+1'", 'IN': "'+91'", 'GB': "'+44'", 'AE': "'+971'", 'ZZ': "'+1'"})} AS phone_country_code,
            CASE WHEN noted THEN {code_sql('n_nationkey', LISTS)} ELSE {LISTS['ZZ']} END AS payment_methods,
-           CASE industry_key || country WHEN 'telecomUS' THEN [10.0, 25, 50, 100] WHEN 'telecomIN' THEN [10.0, 19, 49, 99, 199, 299, 599] WHEN 'telecomGB' THEN [10.0, 15, 20, 30] WHEN 'telecomAE' THEN [10.0, 25, 55, 100]
-                WHEN 'bankingUS' THEN [20.0, 50, 100, 500, 1000] WHEN 'bankingIN' THEN [100.0, 500, 1000, 5000] ELSE [10.0, 25, 50, 100] END AS typical_denominations
+           CASE industry_key || country WHEN 'telecomUS' THEN '10 25 50 100' WHEN 'telecomIN' THEN '10 19 49 99 199 299 599' WHEN 'telecomGB' THEN '10 15 20 30' WHEN 'telecomAE' THEN '10 25 55 100'
+                WHEN 'bankingUS' THEN '20 50 100 500 1000' WHEN 'bankingIN' THEN '100 500 1000 5000' ELSE '10 25 50 100' END AS typical_denominations
     FROM (SELECT *, industry_key || country IN ('telecomUS', 'telecomIN', 'telecomGB', 'telecomAE', 'bankingUS', 'bankingIN') AS noted
           FROM (SELECT n_nationkey, {COUNTRY_SQL} AS country, CASE n_regionkey WHEN 0 THEN 'telecom' WHEN 1 THEN 'banking' WHEN 2 THEN 'banking' ELSE 'generic' END AS industry_key FROM nation))""")
 def profile_lookup(spark, sf_dir):
     region = F.col("n_regionkey")
     industry = F.when(region == 0, " Telecom").when(region == 1, "Retail banking").when(region == 2, "bank").when(region == 3, "mining")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", code_of(F.col("n_nationkey")).alias("country"), industry.alias("industry"))
-    return N.with_profile(nations, "country", "industry").select("n_nationkey", "industry_key", "currency", "phone_country_code", "payment_methods", "typical_denominations")
+    known = N.with_profile(nations, "country", "industry")
+    amounts = F.concat_ws(" ", F.col("typical_denominations").cast("array<bigint>").cast("array<string>"))
+    return known.select("n_nationkey", "industry_key", "currency", "phone_country_code", F.concat_ws(" ", "payment_methods").alias("payment_methods"), amounts.alias("typical_denominations"))
 
 
 @query("entity_key_resolution", "SELECT c_custkey AS entity_key, count(*) AS n FROM customer GROUP BY c_custkey")
