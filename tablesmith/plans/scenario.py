@@ -114,5 +114,7 @@ def validate(df: DataFrame, spec: Spec, settings: Settings, options: Validation
         df = J.renew_repeated_ids(df, options.order, settings)
         df = J.set_sequences(df, spec.events)
         df = J.order_journeys(df, options.order, settings, spec.entity_key, hot_rows=options.hot_rows, chunk_rows=options.chunk_rows)
-    df = Q.fill_missing(df, spec, options.rules)
-    return clear(labelled(df))
+    df = clear(labelled(Q.fill_missing(df, spec, options.rules)))
+    # Rows with a case name have just been checked against that case.
+    unnamed = "is_edge_case" in df.columns and "edge_case_name" not in df.columns
+    return Q.require_labels(df, spec) if spec.edge_cases and unnamed else df
