@@ -108,14 +108,6 @@ def test_fresh_records_need_no_fix_and_broken_ones_are_repaired_once(spark):
     fixed.unpersist()
 
 
-def test_a_label_without_a_match_fails_the_job(spark):
-    spec = account_sample()
-    df = generate_records(spark.range(60), "id", spec, SET, 60, "id").drop("edge_case_name")
-    assert validate(df, spec, SET).filter("is_edge_case").count() == 2
-    with pytest.raises(Exception, match="satisfies no edge case"):
-        validate(df.withColumn("is_edge_case", F.col("id") % 2 == 0), spec, SET).collect()
-
-
 def test_declared_percentage_bounds_win(spark):
     df = spark.createDataFrame([(1, 250.0, 120.0, -3)], "id long, dynamic_lb_threshold_pct double, share_pct double, growth_percent int")
     spec = Spec((low_balance_catalog().column("dynamic_lb_threshold_pct"), ColumnSpec("share_pct", "float"), ColumnSpec("growth_percent", "int")))
