@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +19,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application."""
+    if spark.sparkContext.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="ship-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tablesmith", "zip", root, "tablesmith"))
+        _shipped.add(spark.sparkContext.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings of the library, with Arrow batches short enough for very long texts."""
     tune(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
