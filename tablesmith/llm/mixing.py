@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tablesmith.llm.common import fresh, n_words, quoted, saved, text_key
 
 #: Characters that lower a document's quality weight.
-JUNK = "#*$%&|<>{}[]~^_=+!0123456789"
+JUNK = r"[#*$%&|<>{}\[\]~^_=+!0-9]"
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Mix:
 def quality_weight(text: Column) -> Column:
     """Squared share of a text's characters that aren't junk, 0.01 at least; an empty text weighs 1."""
     length = F.length(text)
-    plain = F.length(F.translate(text, JUNK, "")) / length
+    plain = (length - F.regexp_count(text, F.lit(JUNK))) / length
     return F.when(length > 0, F.greatest(plain * plain, F.lit(0.01))).otherwise(F.lit(1.0))
 
 
@@ -114,21 +114,22 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", source:
 
     A document is used ``taken div size`` times whole, and once more up to word ``taken mod size``.
     """
-    names = fresh(docs, "mix_source", "mix_size", "mix_key", "mix_bucket", "mix_before", "mix_upto", "mix_cut", "mix_rest", "mix_epochs")
-    s, size, key, bucket, before, upto, cut, rest, epochs = names
+    names = fresh(docs, "mix_source", "mix_size", "mix_key", "mix_tie", "mix_bucket", "mix_before", "mix_upto", "mix_cut", "mix_rest", "mix_epochs")
+    s, size, key, tie, bucket, before, upto, cut, rest, epochs = names
     if clash := {c.lower() for c in docs.columns} & {"size", "source_size", "target", "taken"}:
         raise ValueError(f"rename the columns that the mix adds: {sorted(clash)}")
     exponential = -F.log(draw(quoted(id), quoted(text), mix.seed)) / (quality_weight(quoted(text)) if weight is None else weight)
-    keyed = (docs.withColumn(s, _source_key(quoted(source))).withColumn(size, n_words(quoted(text))).withColumn(key, exponential)
+    keyed = (docs.withColumn(s, _source_key(quoted(source))).withColumn(size, n_words(quoted(text))).withColumn(key, exponential).withColumn(tie, text_key(quoted(text)))
              .withColumn(bucket, F.floor(F.log2(quoted(key)) * mix.fine)))
-    found = cuts(keyed.select(quoted(s).alias("source_key"), quoted(source).cast("string").alias("source"), quoted(size).alias("size"), quoted(bucket).alias("bucket")), mix)
+    # Saved, so that Spark knows how small it is and leaves the documents where they are.
+    found = saved(cuts(keyed.select(quoted(s).alias("source_key"), quoted(source).cast("string").alias("source"), quoted(size).alias("size"), quoted(bucket).alias("bucket")), mix))
     goal_names = fresh(keyed, "goal_source_size", "goal_target")
     goals = found.select(F.col("source_key").alias(s), F.col("source_size").alias(goal_names[0]), F.col("target").alias(goal_names[1]), F.col("epochs").alias(epochs),
                          F.col("rest").alias(rest), F.col("cut_bucket").alias(cut), F.col("before").alias(before))
     joined = keyed.join(goals, s)
     at_cut = quoted(bucket) == quoted(cut)
     # One bucket of each source is ordered; ties of the key by id, size and text.
-    order = Window.partitionBy(s).orderBy(quoted(key), quoted(id), quoted(size), text_key(quoted(text))).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(s).orderBy(quoted(key), quoted(id), quoted(size), quoted(tie)).rowsBetween(Window.unboundedPreceding, 0)
     ordered = joined.filter(at_cut).withColumn(upto, quoted(before) + F.sum(quoted(size)).over(order))
     others = joined.filter(~F.coalesce(at_cut, F.lit(False))).withColumn(upto, F.lit(None).cast("long"))
     zero = F.lit(0).cast("long")

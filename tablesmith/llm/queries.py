@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, mixing, neardup, quality, secrets
+from tablesmith.llm import decontaminate, mixing, neardup, quality, secrets, warc
 from tablesmith.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,23 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("doc", "doc_id").withColumnRenamed("item", "item_id")
+
+
+@query
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    warc.write_archive(pages, folder)
+    read = warc.read_archive(spark, folder, payloads=False)
+    kind = pages.schema["page_id"].dataType
+    return read.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+_BITS = "('0x' || substr(sha, {0}, 5))::BIGINT"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_BITS.format(5 * k + 1)} >> {shift}) & 31)::INT + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+SQL["op8_warc_round_trip"] = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha AS first_sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON sha = first_sha"""
