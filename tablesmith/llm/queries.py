@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, mixing, neardup, quality, secrets, warc
+from tablesmith.llm import decontaminate, langid, mixing, neardup, quality, secrets, toxicity, warc
 from tablesmith.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,21 @@ f AS (SELECT sha AS first_sha, min(page_id) AS first FROM p GROUP BY sha)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f ON sha = first_sha"""
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = toxicity.remainder(F.col("doc_id"), 5) == 0
+    classifier = toxicity.train(docs.join(labels.filter(~held_out & F.col("toxic").isin(0, 1)), "doc_id"))
+    scored = toxicity.score(docs, classifier).withColumnRenamed("doc", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = toxicity.remainder(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.filter(~held_out & F.col("lang").isNotNull()))
+    found = langid.identify(docs, model, spans=False).withColumnRenamed("doc", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
