@@ -12,8 +12,8 @@ The bound is set so that every register is filled; where one isn't, the bound is
 
 *Bands.* Equal texts are one node. Nodes that share a band are candidates. They are compared with a few hubs of their
 band first, which links the members of ordinary groups in linear work; after that only pairs of nodes whose groups are
-still apart are compared, all of them. A one-bit sketch of the signature discards pairs far below the threshold (four
-and a half standard errors) before their shingles are fetched. Links are joined to classes by passes over the edges.
+still apart are compared, all of them. A sketch of four bits a register discards pairs far below the threshold (four
+standard errors) before their shingles are fetched. Links are joined to classes by passes over the edges.
 
 Defined results: a null text or one without words is a class of its own, and stays; equal texts share a class whatever
 their other columns; repeated rows with one id and text are one document; the class id is the smallest id of its
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ from tablesmith.llm.common import SHINGLE_WORDS, byte_column, fresh, mix64, quot
 from tablesmith.llm.graph import components
 
 
+#: Bits of each register that a sketch keeps.
+PLANES = 4
+
+
 @dataclass(frozen=True)
 class Bands:
     """At similarity 0.8, 32 bands of 6 registers miss a pair with probability 0.00006."""
@@ -153,9 +158,10 @@ def _signatures(bands: Bands):
             band = np.zeros((n, bands.bands), np.uint64)
             for k in range(bands.rows):
                 band = mix64(band + values.reshape(n, bands.bands, bands.rows)[:, :, k])
-            bits = (mix64(values + np.uint64(7)) & np.uint64(1)).astype(np.uint8)
             width = -(-bands.registers // 64) * 64
-            sketch = np.packbits(np.pad(bits, ((0, 0), (0, width - bands.registers))), axis=1).view(np.int64)
+            hashed = np.pad(mix64(values + np.uint64(7)), ((0, 0), (0, width - bands.registers)))
+            planes = [np.packbits(((hashed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(PLANES)]
+            sketch = np.hstack(planes)
             short = (element >> np.uint64(32)).astype(np.uint32)
             ends = np.searchsorted(text, np.arange(n + 1))
             sizes = np.add.reduceat(np.append(count, 0), np.minimum(ends[:-1], len(count))) * (np.diff(ends) > 0) if len(count) else np.zeros(n, np.int64)
@@ -203,11 +209,12 @@ def _verified(threshold: float):
 
 
 def _alike(bands: Bands, first: str, second: str) -> Column:
-    """Whether two nodes may reach the threshold, by size and by their one-bit sketches."""
+    """Whether two nodes may reach the threshold, by size and by their sketches."""
     words = -(-bands.registers // 64)
-    apart = sum((F.bit_count(F.col(f"{first}_sketch")[k].bitwiseXOR(F.col(f"{second}_sketch")[k])) for k in range(words)), F.lit(0))
-    expected = (1 - bands.threshold) / 2
-    most = bands.registers * expected + 4.5 * (bands.registers * expected * (1 - expected)) ** 0.5
+    differ = [[F.col(f"{first}_sketch")[k].bitwiseXOR(F.col(f"{second}_sketch")[k]) for k in range(w, PLANES * words, words)] for w in range(words)]
+    apart = sum((F.bit_count(reduce(Column.bitwiseOR, x)) for x in differ), F.lit(0))
+    expected = (1 - bands.threshold) * (1 - 2.0**-PLANES)
+    most = bands.registers * expected + 4 * (bands.registers * expected * (1 - expected)) ** 0.5
     small, large = F.least(f"{first}_n", f"{second}_n"), F.greatest(f"{first}_n", f"{second}_n")
     return (small >= large * bands.threshold) & (apart <= most)
 
@@ -215,9 +222,10 @@ def _alike(bands: Bands, first: str, second: str) -> Column:
 def links(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     """(node, component) after all candidates whose groups are apart have been compared.
 
-    ``members`` are (bucket, node); ``nodes`` have node, n, sketch and bag, one row each.
+    ``members`` are (bucket, band, node); ``nodes`` have node, n, sketch, bag, and marks (their bands in short), one row each.
     """
     traits = nodes.select("node", "n", "sketch")
+    marks = nodes.select("node", "marks")
     bags = nodes.select("node", "bag")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -225,8 +233,8 @@ def links(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
                      .join(bags.select(F.col("node").alias("b"), F.col("bag").alias("b_bag")), "b").select("a", "b", "a_bag", "b_bag"))
         return with_bags.mapInArrow(_verified(bands.threshold), "a long, b long")
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("bucket", F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("component", "n", "sketch")))
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select("bucket", F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("component", "n", "sketch", *more)))
 
     grouped, edges = traits.select("node", F.col("node").alias("component")), None
     for step, hubs in enumerate((*bands.hubs, None)):
@@ -234,7 +242,11 @@ def links(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
         apart = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
         rows = rows.join(apart, "bucket")
         if hubs is None:
-            pairs = side(rows, "a").join(side(rows, "b"), "bucket").filter(F.col("a_component") < F.col("b_component"))
+            # A pair that shares several bands is taken in the first of them.
+            marked = rows.join(marks, "node")
+            shared = F.array_position(F.zip_with("a_marks", "b_marks", lambda x, y: x == y), F.lit(True))
+            pairs = (side(marked, "a", "marks", "band").join(side(marked, "b", "marks"), "bucket")
+                     .filter((F.col("a_component") < F.col("b_component")) & _alike(bands, "a", "b") & (shared == F.col("a_band") + 1)))
         else:
             # The least member by a hash that is the same in all buckets: groups mostly meet the same hub everywhere.
             rank = F.xxhash64("node", F.lit(step))
@@ -253,10 +265,11 @@ def classify(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", text:
     signed = signatures(docs, bands, id, text)
     texts = saved(signed.filter("n > 0").groupBy("key").agg(F.min("row").alias("node")))
     bucketed = (signed.select("row", "bands").join(texts.select(F.col("node").alias("row")), "row")
-                .select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node"))
+                .select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "node"))
     shared = bucketed.groupBy("bucket").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("bucket")
     members = saved(bucketed.join(shared, "bucket"))
-    nodes = saved(signed.select(F.col("row").alias("node"), "n", "sketch", "bag").join(members.select("node").distinct(), "node"))
+    in_short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
+    nodes = saved(signed.select(F.col("row").alias("node"), "n", "sketch", "bag", in_short.alias("marks")).join(members.select("node").distinct(), "node"))
     grouped = links(members, nodes, bands)
     of_text = saved(texts.join(grouped, "node", "left").select("key", F.coalesce("component", "node").alias("class")))
     placed = signed.select("row", "doc", "key", "n").join(of_text, "key", "left").withColumn("class", F.coalesce("class", "row"))

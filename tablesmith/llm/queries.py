@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, langid, mixing, neardup, quality, secrets, toxicity, warc
+from tablesmith.llm import decontaminate, langid, mixing, neardup, quality, secrets, tokens, toxicity, warc
 from tablesmith.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~held_out & F.col("lang").isNotNull()))
     found = langid.identify(docs, model, spans=False).withColumnRenamed("doc", "doc_id")
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokens.new_folder(spark)
+    places = tokens.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return tokens.count_tokens(spark, folder).join(places, ["file", "ordinal"]).select(F.col("doc").alias("doc_id"), "n_tokens")
