@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, langid, mixing, neardup, quality, secrets, tokens, toxicity, warc
+from tablesmith.llm import decontaminate, langid, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
 from tablesmith.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokens.new_folder(spark)
     places = tokens.write_tokens(table(spark, sf_dir, "documents"), folder)
     return tokens.count_tokens(spark, folder).join(places, ["file", "ordinal"]).select(F.col("doc").alias("doc_id"), "n_tokens")
+
+
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept").cast("long")
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
