@@ -114,8 +114,8 @@ RECORD = "(CAST(c_custkey AS VARCHAR) || '|' || event_type || '|' || CAST(event_
 def meta_sql(events: tuple[EventSpec, ...] = PAIR) -> str:
     return f"""
     SELECT *, {S.AS_OF} + to_seconds(CAST(elapsed AS BIGINT)) AS event_timestamp,
-           'JRN-' || upper(substr({S.hexes('journey_id', 'c_custkey')}, 1, 12)) AS journey_id,
-           upper(substr({S.hexes('transaction_id', RECORD)}, 1, 10)) AS own_digits FROM ({clock_sql(events)})"""
+           'JRN-' || upper({S.hexes('journey_id', 'c_custkey')}) AS journey_id,
+           upper({S.hexes('transaction_id', RECORD)}) AS own_digits FROM ({clock_sql(events)})"""
 
 
 META = meta_sql()

@@ -142,6 +142,11 @@ on_customer(
     [BALANCE, ColumnSpec("lohi", "float", "uniform", {"lo": "1.5", "hi": 9}), ColumnSpec("swapped", "float", "uniform", {"min": 5, "max": 2})],
     {"balance": BALANCE_SQL, "lohi": S.cents(1.5, 9, "lohi", KEY), "swapped": "5.0::DOUBLE"},
 )
+on_customer(
+    "gen_uniform_wide",
+    [ColumnSpec("amount", "float", "uniform", {"min": 0, "max": 1_000_000_000})],
+    {"amount": f"(CAST(((CAST({S.u32('amount', KEY, 0)} AS HUGEINT) * 4294967296 + {S.u32('amount', KEY, 1)}) * 100000000001) // 18446744073709551616 AS DOUBLE) / 100.0::DOUBLE)"},
+)
 on_customer(
     "gen_lognormal",
     [ColumnSpec("clv", "float", "lognormal", {"mu": 5.5, "sigma": 0.8, "min": 25.0, "max": 2500.0})],

@@ -238,7 +238,7 @@ def broken(spark, sf_dir):
 
 
 def new_id(prefix: str, column: str) -> str:
-    return f"'{prefix}' || upper(substr({S.hexes('new:' + column, 'event_id')}, 1, 12))"
+    return f"'{prefix}' || upper({S.hexes('new:' + column, 'event_id')})"
 
 
 @query("fill_missing_ids", f"""

@@ -143,6 +143,19 @@ def apply_changes_in_order(spark, sf_dir):
     return C.apply_changes(base, "c_custkey", edits=one.unionByName(two), seq="at")
 
 
+@query("apply_changes_repeated", """
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'late' WHEN c_custkey % 3 = 1 THEN 'again' ELSE c_mktsegment END AS c_mktsegment,
+           CASE WHEN c_custkey % 3 = 0 THEN 1.0 WHEN c_custkey % 3 = 1 THEN 2.0 ELSE c_acctbal END AS c_acctbal FROM customer""")
+def apply_changes_repeated(spark, sf_dir):
+    """Three edits and two adds of one key: the last given value of each field, and the last add, win."""
+    base, k = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), F.col("c_custkey")
+    change = lambda rest, at, segment, balance: base.filter(k % 3 == rest).select(
+        k, F.lit(segment).cast("string").alias("c_mktsegment"), F.lit(balance).cast("double").alias("c_acctbal"), F.lit(at).alias("at"))
+    edits = change(0, 3, "late", None).unionByName(change(0, 1, "early", 5.0)).unionByName(change(0, 2, "string", 1.0))
+    adds = change(1, 2, "again", 2.0).unionByName(change(1, 1, "first", 9.0))
+    return C.apply_changes(base, "c_custkey", None, edits, adds, seq="at")
+
+
 @query("apply_changes_strict", """
     SELECT CASE WHEN n_nationkey % 5 = 2 THEN n_nationkey + 100 ELSE n_nationkey END AS n_nationkey, CASE WHEN n_nationkey % 5 = 1 THEN 'NEW NAME' ELSE n_name END AS n_name
     FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, 'BACK' FROM nation WHERE n_nationkey % 10 = 0""")
@@ -187,6 +200,20 @@ def apply_grouped_changes_hot_keys(spark, sf_dir):
     return _grouped(spark, sf_dir, 10)
 
 
+@query("apply_grouped_changes_repeated", """
+    SELECT l_orderkey, l_suppkey, l_linenumber, CASE WHEN l_suppkey % 10 = 1 THEN 4.0 ELSE l_quantity END AS l_quantity, CASE WHEN l_suppkey % 10 = 1 THEN 'B' ELSE l_returnflag END AS l_returnflag
+    FROM lineitem WHERE NOT (l_orderkey % 50 = 0)
+    UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, CAST(NULL AS INTEGER), 2.0, 'Y' FROM lineitem WHERE l_orderkey % 50 = 0""")
+def apply_grouped_changes_repeated(spark, sf_dir):
+    """Two edits of one supplier and two adds of one (order, supplier): one row each, with the last values; blank values are not given."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_quantity", "l_returnflag")
+    names = lines.select("l_suppkey").distinct().filter(F.col("l_suppkey") % 10 == 1)
+    made = lambda rows, at, q, flag: rows.withColumns({"at": F.lit(at), "l_quantity": F.lit(q).cast("double"), "l_returnflag": F.lit(flag)})
+    pairs = lines.filter(F.col("l_orderkey") % 50 == 0).select("l_orderkey", "l_suppkey").distinct()
+    return C.apply_grouped_changes(lines, "l_orderkey", "l_suppkey", "l_linenumber", None, made(names, 2, 4.0, " string").unionByName(made(names, 1, 3.0, "B")),
+                                   made(pairs, 1, 1.0, "X").unionByName(made(pairs, 2, 2.0, "Y")), seq="at")
+
+
 # Cleaning, names, profiles
 
 
@@ -209,8 +236,8 @@ def canonical_columns(spark, sf_dir):
 
 @query("normalised_events", """
     SELECT replace(upper(trim(event_type)), ' ', '_') || '_EVENT' AS event_type, position, 'transaction_amount props' AS fields, CAST(greatest(1, low) AS BIGINT) AS min_occurrences,
-           CAST(greatest(greatest(1, low), least(1000, high)) AS BIGINT) AS max_occurrences
-    FROM (SELECT event_type, min(event_id) AS position, count(*) - 2000 AS low, count(*) AS high FROM events GROUP BY event_type ORDER BY position LIMIT 8)""")
+           CAST(greatest(greatest(1, low), high) AS BIGINT) AS max_occurrences
+    FROM (SELECT event_type, min(event_id) AS position, count(*) - 2000 AS low, count(*) AS high FROM events GROUP BY event_type)""")
 def normalised_events(spark, sf_dir):
     found = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("position"), F.count("*").alias("n"))
     raw = found.select(F.concat(F.lit(" "), "event_type", F.lit(" Event ")).alias("event_type"), "position",

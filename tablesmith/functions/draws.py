@@ -46,10 +46,19 @@ class Draws:
         return F.shiftrightunsigned(word, 32) if slot % 2 == 0 else word.bitwiseAND(F.lit(SPAN - 1))
 
     def below(self, n: int | Column, slot: int = 0) -> Column:
-        """An integer in [0, n), n at most 2**31."""
-        if isinstance(n, int) and not 0 < n <= 1 << 31:
-            raise ValueError(f"draw range {n} does not fit one slot")
-        return F.shiftright(self.u32(slot) * n, 32)
+        """An integer in [0, n). Ranges above 2**31 are drawn from two slots (``slot`` and the next), in exact decimals."""
+        if isinstance(n, int) and not 0 < n < 1 << 62:
+            raise ValueError(f"draw range {n} is outside 1 .. 2**62")
+        narrow = lambda k: F.shiftright(self.u32(slot) * k, 32)
+        if isinstance(n, int):
+            return narrow(n) if n <= 1 << 31 else self._wide(F.lit(n), slot)
+        return F.when(n <= 1 << 31, narrow(F.least(n, F.lit(1 << 31)))).otherwise(self._wide(n, slot))
+
+    def _wide(self, n: Column, slot: int) -> Column:
+        # floor(word * n / 2**64) for a 64-bit word, as (high * n + floor(low * n / 2**32)) / 2**32.
+        exact = lambda c: c.cast("decimal(20,0)")
+        low = F.call_function("div", exact(self.u32(slot + 1)) * exact(n), exact(F.lit(SPAN)))
+        return F.call_function("div", exact(self.u32(slot)) * exact(n) + low, exact(F.lit(SPAN)))
 
     def between(self, low: int, high: int, slot: int = 0) -> Column:
         return F.lit(low) + self.below(high - low + 1, slot)

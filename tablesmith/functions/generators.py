@@ -94,7 +94,7 @@ def build(context: Context) -> Column:
 
 @generator("prefixed_int")
 def prefixed_int(ctx: Context) -> Column:
-    """Prefix and a d-digit number. Integer keys are permuted, so ids are unique by construction."""
+    """Prefix and a number of d digits, more for keys past 9 * 10^(d-1). Integer keys are permuted, so ids are unique by construction."""
     digits = int(ctx.params["digits"])
     low, size = 10 ** (digits - 1), 9 * 10 ** (digits - 1)
     if ctx.integral_key:
@@ -102,9 +102,11 @@ def prefixed_int(ctx: Context) -> Column:
             raise ValueError("prefixed_int supports up to 15 digits")
         a, b = permutation(ctx.draws.seed, ctx.draws.field, size)
         key = ctx.draws.key.cast("bigint")
-        number = F.when((key >= 0) & (key < size), F.lit(low) + (key * a + b) % size).otherwise(
-            F.raise_error(F.concat(F.lit(f"{ctx.column.name}: key outside the {digits}-digit id space: "), key.cast("string")))
-        )
+        # Keys beyond the declared digits get longer numbers: the key's block of ids in front, then a number of the block.
+        block = F.call_function("div", key, F.lit(size))
+        number = F.lit(low) + (F.pmod(key, F.lit(size)) * a + b) % size
+        number = F.when(key < 0, F.raise_error(F.concat(F.lit(f"{ctx.column.name}: negative key: "), key.cast("string"))).cast("string")).otherwise(
+            F.concat(F.when(block > 0, block.cast("string")).otherwise(""), number.cast("string")))
     elif size <= 1 << 31:
         number = ctx.draws.between(low, low + size - 1)
     else:
@@ -211,20 +213,16 @@ def constant(ctx: Context) -> Column:
 # Numbers
 
 
-def _cents(low: Column | float, high: Column | float, u32: Column) -> Column:
+def _cents(low: float, high: float, draws: Draws) -> Column:
     """Uniform over whole cents in [low, high]; swapped bounds collapse to low."""
-    if isinstance(low, float) and isinstance(high, float):
-        first, last = round(low * 100), round(max(low, high) * 100)
-        return (F.lit(first) + F.shiftright(u32 * (last - first + 1), 32)) / F.lit(100.0)
-    first = F.round(low * 100).cast("bigint")
-    last = F.round(F.greatest(low, high) * 100).cast("bigint")
-    return (first + F.shiftright(u32 * (last - first + 1), 32)) / F.lit(100.0)
+    first, last = round(low * 100), round(max(low, high) * 100)
+    return (F.lit(first) + draws.below(last - first + 1)) / F.lit(100.0)
 
 
 @generator("uniform")
 def uniform(ctx: Context) -> Column:
     low = ctx.number("min", "lo", default=0.0)
-    return _cents(low, ctx.number("max", "hi", default=low), ctx.draws.u32(0))
+    return _cents(low, ctx.number("max", "hi", default=low), ctx.draws)
 
 
 @generator("int_range")
@@ -241,7 +239,7 @@ def uniform_bounded(ctx: Context) -> Column:
     high = F.lit(spare) if found is None else F.coalesce(V.as_number(*found), F.lit(spare))
     first = round(low * 100)
     last = F.floor(F.greatest(F.lit(low), high) * 100 + 0.5)
-    return (F.lit(first) + F.shiftright(ctx.draws.u32(0) * (last - first + 1), 32)) / F.lit(100.0)
+    return (F.lit(first) + ctx.draws.below(last - first + 1)) / F.lit(100.0)
 
 
 def normal(draws: Draws) -> Column:

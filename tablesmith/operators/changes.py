@@ -76,16 +76,28 @@ def _value(f: T.StructField, have: set[str]) -> Column:
     return F.when(_given(c, f.dataType), c)
 
 
+def _once(rows: Column, what: str, key: Column) -> Column:
+    """True; several changes of one kind to one key without a sequence fail the job, because none of them is the last."""
+    text = F.concat(F.lit(f"several {what} without a sequence for key "), F.coalesce(key.cast("string"), F.lit("null")))
+    return F.when(rows > 1, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+
+
+def _last_edit(fields: list[T.StructField], at: Column) -> Column:
+    """For every field its last given value, as a struct (an aggregate)."""
+    return F.struct(*[F.max_by(F.col(f"__new.{f.name}"), F.when(F.col(f"__new.{f.name}").isNotNull(), at)).alias(f.name) for f in fields])
+
+
 def apply_changes(base: DataFrame, key: str, deletes: DataFrame | None = None, edits: DataFrame | None = None,
                   adds: DataFrame | None = None, seq: str | None = None) -> DataFrame:
     """Delete, then edit, then add rows by a unique key.
 
     Placeholder keys and values count as not given. Edits of unknown or deleted keys do nothing and missing values leave
-    the old one; an added row replaces a deleted or existing one. With ``seq`` several edits or adds of a key are applied in that order. All changes are merged per key
-    first, so the base table is shuffled once whatever the mix of changes.
+    the old one; an added row replaces a deleted or existing one. With ``seq`` the last edit of a field and the last add
+    of a key win; without it a repeated key among the edits or adds fails the job. All changes are merged by key first.
+    The base table is left-joined to the merged changes, so it stays in place where Spark finds those small enough to
+    send; added rows come from the changes alone.
     """
     fields = [f for f in base.schema.fields if f.name != key]
-    parts = []
 
     def part(df: DataFrame, kind: str) -> DataFrame:
         df = df.filter(_given(F.col(key), base.schema[key].dataType))
@@ -94,76 +106,99 @@ def apply_changes(base: DataFrame, key: str, deletes: DataFrame | None = None, e
         at = F.col(seq) if seq and seq in have else F.lit(0)
         return df.select(F.col(key), F.lit(kind).alias("__kind"), at.cast("bigint").alias("__at"), values.alias("__new"))
 
-    for df, kind in ((deletes, "delete"), (edits, "edit"), (adds, "add")):
-        if df is not None:
-            parts.append(part(df, kind))
+    parts = [part(df, kind) for df, kind in ((deletes, "delete"), (edits, "edit"), (adds, "add")) if df is not None]
     if not parts:
         return base
     changes = parts[0]
     for p in parts[1:]:
         changes = changes.unionByName(p)
     is_edit, is_add = F.col("__kind") == "edit", F.col("__kind") == "add"
-    edited = [F.max_by(F.col(f"__new.{f.name}"), F.when(is_edit & F.col(f"__new.{f.name}").isNotNull(), F.col("__at"))).alias(f.name) for f in fields]
     merged = changes.groupBy(key).agg(
         F.bool_or(F.col("__kind") == "delete").alias("__deleted"), F.bool_or(is_add).alias("__added"),
-        F.max_by(F.col("__new"), F.when(is_add, F.col("__at"))).alias("__add"), F.struct(*edited).alias("__edit"))
-    both = base.withColumn("__known", F.lit(True)).join(merged, key, "full_outer")
-    keep = F.col("__added") | (F.col("__known") & ~F.coalesce("__deleted", F.lit(False)))
-    value = lambda f: F.when(F.col("__added"), F.col(f"__add.{f.name}")).otherwise(
-        F.coalesce(F.col(f"__edit.{f.name}"), F.col(f.name))).alias(f.name)
-    kept = both.filter(F.coalesce(keep, F.lit(False)))
-    return kept.select(*[F.col(key) if c == key else value(base.schema[c]) for c in base.columns])
+        F.max_by(F.col("__new"), F.when(is_add, F.col("__at"))).alias("__add"), _last_edit(fields, F.when(is_edit, F.col("__at"))).alias("__edit"),
+        F.count_if(is_edit).alias("__edits"), F.count_if(is_add).alias("__adds"))
+    if seq is None:
+        merged = merged.filter(_once(F.col("__edits"), "edits", F.col(key)) & _once(F.col("__adds"), "adds", F.col(key)))
+    gone = F.coalesce(F.col("__deleted") | F.col("__added"), F.lit(False))
+    kept = base.join(merged.select(key, "__deleted", "__added", "__edit"), key, "left").filter(~gone)
+    changed = lambda f: F.coalesce(F.col(f"__edit.{f.name}"), F.col(f.name)).alias(f.name)
+    kept = kept.select(*[F.col(key) if c == key else changed(base.schema[c]) for c in base.columns])
+    if adds is None:
+        return kept
+    return kept.unionByName(merged.filter("__added").select(*[F.col(key).cast(base.schema[key].dataType).alias(key) if c == key else F.col(f"__add.{c}").alias(c) for c in base.columns]))
 
 
 def change_violations(base: DataFrame, key: str, edits: DataFrame | None = None, adds: DataFrame | None = None,
                       renamed: str | None = None) -> DataFrame:
-    """What the strict rules forbid: edits of unknown keys, adds of existing keys, renames onto a taken key."""
-    empty = base.select(F.col(key), F.lit("").alias("problem")).limit(0)
-    found = empty
+    """What the strict rules forbid: edits of unknown keys, adds of existing keys, renames onto a taken key.
+
+    Every key that a change mentions is put in one list, counted, and looked up in the base table once.
+    """
+    mentions = base.select(F.col(key), F.lit("").alias("__as")).limit(0)
     if edits is not None:
-        wanted = edits.select(key).distinct()
-        found = found.unionByName(wanted.join(base, key, "left_anti").withColumn("problem", F.lit("edit of unknown key")))
+        mentions = mentions.unionByName(edits.select(F.col(key), F.lit("edit").alias("__as")))
         if renamed is not None:
-            targets = edits.filter(F.col(renamed).isNotNull() & (F.col(renamed) != F.col(key))).select(F.col(renamed).alias(key))
-            taken = targets.join(base, key, "left_semi").unionByName(targets.groupBy(key).count().filter("count > 1").select(key))
-            found = found.unionByName(taken.distinct().withColumn("problem", F.lit("rename onto existing key")))
+            mentions = mentions.unionByName(edits.filter(F.col(renamed).isNotNull() & (F.col(renamed) != F.col(key))).select(F.col(renamed).alias(key), F.lit("rename").alias("__as")))
     if adds is not None:
-        clash = adds.select(key).join(base, key, "left_semi")
-        twice = adds.groupBy(key).count().filter("count > 1").select(key)
-        found = found.unionByName(clash.unionByName(twice).distinct().withColumn("problem", F.lit("add of existing key")))
-    return found
+        mentions = mentions.unionByName(adds.select(F.col(key), F.lit("add").alias("__as")))
+    counted = mentions.groupBy(key).agg(*[F.count_if(F.col("__as") == k).alias(f"__{k}s") for k in ("edit", "rename", "add")])
+    known = base.select(F.col(key), F.lit(True).alias("__known")).join(counted, key, "left_semi").groupBy(key).agg(F.first("__known").alias("__known"))
+    looked_up = counted.join(known, key, "left")
+    exists = F.col("__known").isNotNull()
+    problems = F.array_compact(F.array(
+        F.when((F.col("__edits") > 0) & ~exists, "edit of unknown key"),
+        F.when((F.col("__renames") > 0) & (exists | (F.col("__renames") > 1)), "rename onto existing key"),
+        F.when((F.col("__adds") > 0) & (exists | (F.col("__adds") > 1)), "add of existing key")))
+    return looked_up.select(key, F.explode(problems).alias("problem"))
 
 
 def apply_changes_strict(base: DataFrame, key: str, deletes: DataFrame | None = None, edits: DataFrame | None = None,
                          adds: DataFrame | None = None, renamed: str | None = None) -> DataFrame:
     """As apply_changes, but any violation fails, and an edit may give its row a new key in column ``renamed``."""
+
+    def sound(problems: DataFrame) -> None:
+        if (found := problems.first()) is not None:
+            raise ValueError(f"change set breaks the strict rules, for example {found.asDict()}")
+
     left = base if deletes is None else base.join(deletes.select(key), key, "left_anti")
-    problems = change_violations(left, key, edits, None, renamed)
-    if not problems.isEmpty():
-        raise ValueError(f"change set breaks the strict rules, for example {problems.first().asDict()}")
+    if edits is not None:
+        sound(change_violations(left, key, edits, None, renamed))
     changed = apply_changes(left, key, edits=None if edits is None else edits.drop(*[c for c in [renamed] if c]))
     if renamed is not None and edits is not None:
         names = edits.filter(F.col(renamed).isNotNull()).select(key, F.col(renamed).alias("__renamed"))
         changed = changed.join(names, key, "left").withColumn(key, F.coalesce("__renamed", key)).select(*base.columns)
-    problems = change_violations(changed, key, None, adds)
-    if not problems.isEmpty():
-        raise ValueError(f"change set breaks the strict rules, for example {problems.first().asDict()}")
-    return changed if adds is None else changed.unionByName(adds.select(*base.columns))
+    if adds is None:
+        return changed
+    sound(change_violations(changed, key, None, adds))
+    return changed.unionByName(adds.select(*base.columns))
 
 
 def apply_grouped_changes(base: DataFrame, group: str, name: str, order: str, deletes: DataFrame | None = None,
-                          edits: DataFrame | None = None, adds: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                          edits: DataFrame | None = None, adds: DataFrame | None = None, hot_rows: int = HOT_ROWS, seq: str | None = None) -> DataFrame:
     """Change set on a composite key: deletes and edits name only ``name`` and hit all its rows; adds upsert (group, name).
 
-    A name on a large part of the table is spread over several tasks; ``order`` is any column that varies within a name.
+    Placeholder names and values count as not given. With ``seq`` the last edit of a field and the last add of a
+    (group, name) win; without it repeats fail the job. A name on a large part of the table is spread over several tasks;
+    ``order`` is any column that varies within a name.
     """
     fields = [f for f in base.schema.fields if f.name not in (group, name)]
+
+    def given(df: DataFrame) -> DataFrame:
+        return df.filter(_given(F.col(name), base.schema[name].dataType))
+
+    def part(df: DataFrame, *keys: str) -> DataFrame:
+        have = set(df.columns)
+        at = F.col(seq) if seq and seq in have else F.lit(0)
+        return given(df).select(*keys, at.cast("bigint").alias("__at"), F.struct(*[_value(f, have).alias(f.name) for f in fields]).alias("__new"))
+
     changes = None
     if deletes is not None:
-        changes = deletes.select(name).distinct().withColumn("__deleted", F.lit(True))
+        changes = given(deletes).select(name).distinct().withColumn("__deleted", F.lit(True))
     if edits is not None:
-        have = set(edits.columns)
-        patch = edits.select(name, F.struct(*[_value(f, have).alias(f.name) for f in fields]).alias("__edit"))
+        patch = part(edits, name).groupBy(name).agg(_last_edit(fields, F.col("__at")).alias("__edit"), F.count(F.lit(1)).alias("__rows"))
+        if seq is None:
+            patch = patch.filter(_once(F.col("__rows"), "edits", F.col(name)))
+        patch = patch.drop("__rows")
         changes = patch.withColumn("__deleted", F.lit(False)) if changes is None else changes.join(patch, name, "full_outer")
     out = base
     if changes is not None:
@@ -173,27 +208,34 @@ def apply_grouped_changes(base: DataFrame, group: str, name: str, order: str, de
         patched = lambda f: F.coalesce(F.col(f"__edit.{f.name}"), F.col(f.name))
         out = joined.select(*[F.col(c) if c in (group, name) else patched(base.schema[c]).alias(c) for c in base.columns])
     if adds is not None:
-        out = out.join(adds.select(group, name), [group, name], "left_anti").select(*base.columns).unionByName(adds.select(*base.columns))
+        added = part(adds, group, name).groupBy(group, name).agg(F.max_by("__new", "__at").alias("__new"), F.count(F.lit(1)).alias("__rows"))
+        if seq is None:
+            added = added.filter(_once(F.col("__rows"), "adds", F.col(name)))
+        added = added.select(*[F.col(c) if c in (group, name) else F.col(f"__new.{c}").alias(c) for c in base.columns])
+        out = out.join(added.select(group, name), [group, name], "left_anti").select(*base.columns).unionByName(added)
     return out
 
 
 # Event definitions as a table
 
 
-def normalise_events(df: DataFrame, declared: list[str], aliases: dict[str, str] | None = None, limit: int = 8) -> DataFrame:
+def normalise_events(df: DataFrame, declared: list[str], aliases: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """Clean event definitions (event_type, position, fields, min_occurrences, max_occurrences).
 
     Types become upper snake case, blank ones go, fields are mapped to their canonical names, kept when declared and
-    only once, occurrences are clamped to 1..1000, and the first eight definitions by position remain.
+    only once, and occurrences are 1 at least. More definitions than a given ``limit`` fail the job.
     """
     names = F.transform("fields", lambda f: F.trim(f))
     if aliases:
         table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
         names = F.transform(names, lambda f: F.coalesce(F.try_element_at(table, F.lower(f)), f))
     low = F.greatest(F.lit(1), F.coalesce("min_occurrences", F.lit(1)))
-    high = F.greatest(low, F.least(F.lit(1000), F.coalesce("max_occurrences", F.lit(10))))
+    high = F.greatest(low, F.coalesce("max_occurrences", F.lit(10)))
     clean = df.select(
         F.upper(F.translate(F.trim("event_type"), " ", "_")).alias("event_type"), "position",
         F.array_distinct(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda f: f.isin(declared))).alias("fields"),
         low.alias("min_occurrences"), high.alias("max_occurrences"))
-    return clean.filter(F.col("event_type") != "").orderBy("position").limit(limit)
+    clean = clean.filter(F.col("event_type") != "")
+    if limit is not None and (n := clean.count()) > limit:
+        raise ValueError(f"{n} event definitions, at most {limit} are allowed")
+    return clean

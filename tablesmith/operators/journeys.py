@@ -9,7 +9,7 @@ from tablesmith.functions import expressions as X
 from tablesmith.functions import values as V
 from tablesmith.functions.draws import Draws
 from tablesmith.functions.generators import add_seconds
-from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS, Running, running
+from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS, Running, lookup_join, running
 from tablesmith.operators.synthesize import Settings, column_value, synthesize
 from tablesmith.spec import EventSpec, Spec
 
@@ -21,8 +21,9 @@ def _draws(settings: Settings, field: str, key: Column, attempt: Column | int =
     return Draws(settings.seed, field, key, attempt, settings.mode)
 
 
-def _tag(prefix: str, digits: Column, size: int) -> Column:
-    return F.concat(F.lit(prefix), F.upper(F.substring(digits, 1, size)))
+def _tag(prefix: str, digits: Column) -> Column:
+    """All 128 bits of a draw: ids stay unique at any number of rows."""
+    return F.concat(F.lit(prefix), F.upper(digits))
 
 
 def occurrences(event: EventSpec, settings: Settings, key: Column) -> Column:
@@ -40,7 +41,7 @@ def fan_out(entities: DataFrame, key: str, events: tuple[EventSpec, ...], settin
     """One row per entity, event and occurrence, with the seconds elapsed since the entity's start.
 
     An entity's rows are made together, so up to CLOCK_IN_ROW possible rows the clock is summed inside the row and
-    nothing is shuffled. Above that the sum is a window over one entity (at most 1000 rows per event).
+    nothing is shuffled. Above that the sum is a window over one entity and its declared number of rows.
     """
     ordered = sorted((e.clamped() for e in events), key=lambda e: (e.sequence, e.event_type))
     at, size = F.col(key), sum(e.max_occurrences for e in events)
@@ -89,9 +90,9 @@ def with_metadata(rows: DataFrame, key: str, settings: Settings, base_time: Colu
     start = F.lit(settings.as_of).cast("timestamp_ntz") if base_time is None else base_time
     timed = rows.withColumn("event_timestamp", add_seconds(start, F.col("elapsed_seconds"))).drop("elapsed_seconds")
     day = F.date_format("event_timestamp", "yyyyMMdd")
-    own = F.upper(F.substring(_draws(settings, "transaction_id", record_key(key)).hex(), 1, 10))
+    own = F.upper(_draws(settings, "transaction_id", record_key(key)).hex())
     return timed.withColumns({
-        "journey_id": _tag("JRN-", _draws(settings, "journey_id", F.col(key)).hex(), 12),
+        "journey_id": _tag("JRN-", _draws(settings, "journey_id", F.col(key)).hex()),
         "transaction_id": F.concat(F.lit("TXN-"), day, F.lit("-"), own),
     })
 
@@ -156,7 +157,7 @@ def _missing(c: Column) -> Column:
 def fill_ids(df: DataFrame, order: str, settings: Settings) -> DataFrame:
     """Give rows without a journey or transaction id a new one."""
     df = with_issues(df)
-    new = {n: _tag(prefix, _draws(settings, f"new:{n}", F.col(order)).hex(), 12) for n, prefix in
+    new = {n: _tag(prefix, _draws(settings, f"new:{n}", F.col(order)).hex()) for n, prefix in
            (("journey_id", "JRN-"), ("transaction_id", "TXN-")) if n in df.columns}
     tests = {n: _missing(F.col(n)) for n in new}
     messages = {"journey_id": "journey_id generated", "transaction_id": "transaction_id generated/renewed for uniqueness"}
@@ -169,15 +170,16 @@ def fill_ids(df: DataFrame, order: str, settings: Settings) -> DataFrame:
 def renew_repeated_ids(df: DataFrame, order: str, settings: Settings, id_column: str = "transaction_id") -> DataFrame:
     """Keep an id on its first row and give later rows with the same id a new one.
 
-    First rows come from a map-side combined minimum and are matched on the unique arrival column, so an id
-    shared by a large part of the table never gathers in one task.
+    Ids on several rows come from a map-side combined count and minimum, so an id shared by a large part of the table
+    never gathers in one task. Narrow rows are matched with those ids only, and the table with the short list of repeats.
     """
     df = with_issues(df)
-    present = df.filter(~_missing(F.col(id_column)))
-    firsts = present.groupBy(id_column).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("__first"))
-    marked = df.join(firsts, order, "left")
-    repeated = ~_missing(F.col(id_column)) & F.col("__first").isNull()
-    fresh = _tag("TXN-", _draws(settings, f"new:{id_column}", F.col(order)).hex(), 12)
+    present = df.select(order, id_column).filter(~_missing(F.col(id_column)))
+    several = present.groupBy(id_column).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+    repeats = lookup_join(present, several.select(id_column, "__first"), [id_column], order, "inner").filter(F.col(order) != F.col("__first"))
+    marked = df.join(repeats.select(order, F.lit(True).alias("__repeated")), order, "left")
+    repeated = F.col("__repeated").isNotNull()
+    fresh = _tag("TXN-", _draws(settings, f"new:{id_column}", F.col(order)).hex())
     return marked.withColumns({
         id_column: F.when(repeated, fresh).otherwise(F.col(id_column)),
         "issues": noted((repeated, f"{id_column} generated/renewed for uniqueness")),

@@ -40,7 +40,7 @@ def latest_entities(df: DataFrame, entity: str, order: str, k: int = LATEST) ->
     """Rows of the k entities that appeared last (by first row)."""
     df = keyed_rows(df, entity)
     newest = df.groupBy(entity).agg(F.min(order).alias("__first")).orderBy(F.col("__first").desc()).limit(k)
-    return df.join(F.broadcast(newest.select(entity)), entity, "left_semi")
+    return df.join(newest.select(entity), entity, "left_semi")
 
 
 def identity_attributes(df: DataFrame, entity: str, order: str, attributes: list[str] | None = None) -> DataFrame:

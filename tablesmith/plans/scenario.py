@@ -47,7 +47,8 @@ def with_event_columns(rows: DataFrame, stable: list[str], spec: Spec, settings:
     if not spec.edge_cases or spec.edge_fraction <= 0:
         return J.own_columns(rows, stable, spec, settings)
     numbered = rows.withColumn("__attempt", E.normal_attempt(rows, "__record", spec, settings))
-    return J.own_columns(numbered, stable, spec, settings, F.col("__attempt")).drop("__attempt")
+    made = J.own_columns(numbered, stable, spec, settings, F.col("__attempt"))
+    return E.unmatch(made, spec, None, F.col("__attempt") == E.ATTEMPTS - 1).drop("__attempt")
 
 
 def generate_journeys(df: DataFrame, key: str, spec: Spec, settings: Settings, entities: int | None = None) -> DataFrame:
@@ -93,7 +94,10 @@ def validate(df: DataFrame, spec: Spec, settings: Settings, options: Validation
     key = options.key or options.order or df.columns[0]
 
     def labelled(records: DataFrame) -> DataFrame:
-        return records if "edge_case_name" not in records.columns else E.apply_cases(records, spec, settings, key)
+        if "edge_case_name" in records.columns:
+            return E.apply_cases(records, spec, settings, key)
+        # Without names a label only has to be true; the names found are not kept.
+        return E.name_labelled(records, spec).drop("edge_case_name") if "is_edge_case" in records.columns and spec.edge_cases else records
 
     def clear(records: DataFrame) -> DataFrame:
         return records if not spec.edge_cases or "is_edge_case" not in records.columns else E.unmatch(records, spec)

@@ -36,9 +36,11 @@ def build_session(app: str = "tablesmith", **options: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir. Where none is set, local mode gets one; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = Path(tempfile.mkdtemp(prefix="run-", dir="/tmp")).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -101,7 +101,7 @@ class EventSpec:
 
     def clamped(self) -> EventSpec:
         low = max(1, int(self.min_occurrences))
-        return replace(self, min_occurrences=low, max_occurrences=max(low, min(1000, int(self.max_occurrences))))
+        return replace(self, min_occurrences=low, max_occurrences=max(low, int(self.max_occurrences)))
 
 
 @dataclass(frozen=True)

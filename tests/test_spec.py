@@ -29,7 +29,7 @@ def test_entity_fields_exclude_event_columns_but_keep_the_key():
 
 
 def test_event_occurrences_are_clamped():
-    assert (EventSpec("E", 1, (), -3, 5000).clamped().min_occurrences, EventSpec("E", 1, (), -3, 5000).clamped().max_occurrences) == (1, 1000)
+    assert (EventSpec("E", 1, (), -3, 5000).clamped().min_occurrences, EventSpec("E", 1, (), -3, 5000).clamped().max_occurrences) == (1, 5000)
     assert EventSpec("E", 1, (), 7, 2).clamped().max_occurrences == 7
 
 
