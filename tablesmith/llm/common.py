@@ -32,10 +32,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings of the library, with Arrow batches short enough for very long texts."""
+    """Settings of the library, with batches short enough for very long texts."""
     tune(spark)
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
     return spark
 
 

@@ -12,8 +12,8 @@ The bound is set so that every register is filled; where one isn't, the bound is
 
 *Bands.* Equal texts are one node. Nodes that share a band are candidates. They are compared with a few hubs of their
 band first, which links the members of ordinary groups in linear work; after that only pairs of nodes whose groups are
-still apart are compared, all of them. A sketch of four bits a register discards pairs far below the threshold (four
-standard errors) before their shingles are fetched. Links are joined to classes by passes over the edges.
+still apart are compared, all of them. A sketch of candidates, longer than the signature and with one bit a register,
+discards pairs that are four standard errors below the threshold before their shingles are fetched. Links are joined to classes by passes over the edges.
 
 Defined results: a null text or one without words is a class of its own, and stays; equal texts share a class whatever
 their other columns; repeated rows with one id and text are one document; the class id is the smallest id of its
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,6 @@ from tablesmith.llm.common import SHINGLE_WORDS, byte_column, fresh, mix64, quot
 from tablesmith.llm.graph import components
 
 
-#: Bits of each register that a sketch keeps.
-PLANES = 4
-
-
 @dataclass(frozen=True)
 class Bands:
     """At similarity 0.8, 32 bands of 6 registers miss a pair with probability 0.00006."""
@@ -47,6 +42,7 @@ class Bands:
     rows: int = 6
     threshold: float = 0.8
     hubs: tuple[int, ...] = (1, 8)
+    sketch: int = 1024  # registers of which candidates keep a bit each, a multiple of 64
 
     @property
     def registers(self) -> int:
@@ -158,10 +154,6 @@ def _signatures(bands: Bands):
             band = np.zeros((n, bands.bands), np.uint64)
             for k in range(bands.rows):
                 band = mix64(band + values.reshape(n, bands.bands, bands.rows)[:, :, k])
-            width = -(-bands.registers // 64) * 64
-            hashed = np.pad(mix64(values + np.uint64(7)), ((0, 0), (0, width - bands.registers)))
-            planes = [np.packbits(((hashed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(PLANES)]
-            sketch = np.hstack(planes)
             short = (element >> np.uint64(32)).astype(np.uint32)
             ends = np.searchsorted(text, np.arange(n + 1))
             sizes = np.add.reduceat(np.append(count, 0), np.minimum(ends[:-1], len(count))) * (np.diff(ends) > 0) if len(count) else np.zeros(n, np.int64)
@@ -170,20 +162,37 @@ def _signatures(bands: Bands):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(sizes, pa.int64()), pa.array(list(band.view(np.int64)), pa.list_(pa.int64())),
-                 pa.array(list(sketch), pa.list_(pa.int64())), pa.array(bags, pa.binary())],
-                [*names, "n", "bands", "sketch", "bag"])
+                 pa.array(bags, pa.binary())],
+                [*names, "n", "bands", "bag"])
 
     return run
 
 
 def signatures(docs: DataFrame, bands: Bands, id: str, text: str) -> DataFrame:
-    """One saved row per document: row, doc, key, n shingles, bands, sketch, and the sorted 32-bit shingle hashes."""
+    """One saved row per document: row, doc, key, n shingles, bands, and the sorted 32-bit shingle hashes."""
     rows = docs.select(quoted(id).alias("doc"), text_key(quoted(text)).alias("key"), quoted(text).cast("binary").alias("raw"))
     kind = rows.schema["doc"].dataType.simpleString()
-    signed = rows.mapInArrow(_signatures(bands), f"doc {kind}, key string, n long, bands array<long>, sketch array<long>, bag binary")
+    signed = rows.mapInArrow(_signatures(bands), f"doc {kind}, key string, n long, bands array<long>, bag binary")
     return saved(signed.withColumn("row", F.monotonically_increasing_id()))
 
 
+def _sketched(bands: Bands):
+    """Add the sketch: one bit of each register of a second, longer signature, made from the bag."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                bags = [np.frombuffer(x, np.uint32) for x in batch.column(batch.schema.get_field_index("bag")).to_pylist()]
+                text = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+                element, text, count = counted(np.concatenate(bags).astype(np.uint64), text)
+                values = bag_minhash(mix64(element + np.uint64(99)), text, count, len(bags), bands.sketch).view(np.uint64)
+                bits = np.packbits((mix64(values) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(bits), pa.list_(pa.int64()))], [*batch.schema.names, "sketch"])
+
+    return run
+
+
 def overlap(a: bytes, b: bytes) -> float:
     """Weighted Jaccard of two sorted multisets of 32-bit hashes."""
     def as_set(raw: bytes) -> np.ndarray:
@@ -210,11 +219,9 @@ def _verified(threshold: float):
 
 def _alike(bands: Bands, first: str, second: str) -> Column:
     """Whether two nodes may reach the threshold, by size and by their sketches."""
-    words = -(-bands.registers // 64)
-    differ = [[F.col(f"{first}_sketch")[k].bitwiseXOR(F.col(f"{second}_sketch")[k]) for k in range(w, PLANES * words, words)] for w in range(words)]
-    apart = sum((F.bit_count(reduce(Column.bitwiseOR, x)) for x in differ), F.lit(0))
-    expected = (1 - bands.threshold) * (1 - 2.0**-PLANES)
-    most = bands.registers * expected + 4 * (bands.registers * expected * (1 - expected)) ** 0.5
+    apart = sum((F.bit_count(F.col(f"{first}_sketch")[k].bitwiseXOR(F.col(f"{second}_sketch")[k])) for k in range(bands.sketch // 64)), F.lit(0))
+    expected = (1 - bands.threshold) / 2
+    most = bands.sketch * expected + 4 * (bands.sketch * expected * (1 - expected)) ** 0.5
     small, large = F.least(f"{first}_n", f"{second}_n"), F.greatest(f"{first}_n", f"{second}_n")
     return (small >= large * bands.threshold) & (apart <= most)
 
@@ -269,7 +276,8 @@ def classify(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", text:
     shared = bucketed.groupBy("bucket").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("bucket")
     members = saved(bucketed.join(shared, "bucket"))
     in_short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
-    nodes = saved(signed.select(F.col("row").alias("node"), "n", "sketch", "bag", in_short.alias("marks")).join(members.select("node").distinct(), "node"))
+    shared_nodes = signed.select(F.col("row").alias("node"), "n", "bag", in_short.alias("marks")).join(members.select("node").distinct(), "node")
+    nodes = saved(shared_nodes.mapInArrow(_sketched(bands), "node long, n long, bag binary, marks array<int>, sketch array<long>"))
     grouped = links(members, nodes, bands)
     of_text = saved(texts.join(grouped, "node", "left").select("key", F.coalesce("component", "node").alias("class")))
     placed = signed.select("row", "doc", "key", "n").join(of_text, "key", "left").withColumn("class", F.coalesce("class", "row"))
