@@ -69,7 +69,10 @@ class Chunk:
         windows = np.arange(max(0, n - radix.depth + 1))
         self.windows = windows[windows + radix.depth <= self.high[:len(windows)]]
         self.anchor_of = self._anchors()
-        self.anchors = np.unique(self.anchor_of)
+        marked = np.zeros(n + 1, bool)
+        marked[self.anchor_of] = True
+        self.anchors = np.flatnonzero(marked)
+        self.number = np.cumsum(marked) - 1  # of the anchor at a place
 
     def hashed(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
@@ -153,7 +156,7 @@ class TextFile:
             own = needed[at:at + len(chunk.anchors)]
             at += len(chunk.anchors)
             # Only the window's own anchor is sure to be one in every document that holds the window.
-            picked = chunk.windows[own[np.searchsorted(chunk.anchors, chunk.anchor_of)]]
+            picked = chunk.windows[own[chunk.number[chunk.anchor_of]]]
             yield chunk, ids, picked, chunk.hashed(picked, picked + self.radix.depth)
 
 
@@ -280,7 +283,7 @@ def remove_repeats(docs: DataFrame, radix: Radix = Radix(), id: str = "doc_id",
     """(doc, n_bytes, spans, kept): the removed runs of bytes of each document (start, end), and what is left."""
     folder = f"{shared_folder(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
     texts = write_texts(docs, folder, radix, id, text)
-    total = texts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    n_files, total = texts.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bits = max(0, int(total // 12 // radix.bucket_entries).bit_length())
     replies = texts.select("file", F.lit(0).alias("step"), F.lit(-1).cast("long").alias("bucket"), F.lit(b"").alias("answer"))
 
@@ -308,7 +311,7 @@ def remove_repeats(docs: DataFrame, radix: Radix = Radix(), id: str = "doc_id",
     def windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
         name, answers = table.column("file")[0].as_py(), _answers(table)
         file = opened(name)
-        hashes, owners = _edges(file, answers)
+        hashes, owners, _ = edges(file, *file.flags(answers))
         values, least, _ = _least(hashes, owners)
         return _packed(name, bits, values, values, least)
 
@@ -316,32 +319,36 @@ def remove_repeats(docs: DataFrame, radix: Radix = Radix(), id: str = "doc_id",
         name, answers = table.column("file")[0].as_py(), _answers(table)
         file = opened(name)
         repeated, needed = file.flags(answers)
-        hashes, owners = _edges(file, answers)
+        hashes, owners, chunks = edges(file, repeated, needed)
         _, least, entry = _least(hashes, owners)
         smaller = (answers[3][entry] > 0) | (owners > least[entry]) if len(hashes) else np.zeros(0, bool)
         at = seen = 0
-        for chunk, ids, begin, _ in file.edge_windows(repeated, needed):
-            cover = np.zeros(len(chunk.data) + 1, np.int32)
-            low, high = (x[repeated[at:at + len(chunk.anchors)]] for x in chunk.around())
+        for data, starts, ids, low, high, begin in chunks:
+            cover = np.zeros(len(data) + 1, np.int32)
+            whole = repeated[at:at + len(low)]
             picked = begin[smaller[seen:seen + len(begin)]]
-            np.add.at(cover, low, 1)
-            np.add.at(cover, high, -1)
-            np.add.at(cover, picked, 1)
-            np.add.at(cover, picked + radix.depth, -1)
-            at, seen = at + len(chunk.anchors), seen + len(begin)
-            yield _documents(chunk, ids, np.cumsum(cover[:-1]) > 0)
-
-    def _edges(file: TextFile, answers: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, owners = [], []
-        for chunk, ids, begin, found in file.edge_windows(*file.flags(answers)):
+            for places, step in ((low[whole], 1), (high[whole], -1), (picked, 1), (picked + radix.depth, -1)):
+                np.add.at(cover, places, step)
+            at, seen = at + len(low), seen + len(begin)
+            yield _documents(data, starts, ids, np.cumsum(cover[:-1]) > 0)
+
+    def edges(file: TextFile, repeated: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """Hashes and documents of the windows of pass 3, and of every chunk what the result needs of it."""
+        hashes, owners, chunks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for chunk, ids, begin, found in file.edge_windows(repeated, needed):
             hashes.append(found)
             owners.append(ids[np.searchsorted(chunk.starts, begin, side="right") - 1])
-        return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            chunks.append((chunk.data, chunk.starts, ids, *chunk.around(), begin))
+        return np.concatenate(hashes), np.concatenate(owners), chunks
+
+    def by_file(rows: DataFrame):
+        # Answers are short, the work behind them isn't: as many partitions as files, whatever the bytes say.
+        return rows.repartition(max(1, min(n_files, 100_000)), "file").groupBy("file")
 
     for emit, answer, columns in ((digits, _shared_digits, 2), (surroundings, _shared_surroundings, 3), (windows, _shared_windows, 2)):
-        sent = replies.groupBy("file").applyInArrow(_whole(emit, ["bucket", "file"], columns), "bucket long, file string" + "".join(f", c{k} binary" for k in range(columns)))
+        sent = by_file(replies).applyInArrow(_whole(emit, ["bucket", "file"], columns), "bucket long, file string" + "".join(f", c{k} binary" for k in range(columns)))
         replies = replies.unionByName(saved(sent.groupBy("bucket").applyInArrow(answer, REPLY)))
-    found = replies.groupBy("file").applyInArrow(_results(result), "doc long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    found = by_file(replies).applyInArrow(_results(result), "doc long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return found.withColumn("doc", F.when(F.col("doc") != int(LAST), F.col("doc")))
 
 
@@ -358,13 +365,13 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _RESULT = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("spans", _SPANS), ("kept", pa.binary())])
 
 
-def _documents(chunk: Chunk, ids: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+def _documents(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
     rows = []
     for k, doc in enumerate(ids):
-        a, b = int(chunk.starts[k]), int(chunk.starts[k + 1])
+        a, b = int(starts[k]), int(starts[k + 1])
         own = gone[a:b]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-        rows.append((int(doc), b - a, [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])], chunk.data[a:b][~own].tobytes()))
+        rows.append((int(doc), b - a, [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])], data[a:b][~own].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RESULT)], schema=_RESULT)
 
 

@@ -101,8 +101,10 @@ def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, w
     whole = spark.createDataFrame([(name, size // width) for name, size in listed], "file string, tokens long")
     blocks = (whole.filter("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block_tokens).cast("long"))).alias("start"))
               .select("file", "start", F.least(F.lit(block_tokens), F.col("tokens") - F.col("start")).alias("size")))
+    # Tasks of up to 64 blocks each, and enough of them to keep a small cluster busy.
     n_blocks = sum(-(-size // width // block_tokens) for _, size in listed)
-    blocks = blocks.repartition(max(1, min(n_blocks, 100_000)), "file", "start")
+    tasks = max(-(-n_blocks // 64), min(n_blocks, 2 * spark.sparkContext.defaultParallelism), 1)
+    blocks = blocks.repartition(tasks, "file", "start")
     scanned = saved(blocks.mapInArrow(_separators(folder, separator, width), "file string, start long, size long, found array<long>"))
     # The scan sees one short row per block: separators so far, the place after the last of them, and whether it is the file's end.
     order = Window.partitionBy("file").orderBy("start")
