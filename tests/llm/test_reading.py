@@ -103,7 +103,7 @@ def test_archive_frames():
         list(warc.read_file(io.BytesIO(b"no archive")))
 
 
-@pytest.mark.parametrize("old, new", [(b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: 1", b"Content-Length: 2"), (b"hello", b"hallo"), (b"WARC-Date", b"WARC-Gate")])
+@pytest.mark.parametrize("old, new", [(b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: 5", b"Content-Length: 6"), (b"hello", b"hallo"), (b"WARC-Date", b"WARC-Gate")])
 def test_damaged_records(old, new):
     good = warc.record("1", "http://x/", b"hello", "response", None)
     assert warc.parse(good)["payload"] == b"hello"
