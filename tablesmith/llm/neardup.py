@@ -42,7 +42,7 @@ class Bands:
     rows: int = 6
     threshold: float = 0.8
     hubs: tuple[int, ...] = (1, 8)
-    sketch: int = 1024  # registers of which candidates keep a bit each, a multiple of 64
+    sketch: int = 2048  # registers of which candidates keep a bit each, a multiple of 64
 
     @property
     def registers(self) -> int:

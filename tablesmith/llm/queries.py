@@ -27,11 +27,53 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+SQL["op1_mix_sources"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len({_WORDS.format('text')}), 0) AS size, coalesce(md5(text), '') AS tie,
+         -ln((CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE)
+           / CASE WHEN length(text) > 0 THEN greatest(plain * plain, 0.01) ELSE 1.0 END AS key
+  FROM (SELECT *, length(regexp_replace(text, '[#*$%&|<>{{}}\[\]~^_=+!0-9]', '', 'g')) / length(text)::DOUBLE AS plain FROM documents)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap,
+             sum(source_size) OVER () * 1.5::DOUBLE AS wanted FROM s),
+r AS (SELECT *, row_number() OVER q AS place, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             sum(weight) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w WINDOW q AS (ORDER BY cap / weight, source NULLS LAST)),
+l AS (SELECT arg_min((wanted - below) / open_weight, place) AS level FROM r WHERE (wanted - below) / open_weight <= cap / weight),
+t AS (SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM r LEFT JOIN l ON true),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t)
+SELECT doc_id, size, source_size, target,
+       epochs * size + greatest(0, least(size, round(target - epochs * source_size)::BIGINT
+         - sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, tie ROWS UNBOUNDED PRECEDING)::BIGINT + size)) AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source"""
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+SQL["op4_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, source, text, coalesce(md5(text), '') AS key FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (SELECT doc_id, {_WORDS.format('text')} AS words FROM d)),
+t AS (SELECT doc_id, pos, word, lead(word) OVER q AS second, lead(word, 2) OVER q AS third FROM w WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
+twice AS (SELECT doc_id, pos FROM t WHERE third IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, word, second, third) > 1),
+inside AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM twice, range(3) AS r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, key, line, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain,
+                 len({_WORDS.format('line')}) AS words FROM (SELECT doc_id, source, key, unnest(string_split(text, chr(10))) AS line FROM d)),
+repeated AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE words > 0 GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT key) AS docs FROM d GROUP BY source),
+held AS (SELECT source, plain, count(DISTINCT key) AS holders FROM lines WHERE plain <> '' GROUP BY source, plain),
+bad AS (SELECT held.source, plain FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE holders > 20 AND holders > docs * 0.05::DOUBLE),
+removed AS (SELECT doc_id, sum(words)::BIGINT AS n FROM lines JOIN bad ON lines.source IS NOT DISTINCT FROM bad.source AND lines.plain = bad.plain GROUP BY doc_id),
+m AS (SELECT d.doc_id, coalesce(len({_WORDS.format('text')}), 0) AS n_words, coalesce(length(array_to_string({_WORDS.format('text')}, '')), 0) AS word_chars,
+             coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0) AS n_symbols, coalesce(repeated.n, 0) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words,
+             coalesce(removed.n, 0) AS words_removed
+      FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - words_removed >= n_words * 0.3::DOUBLE AS kept FROM m"""
+
+
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classify(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "class_id", "kept")
