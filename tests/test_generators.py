@@ -81,11 +81,13 @@ def test_fractional_beta_uses_arrow_and_keeps_its_mean(spark):
     assert df.orderBy("id").collect() == synthesize(spark.range(0, 4000, 1, 7), "id", spec, settings()).orderBy("id").collect()
 
 
-def test_ids_outside_the_digit_space_fail(spark):
+def test_ids_past_the_digit_space_get_longer(spark):
     spec = Spec((ColumnSpec("s", "string", "prefixed_int", {"prefix": "S-", "digits": 2}),))
     assert synthesize(spark.range(90), "id", spec, settings()).select("s").distinct().count() == 90
-    with pytest.raises(Exception, match="id space"):
-        synthesize(spark.range(91), "id", spec, settings()).collect()
+    more = synthesize(spark.range(12_000_000 - 5000, 12_000_000).union(spark.range(5000)), "id", spec, settings())
+    assert more.select("s").distinct().count() == 10_000 and more.filter("id < 90 AND length(s) = 4").count() == 90
+    with pytest.raises(Exception, match="negative key"):
+        synthesize(spark.range(-1, 0), "id", spec, settings()).collect()
 
 
 def test_text_keys_work(spark):

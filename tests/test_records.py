@@ -184,6 +184,39 @@ def test_edits_apply_in_order_and_blanks_do_not(spark):
     assert sorted(map(tuple, C.apply_changes(base, "k", edits=edits, seq="seq").collect())) == [(1, "x", 5.0), (2, "b", 2.0)]
 
 
+def test_repeated_changes_need_a_sequence(spark):
+    base = spark.createDataFrame([(1, "g", "a"), (2, "g", "b")], "k int, g string, v string")
+    twice = spark.createDataFrame([(1, "g", "x"), (1, "g", "y")], "k int, g string, v string")
+    for changes in (dict(edits=twice), dict(adds=twice)):
+        with pytest.raises(Exception, match="without a sequence"):
+            C.apply_changes(base, "k", **changes).collect()
+        with pytest.raises(Exception, match="without a sequence"):
+            C.apply_grouped_changes(base, "g", "k", "v", **changes).collect()
+
+
+def test_small_change_sets_leave_the_base_in_place(spark):
+    base = spark.range(1000).withColumn("v", F.lit("a"))
+    done = C.apply_changes(base, "id", edits=spark.range(5).withColumn("v", F.lit("b")))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan and "FullOuter" not in plan and done.filter("v = 'b'").count() == 5
+
+
+def test_ids_of_one_day_do_not_collide(spark):
+    rows = spark.range(3_000_000).selectExpr("id", "'E' AS event_type", "1 AS event_occurrence", "0L AS elapsed_seconds")
+    made = J.with_metadata(rows, "id", SET)
+    assert made.select(F.count_distinct("transaction_id")).first()[0] == 3_000_000
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tablesmith.session import shared_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="share"):
+        shared_folder(cluster)
+
+
 def test_placeholder_keys_and_values_count_as_not_given(spark):
     base = spark.createDataFrame([("a", "x"), ("string", "y")], "k string, v string")
     make = lambda *rows: spark.createDataFrame(rows, "k string, v string")
