@@ -34,7 +34,7 @@ from tablesmith.llm.common import quoted, saved
 from tablesmith.session import shared_folder
 
 TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SEPARATOR = 50256
 WIDTH = 2
 BLOCK_TOKENS = 1 << 21
