@@ -17,12 +17,13 @@ from checks.registry import PORTABLE, query, table
 from checks.repairs import CHECK_LIST, report_row
 from tablesmith.functions.profiles import Profile
 from tablesmith.operators import views as W
+from tablesmith.operators.edgecases import synthesize_normal
 from tablesmith.operators.synthesize import synthesize
 from tablesmith.plans.presets import account_sample, low_balance_catalog, recharge_sample
 from tablesmith.plans.scenario import Validation, generate_journeys, generate_records, validate
 from tablesmith.session import shared_folder
 from tablesmith.sources.definitions import load_spec
-from tablesmith.spec import Spec
+from tablesmith.spec import ColumnSpec, EdgeCase, Spec
 
 HEADER = ["record_type", "name", "dtype", "description", "gen", "params", "depends_on", "nullable", "formula", "event_type", "sequence", "fields",
           "min_occurrences", "max_occurrences", "edge_case_name", "edge_case_description", "condition", "edge_case_percentage", "value"]
@@ -86,6 +87,40 @@ def definition_driven_records(spark, sf_dir):
     return generate_records(table(spark, sf_dir, "customer").select(KEY), KEY, spec, PORTABLE, index=KEY)
 
 
+@query("flat_records_sparse_key", f"""
+    SELECT c_custkey * 7 + 3 AS id, CASE i % 3 WHEN 0 THEN 'ZERO_BALANCE_ACCOUNT' WHEN 1 THEN 'ZERO_BALANCE_SUSPENDED' WHEN 2 THEN 'HIGH_SPEND_OUTLIER' END AS edge_case_name,
+           i IS NOT NULL AS is_edge_case FROM customer LEFT JOIN ({PICKS}) USING (c_custkey)""")
+def flat_records_sparse_key(spark, sf_dir):
+    """Keys with gaps and no index: the job numbers the rows itself and still plants the exact share."""
+    keys = table(spark, sf_dir, "customer").select((F.col(KEY) * 7 + 3).alias("id"))
+    return generate_records(keys, "id", account_sample(), PORTABLE).select("id", "edge_case_name", "is_edge_case")
+
+
+@query("normal_rows_changed", "SELECT count(*) AS records, 0 AS hits, count(*) AS in_bounds FROM customer")
+def normal_rows_changed(spark, sf_dir):
+    """A case that 98 of 100 draws meet: rows that every attempt hits are changed, and no row fails the job."""
+    often = ColumnSpec("score", "float", "uniform", {"min": 0, "max": 100})
+    made = synthesize_normal(table(spark, sf_dir, "customer").select(KEY), KEY, Spec((often,), edge_cases=(EdgeCase("often", "score >= 2"),), edge_fraction=0.01), PORTABLE)
+    return made.agg(F.count("*").alias("records"), F.count_if(F.col("score") >= 2).cast("int").alias("hits"), F.count_if(F.col("score").between(0, 100)).alias("in_bounds"))
+
+
+@query("validated_labels", "SELECT c_custkey, c_acctbal, c_acctbal < 0 AS is_edge_case FROM customer")
+def validated_labels(spark, sf_dir):
+    """Labelled rows without a case name that meet a case keep their values and their label."""
+    spec = Spec((ColumnSpec(KEY, "int"), ColumnSpec("c_acctbal", "float")), edge_cases=(EdgeCase("low", "c_acctbal < 0"), EdgeCase("lower", "c_acctbal < -500")))
+    rows = table(spark, sf_dir, "customer").select(KEY, "c_acctbal", (F.col("c_acctbal") < 0).alias("is_edge_case"))
+    return validate(rows, spec, PORTABLE, Validation(key=KEY)).select(KEY, "c_acctbal", "is_edge_case")
+
+
+@query("catalog_past_its_digits", "SELECT count(*) AS records, count(*) AS different, CAST(8 AS BIGINT) AS longest FROM orders")
+def catalog_past_its_digits(spark, sf_dir):
+    """Keys on both sides of a 7-digit id space: ids stay unique and only the later ones are longer."""
+    ids = Spec((ColumnSpec("subscriber", "string", "prefixed_int", {"prefix": "", "digits": 7}),))
+    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2 + 8_995_000).alias("id"))
+    made = synthesize(keys, "id", ids, PORTABLE)
+    return made.agg(F.count("*").alias("records"), F.count_distinct("subscriber").alias("different"), F.max(F.length("subscriber")).cast("bigint").alias("longest"))
+
+
 # Formulas of the catalog in SQL.
 CATALOG_FORMULAS = {
     "low_balance_threshold_amt": S.rounded("least(15.0::DOUBLE, greatest(0.5::DOUBLE, avg_daily_spend_trailing_30d * (dynamic_lb_threshold_pct / 100.0::DOUBLE)))"),
