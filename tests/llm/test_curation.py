@@ -139,6 +139,21 @@ def test_secrets_found_and_masked(make_docs, odd_rows):
     assert secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_one_text_has_the_same_verdicts_in_every_table(make_docs):
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    uuid = "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+    text = f'{prose(rng, 9)} 1234567890123456 {prose(rng, 9)} {hexes(40)} {prose(rng, 9)} {uuid} {prose(rng, 9)} token = "{hexes(40)}" {prose(rng, 9)}'
+    numbers = [(100 + k, f"{prose(rng, 20)} {rng.randrange(10**15, 10**16)} {prose(rng, 9)}", "s") for k in range(300)]
+    keys = [(500 + k, f'{prose(rng, 20)} password="{hexes(32)}" {prose(rng, 9)}', "s") for k in range(100)]
+    bare = [(1, " ".join(text.split(" token =")[0].split()), "s")]
+    for table in (bare, bare + numbers[:7], bare + numbers + keys):
+        assert [r.secret for r in secrets.scan(make_docs(table)).filter("doc = 1").orderBy("place").collect()] == [False] * 3
+    for table in ([], numbers[:7], keys[:7], numbers + keys):
+        got = secrets.scan(make_docs([(1, text, "s")] + table)).filter("doc = 1").orderBy("place").collect()
+        assert [r.secret for r in got] == [False, False, False, True]
+
+
 def test_candidate_places(make_docs):
     text = "x abcdefgh12345678 y 1234567890123456 \x01 z"
     found = secrets.candidates(make_docs([(1, text, "s")]), "doc_id", "text").orderBy("place").collect()
