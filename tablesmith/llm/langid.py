@@ -6,7 +6,8 @@ that use it. The best labelling of a text's words, with a penalty for every swit
 algorithm and gives its spans. Where no run of words could pay for a switch away from the best single language (a bound
 taken from running sums, exact), the text is one span and the step-by-step pass is left out.
 
-A model is fitted on at most about ``fit_rows`` labelled texts per language, chosen by a hash of the text.
+A model is fitted on at most about ``fit_rows`` different labelled texts per language, chosen by a hash of the text; copies
+count once.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; words without a letter take no side; equal
 texts get equal results; a tie goes to the first language by name; without labelled texts everything is ``und``; empty
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import byte_column, quoted
+from tablesmith.llm.common import byte_column, quoted, text_key
 
 BUCKETS = 1 << 16
 _SPACES = [9, 10, 11, 12, 13, 32]
@@ -53,7 +54,7 @@ _LETTERS = (_SCRIPT > 0) | (np.arange(256) >= 0x80)
 
 @dataclass(frozen=True)
 class Settings:
-    fit_rows: int = 1000  # labelled texts of each language, about
+    fit_rows: int = 1000  # different labelled texts of each language, about
     switch: float = 15.0
     smoothing: float = 0.5
     script_share: float = 0.001  # a language uses a script that has this share of its words
@@ -115,12 +116,13 @@ def _counts(languages: list[str]):
 def train(labelled: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> Model:
     """A model from texts and languages. The driver gets one count per language and bucket, at most."""
     rows = labelled.filter(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).cast("string").alias("lang"), quoted(text).cast("binary").alias("raw"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.select("lang", text_key(F.col("raw")).alias("key")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), bool), settings)
     share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, settings.fit_rows / sizes[x]))) for x in languages))
     picked = rows.filter(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < share * 1_000_000)
+    picked = picked.groupBy("lang", text_key(F.col("raw")).alias("key")).agg(F.first("raw").alias("raw")).drop("key")
     counted = picked.mapInArrow(_counts(languages), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS + len(NAMES)))
     counts[counted["lang"].to_numpy(np.int64), counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(float)

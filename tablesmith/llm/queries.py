@@ -115,7 +115,7 @@ FROM p JOIN f ON sha = first_sha"""
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = toxicity.remainder(F.col("doc_id"), 5) == 0
-    classifier = toxicity.train(docs.join(labels.filter(~held_out & F.col("toxic").isin(0, 1)), "doc_id"))
+    classifier = toxicity.train(docs, labels=labels.filter(~held_out & F.col("toxic").isin(0, 1)))
     scored = toxicity.score(docs, classifier).withColumnRenamed("doc", "doc_id")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

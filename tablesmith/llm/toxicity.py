@@ -7,13 +7,13 @@ the ordinary dictionary alone and once with the toxic one in front of it, so ord
 and the difference in length is what toxic words save. The differences of a text's windows (largest, mean, mean of the
 three largest, shares above two thresholds) are calibrated to a probability by logistic regression.
 
-The classifier is fitted on at most ``fit_rows`` labelled texts of each kind, chosen by a hash of the
-text. For the calibration each half of them is scored with dictionaries of the other half; the final ones are trained on
+The classifier is fitted on at most ``fit_rows`` different labelled texts of each kind, chosen by a hash of the
+text; copies count once. For the calibration each half of them is scored with dictionaries of the other half; the final ones are trained on
 all. Every text is scored as a whole.
 
 Defined results: a null or empty text is one empty window and scores as such; equal texts score alike; labels other
-than 0 and 1 are left out; without labelled texts of both kinds every score is the share of toxic labels (0 without
-labels); empty tables give empty ones; further columns stay out of the result.
+than 0 and 1 are left out; without two different labelled texts of both kinds every score is the share of toxic labels (0
+without labels, copies counted); empty tables give empty ones; further columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import quoted
+from tablesmith.llm.common import quoted, saved, text_key
 
 THRESHOLDS = (1, 2, 4, 6)
 _WORD = re.compile(rb"[^\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]+")
@@ -148,16 +148,25 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50
     return w, centre, scale
 
 
-def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", label: str = "toxic") -> Classifier:
-    """A classifier from texts and labels 0 and 1. At most ``2 * fit_rows`` texts come to the driver."""
-    rows = labelled.select(quoted(text).cast("binary").alias("raw"), quoted(label).cast("int").alias("y")).filter(F.col("raw").isNotNull())
-    picked = []
-    for kind in (0, 1):
-        sample = rows.filter(F.col("y") == kind).withColumn("rank", F.xxhash64("raw", F.lit(5))).orderBy("rank", "raw").limit(fit.fit_rows)
-        picked.append([bytes(r.raw) for r in sample.select("raw").collect()])
+def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", label: str = "toxic", labels: DataFrame | None = None, id: str = "doc_id") -> Classifier:
+    """A classifier from texts and labels 0 and 1. At most ``2 * fit_rows`` different texts come to the driver.
+
+    With ``labels`` the label is in that table and joined by ``id``; only hashes of the texts move to it.
+    """
+    rows = (labelled.withColumn("raw", quoted(text).cast("binary")).filter(F.col("raw").isNotNull())
+            .select(quoted(id if labels is not None else label).alias("own"), "raw", F.xxhash64("raw", F.lit(5)).alias("rank"), text_key(F.col("raw")).alias("key")))
+    hashes = rows.select("own", "rank", "key")
+    kinds = hashes.withColumnRenamed("own", "y") if labels is None else hashes.join(labels.select(quoted(id).alias("own"), quoted(label).alias("y")), "own")
+    # One narrow row for each different text and label; texts follow only for those that are chosen.
+    different = saved(kinds.withColumn("y", F.col("y").cast("int")).filter(F.col("y").isin(0, 1)).groupBy("y", "rank", "key").agg(F.count("*").alias("n")))
+    chosen = [different.filter(F.col("y") == kind).orderBy("rank", "key").limit(fit.fit_rows).collect() for kind in (0, 1)]
+    wanted = different.sparkSession.createDataFrame(sorted({(r["rank"], r["key"]) for x in chosen for r in x}), "rank long, key string")
+    texts = {(r["rank"], r["key"]): bytes(r.raw) for r in rows.join(F.broadcast(wanted), ["rank", "key"]).groupBy("rank", "key").agg(F.first("raw").alias("raw")).collect()}
+    picked = [[texts[r["rank"], r["key"]] for r in x] for x in chosen]
     n, toxic = len(picked[0]) + len(picked[1]), len(picked[1])
     if min(map(len, picked)) < 2:
-        return Classifier(b"", b"", (), (), (), toxic / n if n else 0.0, fit)
+        labels = different.agg(F.sum(F.col("n") * F.col("y")).alias("toxic"), F.sum("n").alias("n")).first()
+        return Classifier(b"", b"", (), (), (), labels.toxic / labels.n if labels.n else 0.0, fit)
     x, y = [], []
     for half in (0, 1):  # each half is scored by dictionaries of the other
         learnt = dictionaries(*(list(dict.fromkeys(t.lower() for t in p[half::2])) for p in picked), fit)

@@ -156,6 +156,23 @@ def test_languages(spark):
     assert 0.5 <= got[902].score < 0.7
 
 
+def test_copies_do_not_crowd_out_other_labelled_texts(spark):
+    rng = random.Random(21)
+    pool = [" ".join(f"{stem}{rng.choice('abcdef')}{rng.choice('xyz')}" for stem in rng.choices(["stone", "river", "plain", "cloud", "grass"], k=40)) for _ in range(120)]
+    rows = [(k, t if k % 2 else f"{t} vile{k % 7} rotten{k % 5} vile{k % 3}", 1 - k % 2, "aabb"[k % 4]) for k, t in enumerate(pool)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    ranked = frame(rows).orderBy(F.xxhash64(F.col("text").cast("binary"), F.lit(5))).collect()
+    lowest = next(r for r in ranked if r.toxic)
+    copied = rows + [(1000 + k, *lowest[1:]) for k in range(60)]
+    fit = toxicity.Fit(fit_rows=30, least_neighbours=2)
+    alone, crowded = toxicity.train(frame(rows), fit), toxicity.train(frame(copied), fit)
+    assert alone.weights and alone == crowded
+    common = next(r for r in frame(rows).orderBy(F.pmod(F.xxhash64(F.col("text").cast("binary")), F.lit(1_000_000))).collect())
+    settings = langid.Settings(fit_rows=20)
+    alone, crowded = (langid.train(frame(x), settings) for x in (rows, rows + [(1000 + k, *common[1:]) for k in range(60)]))
+    assert np.array_equal(alone.tables, crowded.tables) and alone.languages == crowded.languages
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     for _ in range(200):
