@@ -1,8 +1,8 @@
 """Language identification of mixed-language text.
 
 Every word gets a score for each language: the sum of log-likelihoods of its byte trigrams (with the word's ends) in
-that language, relative to the mean over languages. The script of a word (by the range of its first letter) leaves only the languages
-that use it. The best labelling of a text's words, with a penalty for every switch of language, is found by the Viterbi
+that language, relative to the mean over languages. The script of a word (by the range of its first letter; marks and symbols before it
+don't count) leaves only the languages that use it. The best labelling of a text's words, with a penalty for every switch of language, is found by the Viterbi
 algorithm and gives its spans. Where no run of words could pay for a switch away from the best single language (a bound
 taken from running sums, exact), the text is one span and the step-by-step pass is left out.
 
@@ -29,17 +29,19 @@ from tablesmith.llm.common import byte_column, quoted, text_key
 BUCKETS = 1 << 16
 _SPACES = [9, 10, 11, 12, 13, 32]
 
-#: Scripts by the leading UTF-8 bytes of their ranges; bytes not listed stand for symbols or mixed ranges.
-SCRIPTS = [("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC3, 0xCA), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4), ("hebrew", 0xD6, 0xD7),
-           ("arabic", 0xD8, 0xDD), ("indic", 0xE0, 0xE0), ("east_asian", 0xE3, 0xE9), ("hangul", 0xEA, 0xED)]
+#: Scripts by ranges of code points; letters outside them are 'other'.
+SCRIPTS = [("latin", 0x41, 0x2AF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("indic", 0x780, 0xDFF),
+           ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("east_asian", 0x2E80, 0x312F), ("hangul", 0x3130, 0x318F), ("east_asian", 0x3190, 0x9FFF),
+           ("hangul", 0xA960, 0xA97F), ("hangul", 0xAC00, 0xD7FF), ("east_asian", 0xF900, 0xFAFF), ("latin", 0xFF21, 0xFF5A), ("east_asian", 0xFF66, 0xFF9F), ("east_asian", 0x20000, 0x3FFFF)]
 NAMES = ["none", *dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
 
 
 def _script_table() -> np.ndarray:
-    table = np.zeros(256, np.int64)
-    table[0xE1:] = table[0xCB:0xCD] = NAMES.index("other")
+    """The script of every code point, 0 for what is no letter."""
+    table = np.fromiter((NAMES.index("other") if chr(k).isalpha() else 0 for k in range(0x110000)), np.int8, 0x110000)
     for name, low, high in SCRIPTS:
-        table[low:high + 1] = NAMES.index(name)
+        part = table[low:high + 1]
+        part[part > 0] = NAMES.index(name)
     return table
 
 
@@ -49,7 +51,7 @@ _SPACE[_SPACES] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _LOWER[_SPACES] = 32
-_LETTERS = (_SCRIPT > 0) | (np.arange(256) >= 0x80)
+_LETTERS = (_SCRIPT[:256] > 0) | (np.arange(256) >= 0x80)
 
 
 @dataclass(frozen=True)
@@ -81,9 +83,21 @@ def trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(_LETTERS[data], bucket, -1), np.flatnonzero(inside & _SPACE[before]), inside
 
 
+def byte_scripts(data: np.ndarray) -> np.ndarray:
+    """The script of the letter that starts at each byte of UTF-8 text, else 0."""
+    scripts = np.where(data < 0x80, _SCRIPT[data], np.int8(0))
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0xFF >> (size + 1))
+    for k in (1, 2, 3):
+        code = np.where(size > k, (code << 6) | (data[np.minimum(lead + k, len(data) - 1)] & 0x3F), code)
+    scripts[lead] = _SCRIPT[np.minimum(code, 0x10FFFF)]
+    return scripts
+
+
 def word_scripts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The script of each word's first letter; none for words without a letter."""
-    scripts = _SCRIPT[data]
+    scripts = byte_scripts(data)
     letter = np.flatnonzero(scripts > 0)
     if not len(at) or not len(letter):
         return np.zeros(len(at), np.int64)
@@ -177,10 +191,10 @@ def _label(model: Model, with_spans: bool):
                 for d in range(n):
                     own = slice(bounds[d], bounds[d + 1])
                     lettered = scripts[own] > 0
-                    if not lettered.any() and not any(c.isalpha() for c in bytes(data[starts[d]:starts[d + 1]]).decode("utf-8", "replace")):
+                    if not lettered.any():
                         continue
                     path = viterbi(words[own], model.settings.switch)
-                    share = np.bincount(path[lettered], minlength=k) if lettered.any() else np.bincount(path, minlength=k)
+                    share = np.bincount(path[lettered], minlength=k)
                     best = int(np.argmax(share))
                     totals = words[own][path == best].sum(axis=0)
                     lead = totals[best] - np.delete(totals, best).max() if k > 1 else 30.0

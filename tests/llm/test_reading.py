@@ -173,6 +173,30 @@ def test_copies_do_not_crowd_out_other_labelled_texts(spark):
     assert np.array_equal(alone.tables, crowded.tables) and alone.languages == crowded.languages
 
 
+def test_marks_and_symbols_are_no_letters(spark):
+    rng = random.Random(5)
+    rows = [(k, languages(rng, x, 40), x) for k, x in enumerate(["aa", "bb"] * 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    none = ["12 \u2013 15", "5 \u20ac", "3 \u00d7 4", "\u201c7\u201d", "\U0001f600 8", "6 \u00f7 2", "\u3010 1 \u3011"]
+    word = languages(rng, "aa", 1)
+    some = ["\u201c" + " \u201c".join(languages(rng, "aa", 9).split()) + "\u201d", "\u201e" + word, "\u4e00"]
+    docs = spark.createDataFrame(list(enumerate(none + some)), "doc_id long, text string")
+    got = {r.doc: r for r in langid.identify(docs, model).collect()}
+    assert [(got[k].lang_pred, got[k].score) for k in range(len(none))] == [("und", 0.0)] * len(none)
+    assert [got[len(none) + k].lang_pred for k in range(2)] == ["aa"] * 2 and got[len(none) + 2].lang_pred != "und"
+
+
+def test_scripts_by_first_letter():
+    text = "\u201cabc\u201d \u00d7 \u00bfqu\u00e9? \u201e\u0436\u0443 \u3008\u6f22 \u20ac5 \U00020000 \U0001f600a \u00e9t\u00e9 \ud55c\uae00 \u0391\u03b1 12 \u0e01"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    _, at, _ = langid.trigrams(raw, np.array([0, len(raw)]))
+    want = "latin none latin cyrillic east_asian none east_asian latin latin hangul greek none other".split()
+    assert [langid.NAMES[k] for k in langid.word_scripts(raw, at)] == want
+    every = "".join(chr(k) for k in range(0x20000) if not 0xD800 <= k < 0xE000)
+    raw = np.frombuffer(every.encode(), np.uint8)
+    assert (langid.byte_scripts(raw)[(raw & 0xC0) != 0x80] > 0).tolist() == [c.isalpha() for c in every]
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     for _ in range(200):
