@@ -160,6 +160,21 @@ def test_candidate_places(make_docs):
     assert [(r.place, r.candidate, r.before, r.after) for r in found] == [(1, "abcdefgh12345678", "x ", " y "), (2, "1234567890123456", " y ", "   z")]
 
 
+def test_values_of_credential_names(make_docs):
+    secret = ["password=Xk7pQ2vd tail", "a secret=Tr0ub4dor&3x9 b", 'db_password = "m4Lq!w.T9z@p2K#e8" b', 'passphrase = "winter river stone window orange"',
+              "password: correct-horse-battery-staple-lamp", '{"password": "hQ7!zzTk2"}', "passwd: 'jK2.sW9@', next"]
+    plain = ["password: required", "the secret: everybody knew", "token = None", "password = getpass() b", "no name Xk7pQ2vd.x!y b", "password=<password> b"]
+    rows = [(k, f"They walked along the river. {t}", "s") for k, t in enumerate(secret + plain)]
+    got = {k: [] for k, _, _ in rows}
+    for r in secrets.scan(make_docs(rows)).orderBy("place").collect():
+        got[r.doc].append((r.candidate, r.secret))
+    want = ["Xk7pQ2vd", "Tr0ub4dor&3x9", "m4Lq!w.T9z@p2K#e8", "winter river stone window orange", "correct-horse-battery-staple-lamp", "hQ7!zzTk2", "jK2.sW9@"]
+    assert [got[k] for k in range(len(secret))] == [[(x, True)] for x in want]
+    assert not [x for k in range(len(secret), len(rows)) for x in got[k] if x[1]]
+    masked = {r.doc_id: r.text for r in secrets.redact(make_docs(rows)).collect()}
+    assert masked[2].endswith('db_password = "[SECRET]" b') and masked[6].endswith("passwd: '[SECRET]', next") and masked[9].endswith("token = None")
+
+
 # Decontamination
 
 
