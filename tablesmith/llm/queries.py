@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, langid, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
+from tablesmith.llm import decontaminate, langid, manifest, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
 from tablesmith.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,46 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.col("n_bytes") - F.length("kept").cast("long")
     return found.select(F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.when(touched, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    fields = [n_chars if name == "n_chars" else F.col(name) for name in manifest.FIELDS]
+    found = manifest.manifest(docs.withColumn("claimed", manifest.digest(fields)), keep=["claimed"])
+    folded = found.withColumn("folded_root", manifest.fold(F.col("claimed"), F.col("steps")))
+    return folded.select(F.col("doc").alias("doc_id"), "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("steps")), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+#: The steps of a CRC: -1 shifts one bit out, any other value is a byte to take in.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda state, x: CASE WHEN x >= 0 THEN xor(state, x) ELSE xor(state >> 1, (state & 1) * 3988292384) END), 4294967295)"""
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF.format('n_chars')} AS leaf, {_LEAF.format(f'(n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END)')} AS claimed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT 0 AS level, lang, place AS idx, leaf AS digest, n FROM p
+      UNION ALL
+      SELECT level + 1, lang, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY level, lang, idx // 2),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, place AS idx, subroot AS digest, n FROM s
+      UNION ALL
+      SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY level, idx // 2),
+up AS (SELECT place, lang, 0 AS level, place AS idx, n, '' AS proof, claimed AS node FROM p
+       UNION ALL
+       SELECT up.place, up.lang, up.level + 1, up.idx // 2, (up.n + 1) // 2, up.proof || coalesce(t.digest, ''),
+              sha256(CASE WHEN up.idx % 2 = 1 THEN coalesce(t.digest, '') ELSE '' END || up.node || CASE WHEN up.idx % 2 = 0 THEN coalesce(t.digest, '') ELSE '' END)
+       FROM up LEFT JOIN t ON t.lang IS NOT DISTINCT FROM up.lang AND t.level = up.level AND t.idx = xor(up.idx, 1) WHERE up.n > 1),
+top AS (SELECT up.place AS leaf_place, up.lang, s.place AS idx, 0 AS level, s.n, up.proof, up.node FROM up JOIN s ON s.lang IS NOT DISTINCT FROM up.lang WHERE up.n = 1
+        UNION ALL
+        SELECT top.leaf_place, top.lang, top.idx // 2, top.level + 1, (top.n + 1) // 2, top.proof || coalesce(u.digest, ''),
+               sha256(CASE WHEN top.idx % 2 = 1 THEN coalesce(u.digest, '') ELSE '' END || top.node || CASE WHEN top.idx % 2 = 0 THEN coalesce(u.digest, '') ELSE '' END)
+        FROM top LEFT JOIN u ON u.level = top.level AND u.idx = xor(top.idx, 1) WHERE top.n > 1),
+root AS (SELECT digest AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang JOIN top ON top.leaf_place = p.place AND top.lang IS NOT DISTINCT FROM p.lang AND top.n = 1, root"""
