@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, langid, manifest, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
+from tablesmith.llm import decontaminate, langid, linededup, manifest, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
 from tablesmith.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,19 @@ top AS (SELECT up.place AS leaf_place, up.lang, s.place AS idx, 0 AS level, s.n,
 root AS (SELECT digest AS root FROM u WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
 FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang JOIN top ON top.leaf_place = p.place AND top.lang IS NOT DISTINCT FROM p.lang AND top.n = 1, root"""
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op12_line_dedup"] = f"""
+WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (SELECT *, {_KEY} AS key FROM l),
+bad AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, bad.last IS NOT NULL AND bad.last <> doc_id AS gone FROM k LEFT JOIN bad USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
