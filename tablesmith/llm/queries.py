@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, langid, linededup, manifest, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
+from tablesmith.llm import collocations, decontaminate, langid, linededup, manifest, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
 from tablesmith.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,31 @@ bad AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY
 j AS (SELECT k.*, bad.last IS NOT NULL AND bad.last <> doc_id AS gone FROM k LEFT JOIN bad USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+SQL["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+x AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+w AS (SELECT lang, id, unnest(words) AS a, generate_subscripts(words, 1) AS pos FROM x),
+g AS (SELECT lang, a, a || ' ' || lead(a, 1) OVER q AS b, b || ' ' || lead(a, 2) OVER q AS c, c || ' ' || lead(a, 3) OVER q AS d, d || ' ' || lead(a, 4) OVER q AS e
+      FROM w WINDOW q AS (PARTITION BY id ORDER BY pos)),
+f AS MATERIALIZED (SELECT lang, a AS phrase, 1 AS m, count(*) AS f FROM g GROUP BY ALL UNION ALL SELECT lang, b, 2, count(*) FROM g WHERE b IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, c, 3, count(*) FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, d, 4, count(*) FROM g WHERE d IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, e, 5, count(*) FROM g WHERE e IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS words, m, f AS a FROM f WHERE m >= 2 AND f >= 100),
+cut AS MATERIALIZED (SELECT c.*, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail FROM c, unnest(range(1, m)) AS q(k)),
+h AS MATERIALIZED (SELECT cut.*, f.f AS l FROM cut JOIN f ON f.lang || ' ' || f.phrase = cut.lang || ' ' || head),
+t AS MATERIALIZED (SELECT h.*, f.f AS r FROM h JOIN f ON f.lang || ' ' || f.phrase = h.lang || ' ' || tail),
+s AS (SELECT t.lang, phrase, a, k, l, r, n.n::BIGINT AS n, ((1000 * a::HUGEINT * n.n) // (l::HUGEINT * r))::BIGINT AS score FROM t JOIN n ON t.lang = n.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT DISTINCT c.lang, array_to_string(c.words[i:i + m2 - 1], ' ') AS phrase, c.a AS longer FROM c, range(2, 5) AS r(m2), unnest(range(1, c.m - m2 + 2)) AS q(i) WHERE m2 < c.m)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+WHERE NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.lang = b.lang AND inner_.phrase = b.phrase AND 100 * longer >= 100 * b.a)
+QUALIFY rank <= 2000"""
