@@ -350,15 +350,19 @@ def joined_counts(counts: DataFrame, mining: Mining = Mining()) -> DataFrame:
     return rows
 
 
+def scored(rows: DataFrame) -> DataFrame:
+    """Phrases with a, l and r of the cut that scores lowest (the first of these), n and score."""
+    # Exact: products of counts have up to 38 digits as decimals.
+    score = "CAST(CAST(f AS DECIMAL(18,0)) * CAST(n AS DECIMAL(18,0)) * 1000BD div (CAST(c.l AS DECIMAL(18,0)) * CAST(c.r AS DECIMAL(18,0))) AS LONG)"
+    # The cut after k words: the first k, and what is left, the last length - k.
+    cuts = f"transform(zip_with(lefts, reverse(rights), (l, r) -> struct(l, r)), (c, k) -> struct({score} AS score, k, c.l AS l, c.r AS r))"
+    return rows.withColumn("cut", F.array_min(F.expr(cuts))).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "n", "cut.score")
+
+
 def mine(docs: DataFrame, mining: Mining = Mining(), lang: str = "lang", text: str = "text") -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     counts = count_phrases(docs, mining, lang, text)
     totals = counts.filter("length = 0").select("lang", F.col("f").alias("n"))
-    rows = joined_counts(counts, mining).filter("extended IS NULL OR extended < f").join(totals, "lang")
-    # Exact: products of counts have up to 38 digits as decimals.
-    score = "CAST(CAST(f AS DECIMAL(18,0)) * CAST(n AS DECIMAL(18,0)) * 1000BD div (CAST(c.l AS DECIMAL(18,0)) * CAST(c.r AS DECIMAL(18,0))) AS LONG)"
-    # The cut after k words: the first k, and what is left, the last length - k.
-    cuts = rows.withColumn("cuts", F.expr(f"transform(zip_with(lefts, reverse(rights), (l, r) -> struct(l, r)), (c, k) -> struct({score} AS score, k, c.l AS l, c.r AS r))"))
-    best = cuts.withColumn("cut", F.array_min("cuts")).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "n", "cut.score")
+    best = scored(joined_counts(counts, mining).filter("extended IS NULL OR extended < f").join(totals, "lang"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= mining.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -2,7 +2,7 @@
 
 Nodes are labelled (level, index), so that children come before parents. A node's digest is a message to its parent's
 label; a priority queue ordered by label hands each node the digests of its children. The queue is external: a *band* of
-``BAND`` levels is cut into blocks of 2^BAND neighbouring nodes, a task runs the queue of its block, and the tops of the
+``band`` levels is cut into blocks of 2^band neighbouring nodes, a task runs the queue of its block, and the tops of the
 blocks are shuffled to the blocks of the next band. Then the sweep is reversed: each block gets the proof from its top to
 the root, and hands every node below the steps from that node on. A leaf ends with the whole proof.
 
@@ -56,9 +56,9 @@ def fold(leaf: Column, steps: Column) -> Column:
     return F.aggregate(steps, leaf, up)
 
 
-def levels_of(nodes: int) -> int:
+def levels_of(nodes: int, band: int) -> int:
     """Levels that a block climbs in a tree with so many nodes at its foot: a band, or what is left to the root."""
-    return min(BAND, (nodes - 1).bit_length())
+    return min(band, (nodes - 1).bit_length())
 
 
 def forward(leaves: Sequence[str], levels: int) -> dict[tuple[int, int], str]:
@@ -90,23 +90,29 @@ def _ordered(part: pa.Table) -> pa.Table:
     return part.sort_by("index")
 
 
-def _climb(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-    part = _ordered(part)
-    n = part["n"][0].as_py()
-    levels = levels_of(n)
-    top = forward(part["digest"].to_pylist(), levels)[levels, 0]
-    return pa.table({"tree": [key[0].as_py()], "index": [key[1].as_py()], "digest": [top], "n": pa.array([-(-n >> BAND)], pa.int64())})
+def _climb(band: int):
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part = _ordered(part)
+        n = part["n"][0].as_py()
+        levels = levels_of(n, band)
+        top = forward(part["digest"].to_pylist(), levels)[levels, 0]
+        return pa.table({"tree": [key[0].as_py()], "index": [key[1].as_py()], "digest": [top], "n": pa.array([-(-n >> band)], pa.int64())})
 
+    return run
 
-def _descend(key: tuple[pa.Scalar, ...], part: pa.Table, above: pa.Table) -> pa.Table:
-    part = _ordered(part)
-    levels = levels_of(part["n"][0].as_py())
-    nodes = forward(part["digest"].to_pylist(), levels)
-    proofs = backward(nodes, levels, above["steps"][0].as_py())
-    found = part.append_column("steps", pa.array(proofs, pa.list_(pa.string())))
-    for name in ("subroot", "root"):
-        found = found.append_column(name, pa.array([above[name][0].as_py()] * len(proofs), pa.string()))
-    return found
+
+def _descend(band: int):
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table, above: pa.Table) -> pa.Table:
+        part = _ordered(part)
+        levels = levels_of(part["n"][0].as_py(), band)
+        nodes = forward(part["digest"].to_pylist(), levels)
+        proofs = backward(nodes, levels, above["steps"][0].as_py())
+        found = part.append_column("steps", pa.array(proofs, pa.list_(pa.string())))
+        for name in ("subroot", "root"):
+            found = found.append_column(name, pa.array([above[name][0].as_py()] * len(proofs), pa.string()))
+        return found
+
+    return run
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,36 +141,36 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return saved(placed.join(runs, ["tree", "part"]).withColumn("index", F.col("start") + F.col("place")).drop("part", "place", "start"))
 
 
-def climb(leaves: DataFrame) -> list[DataFrame]:
+def climb(leaves: DataFrame, band: int = BAND) -> list[DataFrame]:
     """The nodes at the foot of each band, leaves (tree, index, digest, n) first, tops of trees last."""
     most = leaves.agg(F.max("n")).first()[0] or 1
     bands = [leaves]
     while most > 1 or len(bands) == 1:
-        nodes = bands[-1].select("tree", "index", "digest", "n").withColumn("block", F.shiftright("index", BAND))
-        bands.append(saved(nodes.groupBy("tree", "block").applyInArrow(_climb, "tree string, index long, digest string, n long")))
-        most = -(-most >> BAND)
+        nodes = bands[-1].select("tree", "index", "digest", "n").withColumn("block", F.shiftright("index", band))
+        bands.append(saved(nodes.groupBy("tree", "block").applyInArrow(_climb(band), "tree string, index long, digest string, n long")))
+        most = -(-most >> band)
     return bands
 
 
-def descend(bands: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(bands: list[DataFrame], above: DataFrame, band: int = BAND) -> DataFrame:
     """The leaves with their proofs, given the proofs above the tops of the trees; ``above`` has tree, index, steps, subroot, root."""
     for nodes in reversed(bands[:-1]):
-        nodes = nodes.withColumn("block", F.shiftright("index", BAND))
+        nodes = nodes.withColumn("block", F.shiftright("index", band))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
         above = saved(nodes.groupBy("tree", "block").cogroup(above.select("tree", "index", "steps", "subroot", "root").groupBy("tree", "index"))
-                      .applyInArrow(_descend, f"{fields}, steps array<string>, subroot string, root string"))
+                      .applyInArrow(_descend(band), f"{fields}, steps array<string>, subroot string, root string"))
     return above
 
 
-def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id: str = "doc_id", tree: str = "lang", keep: Sequence[str] = ()) -> DataFrame:
+def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id: str = "doc_id", tree: str = "lang", keep: Sequence[str] = (), band: int = BAND) -> DataFrame:
     """One row per document: doc, leaf, subroot, root, steps (the proof from leaf to root), and the columns in ``keep``."""
     rows = saved(docs.select(F.coalesce(F.concat(F.lit("="), quoted(tree).cast("string")), F.lit("-")).alias("tree"), quoted(id).alias("doc"),
                              digest([quoted(x) for x in fields]).alias("digest"),
                              F.struct(F.lit(0).alias("none"), *[quoted(x) for x in keep]).alias("kept")))
-    bands = climb(numbered(rows, ["doc", "digest"]))
+    bands = climb(numbered(rows, ["doc", "digest"]), band)
     tops = bands[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    last = climb(numbered(tops, ["name"]))
+    last = climb(numbered(tops, ["name"]), band)
     start = last[-1].select("tree", "index", F.array().cast("array<string>").alias("steps"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
-    subroots = descend(last, start)
+    subroots = descend(last, start, band)
     above = subroots.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("index"), "steps", F.col("digest").alias("subroot"), "root")
-    return descend(bands, above).select("doc", F.col("digest").alias("leaf"), "subroot", "root", "steps", *[F.col("kept")[x].alias(x) for x in keep])
+    return descend(bands, above, band).select("doc", F.col("digest").alias("leaf"), "subroot", "root", "steps", *[F.col("kept")[x].alias(x) for x in keep])
