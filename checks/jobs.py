@@ -112,13 +112,19 @@ def validated_labels(spark, sf_dir):
     return validate(rows, spec, PORTABLE, Validation(key=KEY)).select(KEY, "c_acctbal", "is_edge_case")
 
 
-@query("catalog_past_its_digits", "SELECT count(*) AS records, count(*) AS different, CAST(8 AS BIGINT) AS longest FROM orders")
+PAST_KEYS = "(SELECT o_orderkey * 2 + 9000000 - (SELECT max(o_orderkey) FROM orders) AS id FROM orders)"
+
+
+@query("catalog_past_its_digits", f"""
+    SELECT length(CAST(id + 1000000 AS VARCHAR)) AS digits, count(*) AS records, count(DISTINCT id) AS different FROM {PAST_KEYS} GROUP BY 1""")
 def catalog_past_its_digits(spark, sf_dir):
-    """Keys on both sides of a 7-digit id space: ids stay unique and only the later ones are longer."""
+    """Keys on both sides of a 7-digit id space, at any size of the table: ids stay unique and only the later ones are longer."""
     ids = Spec((ColumnSpec("subscriber", "string", "prefixed_int", {"prefix": "", "digits": 7}),))
-    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2 + 8_995_000).alias("id"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    keys = orders.join(F.broadcast(last), F.lit(True)).select((F.col("o_orderkey") * 2 + 9_000_000 - F.col("last")).alias("id"))
     made = synthesize(keys, "id", ids, PORTABLE)
-    return made.agg(F.count("*").alias("records"), F.count_distinct("subscriber").alias("different"), F.max(F.length("subscriber")).cast("bigint").alias("longest"))
+    return made.groupBy(F.length("subscriber").cast("bigint").alias("digits")).agg(F.count("*").alias("records"), F.count_distinct("subscriber").alias("different"))
 
 
 # Formulas of the catalog in SQL.

@@ -291,6 +291,25 @@ def journey_order_hot_keys(spark, sf_dir):
     return _ordered(spark, sf_dir, hot_rows=10, chunk_rows=500).select("event_id", "event_sequence", "event_timestamp")
 
 
+def _spread(rows, by: str):
+    """The same arrivals with other distances between them."""
+    return rows.withColumn("event_id", F.expr(by))
+
+
+@query("journey_order_sparse", ORDER_SQL.replace("SELECT event_id,", "SELECT event_id * 1000003 AS event_id,", 1))
+def journey_order_sparse(spark, sf_dir):
+    """Arrivals a million apart, as a clock in microseconds gives them: chunks still hold a set number of rows."""
+    rows = _spread(by_user(spark, sf_dir), "event_id * 1000003")
+    return J.order_journeys(rows, "event_id", PORTABLE, "entity_id", hot_rows=10, chunk_rows=50).select("event_id", "event_sequence", "event_timestamp")
+
+
+@query("journey_order_clustered", ORDER_SQL.replace("SELECT event_id,", "SELECT event_id + event_id // 700 * 1000000000000 AS event_id,", 1))
+def journey_order_clustered(spark, sf_dir):
+    """Arrivals in dense runs far apart."""
+    rows = _spread(by_user(spark, sf_dir), "event_id + event_id div 700 * 1000000000000")
+    return J.order_journeys(rows, "event_id", PORTABLE, "entity_id", hot_rows=10, chunk_rows=50).select("event_id", "event_sequence", "event_timestamp")
+
+
 @query("journey_entity_key", f"SELECT event_id, first_value(entity_id IGNORE NULLS) OVER ({HISTORY}) AS entity_id FROM ({BROKEN})")
 def journey_entity_key(spark, sf_dir):
     return _ordered(spark, sf_dir).select("event_id", "entity_id")

@@ -5,8 +5,10 @@ into chunks of consecutive arrivals, each chunk is scanned on its own, and the v
 earlier chunks comes from a small table with one row per chunk. Other keys are one chunk each, so the
 data is shuffled once either way.
 
-``order`` must be a unique whole number (arrival), so a chunk holds at most ``chunk_rows`` rows. The
-broadcast list of hot keys has at most table rows / ``hot_rows`` entries.
+Chunks are cut by row counts: a quantile sketch of a hot key's ``order`` (a unique whole number, arrival)
+gives the cuts, so dense, sparse and clustered orders make chunks of about ``chunk_rows`` rows. A key of
+more than ``GRID`` chunks is cut again inside its chunks. The broadcast lists are the hot keys, at most
+table rows / ``hot_rows``, and their cuts, at most table rows / ``chunk_rows`` whole numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from tablesmith.session import saved
 
 HOT_ROWS = 4_000_000
 CHUNK_ROWS = 1_000_000
+GRID = 1024  # quantiles of one sketch; the sketch's own error is a tenth of their distance
 
 
 @dataclass(frozen=True)
@@ -94,17 +97,55 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     return counts.filter(F.col("__rows") > hot_rows)
 
 
+def cuts_below(cuts: Column, at: Column, grid: int) -> Column:
+    """How many of the sorted cuts are at or below a value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(grid.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda done, step: F.when(F.get(cuts, done + step - 1) <= at, done + step).otherwise(done))
+
+
+def quantile_cuts(rows: DataFrame, parts: list[str], order: str, pieces: DataFrame, chunk_rows: int, grid: int) -> DataFrame:
+    """For each piece (parts, __rows): its cuts into chunks of about chunk_rows rows, as one sorted array."""
+    marks = [k / grid for k in range(1, grid)]
+    sketch = F.percentile_approx(F.col(order).cast("bigint"), marks, 10 * grid)
+    found = rows.join(F.broadcast(pieces), parts).groupBy(*parts).agg(F.first("__rows").alias("__rows"), sketch.alias("__marks"))
+    n = F.least(F.lit(grid), F.ceil(F.col("__rows") / chunk_rows)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.get("__marks", F.round(k * grid / n).cast("int") - 1))
+    return found.select(*parts, F.when(n > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<bigint>")).alias("__cuts"))
+
+
+def chunked_by_rows(keyed: DataFrame, group: list[str], order: str, hot: DataFrame, chunk_rows: int, grid: int = GRID) -> DataFrame:
+    """Add ``__chunk``, rising with the order inside a key, and ``__hot`` for keys that are cut.
+
+    ``hot`` (saved) has the keys to cut and their row counts. Only keys and orders are read for the sketches.
+    """
+    out = keyed.join(F.broadcast(hot.select(*group, F.lit(True).alias("__hot"))), group, "left").withColumn("__chunk", F.lit(0).cast("bigint"))
+    parts, pieces = [*group, "__chunk"], hot.withColumn("__chunk", F.lit(0).cast("bigint"))
+    while most := pieces.agg(F.max("__rows")).first()[0]:
+        cuts = saved(quantile_cuts(out.filter("__hot").select(*parts, order), parts, order, pieces, chunk_rows, grid))
+        place = F.when(F.col("__cuts").isNull(), 0).otherwise(cuts_below(F.col("__cuts"), F.col(order), grid))
+        out = out.join(F.broadcast(cuts), parts, "left").withColumn("__chunk", F.col("__chunk") * grid + place).drop("__cuts")
+        if most <= grid * chunk_rows:
+            break
+        pieces = saved(hot_keys(out.filter("__hot").select(*parts), parts, 2 * chunk_rows))
+    return out
+
+
 def running(df: DataFrame, keys: list[str], order: str, values: dict[str, Running], hot_rows: int = HOT_ROWS,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add running values over each key in arrival order, current row included. Null is a key like any other."""
+            chunk_rows: int = CHUNK_ROWS, grid: int = GRID) -> DataFrame:
+    """Add running values over each key in arrival order, current row included. Null is a key like any other.
+
+    Keys are counted first (a small job of its own); without a hot key the scan is a plain window.
+    """
     check_order(df, order)
     keyed, group = with_group_keys(df, keys)
+    hot = saved(hot_keys(keyed.select(*group), group, hot_rows))
+    if hot.isEmpty():
+        within = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return keyed.select(*df.columns, *[v.scan(within).alias(n) for n, v in values.items()])
     at, parts = F.col(order), [*group, "__chunk"]
-    hot = hot_keys(keyed, group, hot_rows)
-    chunk = F.when(F.col("__rows").isNotNull(), whole_div(at, chunk_rows)).otherwise(0)
-    chunked = keyed.join(F.broadcast(hot), group, "left").withColumn("__chunk", chunk.cast("bigint"))
+    chunked = chunked_by_rows(keyed, group, order, hot, chunk_rows, grid)
 
-    totals = chunked.filter("__rows IS NOT NULL").groupBy(*parts).agg(*[v.total(at).alias(f"__{n}") for n, v in values.items()])
+    totals = chunked.filter("__hot").groupBy(*parts).agg(*[v.total(at).alias(f"__{n}") for n, v in values.items()])
     earlier = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*parts, *[v.carry(F.col(f"__{n}"), earlier).alias(f"__before_{n}") for n, v in values.items()])
 

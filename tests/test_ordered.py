@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablesmith.operators.ordered import Running, dense_index, lookup_join, running
+from tablesmith.operators.ordered import Running, chunked_by_rows, dense_index, hot_keys, lookup_join, running
+from tablesmith.session import saved
 
 @pytest.fixture(scope="module")
 def rows():
@@ -36,6 +37,20 @@ def test_running_values_match_a_scan(spark, rows, hot_rows, chunk_rows):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("spread", ["at * 1000003", "at + 1000000000000 * (at div 300)", "at * at * at", "at"])
+@pytest.mark.parametrize("grid", [1024, 4])
+def test_running_values_with_gaps_in_the_order(spark, rows, spread, grid):
+    """Chunks follow row counts, whatever the distances in the order are; a small grid cuts several times."""
+    df = spark.createDataFrame(rows, "at long, k string, v int").selectExpr("at AS plain", f"{spread} AS at", "k", "v")
+    ranks = {r.at: r.plain for r in df.collect()}
+    values = {"top": Running("max", F.col("v")), "total": Running("sum", F.col("v")), "n": Running("count"), "first": Running("first", F.col("v"))}
+    got = {ranks[r.at]: (r.top, r.total, r.n, r.first) for r in running(df, ["k"], "at", values, 50, 20, grid).collect()}
+    assert got == brute(rows)
+    hot = saved(hot_keys(df.select("k").na.fill("null"), ["k"], 50))
+    sizes = chunked_by_rows(df.na.fill("null", ["k"]), ["k"], "at", hot, 20, grid).filter("__hot").groupBy("k", "__chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 40 and len(sizes) >= 15
+
+
 @pytest.mark.parametrize("hot_rows", [10**6, 25, 1])
 def test_lookup_join_keeps_every_row(spark, rows, hot_rows):
     left = spark.createDataFrame(rows, "at long, k string, v int")
