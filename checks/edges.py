@@ -9,6 +9,7 @@ from checks.generators import BALANCE, PLAN, SUBSCRIBER, SUBSCRIBER_SQL
 from checks.registry import PORTABLE, query, table
 from tablesmith.operators import edgecases as E
 from tablesmith.operators import views as W
+from tablesmith.operators.clearing import clear_cases
 from tablesmith.operators.synthesize import synthesize
 from tablesmith.spec import ColumnSpec, EdgeCase, Spec
 
@@ -193,6 +194,72 @@ def normal_rows_unmatched(spark, sf_dir):
     return E.unmatch(customers(spark, sf_dir), CLEAR, label=None)
 
 
+WIDE = [f"f{k}" for k in range(1, 13)]
+#: The digits of twelve fields; the cases share f5 and f8.
+WIDE_DIGITS = {name: 6 * k * k + 5 * k + 1 for k, name in enumerate(WIDE, 1)}
+WIDE_CASES = tuple(EdgeCase(n, " and ".join(f"{f} >= 2" for f in WIDE[a:b])) for n, a, b in (("low", 0, 5), ("middle", 4, 8), ("high", 7, 12)))
+
+
+@query("normal_rows_unmatched_wide", f"""
+    WITH d AS (SELECT l_orderkey, l_linenumber, {', '.join(f'(l_orderkey * 7 + l_linenumber * {m} + l_partkey) % 11 AS {n}' for n, m in WIDE_DIGITS.items())} FROM lineitem),
+    m AS (SELECT l_orderkey, l_linenumber, {', '.join(f"({' AND '.join(f'{f} >= 2' for f in WIDE[a:b])}) AS {n}" for n, a, b in (("low", 0, 5), ("middle", 4, 8), ("high", 7, 12)))} FROM d)
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN low AND high THEN 2 WHEN low OR middle OR high THEN 1 ELSE 0 END AS INTEGER) AS changed, false AS met FROM m""")
+def normal_rows_unmatched_wide(spark, sf_dir):
+    """Three overlapping cases on twelve fields: one shared field clears two cases, and no row changes more fields than it must."""
+    lines = table(spark, sf_dir, "lineitem")
+    digits = [((F.col("l_orderkey") * 7 + F.col("l_linenumber") * m + F.col("l_partkey")) % 11).alias(n) for n, m in WIDE_DIGITS.items()]
+    rows = lines.select("l_orderkey", "l_linenumber", *digits)
+    rows = rows.withColumn("before", F.array(*WIDE))
+    spec = Spec(tuple(ColumnSpec(n, "int", "int_range", {"min": 0, "max": 10}) for n in WIDE), edge_cases=WIDE_CASES)
+    changed = sum((F.get("before", k) != F.col(n)).cast("int") for k, n in enumerate(WIDE))
+    met = F.greatest(*[F.expr(c.condition) for c in WIDE_CASES])
+    return clear_cases(rows, spec, None).select("l_orderkey", "l_linenumber", changed.cast("int").alias("changed"), met.alias("met"))
+
+
+TIMES = (ColumnSpec("ts", "datetime"), ColumnSpec("seen", "datetime"), ColumnSpec("done", "datetime"), ColumnSpec("day", "date"))
+TIME_CASES = (EdgeCase("late", "ts > '2030-01-01T00:00:00'"), EdgeCase("chain", "ts < seen and seen < done"),
+              EdgeCase("window", "seen >= '2024-03-01' and seen < done and done <= '2024-03-02 12:00:00'"), EdgeCase("early day", "day <= '2023-12-31' and day < ts"),
+              EdgeCase("other time", "seen == done and done >= ts"))
+TIME_ROWS = """SELECT event_id, ts, CASE WHEN event_id % 3 <> 0 THEN ts - to_days(CAST(event_id % 5 AS INTEGER)) END AS seen,
+                      ts + to_hours(CAST(event_id % 7 - 3 AS INTEGER)) AS done, CAST(ts AS DATE) AS day, event_id % 5 AS c FROM events"""
+LATER = "+ to_seconds(1)"
+
+
+@query("edge_case_times", f"""
+    WITH r AS ({TIME_ROWS}),
+    a AS (SELECT *, CASE c WHEN 0 THEN greatest(ts, TIMESTAMP '2030-01-01 00:00:01') ELSE ts END AS ts1,
+                 CASE c WHEN 1 THEN greatest(coalesce(seen, ts), ts {LATER})
+                        WHEN 2 THEN greatest(least(coalesce(seen, done), TIMESTAMP '2024-03-02 11:59:59'), TIMESTAMP '2024-03-01 00:00:00')
+                        WHEN 4 THEN greatest(coalesce(seen, done), ts) ELSE seen END AS seen1,
+                 CASE c WHEN 3 THEN least(CAST(day AS TIMESTAMP), TIMESTAMP '2023-12-31 00:00:00') ELSE CAST(day AS TIMESTAMP) END AS day1 FROM r)
+    SELECT event_id, CASE c WHEN 3 THEN greatest(ts1, day1 {LATER}) ELSE ts1 END AS ts, seen1 AS seen,
+           CASE c WHEN 1 THEN greatest(done, seen1 {LATER}) WHEN 2 THEN greatest(least(done, TIMESTAMP '2024-03-02 12:00:00'), seen1 {LATER}) WHEN 4 THEN seen1 ELSE done END AS done,
+           CAST(day1 AS DATE) AS day, true AS is_edge_case FROM a""")
+def edge_case_times(spark, sf_dir):
+    """Conditions on times: a literal, a chain of three columns, a window, a date beside a timestamp, and equal times."""
+    i, ts = F.col("event_id"), F.col("ts")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.when(i % 3 != 0, F.timestamp_add("DAY", -(i % 5).cast("int"), ts)).alias("seen"),
+                                                 F.timestamp_add("HOUR", (i % 7 - 3).cast("int"), ts).alias("done"), ts.cast("date").alias("day"))
+    named = rows.withColumn("edge_case_name", E.case_name(i, TIME_CASES))
+    return E.apply_cases(named, Spec(TIMES, edge_cases=TIME_CASES), PORTABLE, "event_id").drop("edge_case_name")
+
+
+CHAIN = (ColumnSpec("l_discount", "float"), ColumnSpec("l_tax", "float"), ColumnSpec("l_linenumber", "int"), ColumnSpec("l_quantity", "float"))
+CHAIN_CASES = (EdgeCase("rising", "l_discount < l_tax and l_tax < l_linenumber and l_linenumber <= l_quantity"), EdgeCase("boxed", "l_quantity >= l_linenumber and l_linenumber > 5 and l_quantity < 9"))
+
+
+@query("edge_case_chains", """
+    WITH a AS (SELECT l_orderkey, l_linenumber AS line, l_orderkey % 2 AS c, l_discount, l_quantity, l_linenumber,
+                      CASE WHEN l_orderkey % 2 = 0 THEN greatest(l_tax, l_discount + 0.01::DOUBLE) ELSE l_tax END AS l_tax FROM lineitem),
+    b AS (SELECT * EXCLUDE (l_linenumber), CAST(CASE c WHEN 0 THEN ceil(greatest(l_linenumber, l_tax + 0.01::DOUBLE)) ELSE greatest(least(l_linenumber, 8), 6) END AS BIGINT) AS l_linenumber FROM a)
+    SELECT l_orderkey, line, l_discount, l_tax, l_linenumber, CASE c WHEN 0 THEN greatest(l_quantity, l_linenumber) ELSE greatest(least(l_quantity, 8), l_linenumber, 6) END AS l_quantity, true AS is_edge_case FROM b""")
+def edge_case_chains(spark, sf_dir):
+    """Four numbers in a row, and two columns that hold each other between literals."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), "l_discount", "l_tax", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity")
+    named = lines.withColumn("edge_case_name", E.case_name(F.col("l_orderkey"), CHAIN_CASES))
+    return E.apply_cases(named, Spec(CHAIN, edge_cases=CHAIN_CASES), PORTABLE, "l_orderkey").drop("edge_case_name")
+
+
 REPAIR_CASES = (EdgeCase("zero", "c_acctbal == 0"), EdgeCase("home", 'c_mktsegment == "HOUSEHOLD" and c_nationkey > 20'))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablesmith.functions import expressions as X
 from tablesmith.functions import values as V
 from tablesmith.functions.profiles import Profile
+from tablesmith.operators.clearing import clear_cases
 from tablesmith.operators import edgecases as E
 from tablesmith.operators import journeys as J
 from tablesmith.operators import quality as Q
@@ -48,7 +49,7 @@ def with_event_columns(rows: DataFrame, stable: list[str], spec: Spec, settings:
         return J.own_columns(rows, stable, spec, settings)
     numbered = rows.withColumn("__attempt", E.normal_attempt(rows, "__record", spec, settings))
     made = J.own_columns(numbered, stable, spec, settings, F.col("__attempt"))
-    return E.unmatch(made, spec, None, F.col("__attempt") == E.ATTEMPTS - 1).drop("__attempt")
+    return clear_cases(made, spec, None, F.col("__attempt") == E.ATTEMPTS - 1).drop("__attempt")
 
 
 def generate_journeys(df: DataFrame, key: str, spec: Spec, settings: Settings, entities: int | None = None) -> DataFrame:
@@ -100,7 +101,7 @@ def validate(df: DataFrame, spec: Spec, settings: Settings, options: Validation
         return E.name_labelled(records, spec).drop("edge_case_name") if "is_edge_case" in records.columns and spec.edge_cases else records
 
     def clear(records: DataFrame) -> DataFrame:
-        return records if not spec.edge_cases or "is_edge_case" not in records.columns else E.unmatch(records, spec)
+        return records if not spec.edge_cases or "is_edge_case" not in records.columns else clear_cases(records, spec)
 
     df = labelled(J.with_issues(df))
     df = Q.repair_country_values(df, options.profile)
