@@ -37,7 +37,7 @@ BAD_PAYMENT = code_sql("c_nationkey", {c: f"{S.canonical('payment_method')} NOT
 
 @query("repair_payment_methods", f"""
     SELECT o_orderkey, CASE WHEN bad THEN {code_sql('c_nationkey', FIRST)} ELSE payment_method END AS payment_method,
-           CASE WHEN bad THEN 'payment_method corrected for country ' || {code_sql('c_nationkey', LABELS)} ELSE '' END AS issue
+           CASE WHEN bad THEN 'payment_method: not used in country ' || {code_sql('c_nationkey', LABELS)} ELSE '' END AS issue
     FROM (SELECT *, {BAD_PAYMENT} AS bad FROM (SELECT o_orderkey, c_nationkey, {WORD_SQL} AS payment_method FROM orders JOIN customer ON o_custkey = c_custkey))""")
 def repair_payment_methods(spark, sf_dir):
     word = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("o_orderkey") % 4 + 1).cast("int"))
@@ -105,11 +105,11 @@ def coerce_times(spark, sf_dir):
 
 # Issues per order: qty, price, flag, placed, day.
 TYPE_ISSUES = """list_filter([
-    CASE o_orderkey % 7 WHEN 2 THEN '' WHEN 1 THEN 'qty repaired from invalid type' ELSE 'qty coerced to int' END,
-    CASE WHEN o_orderkey % 7 IN (3, 4) THEN 'price repaired from invalid type' ELSE 'price coerced to float' END,
-    CASE o_orderkey % 7 WHEN 3 THEN '' WHEN 2 THEN 'flag repaired from invalid type' ELSE 'flag coerced to boolean' END,
-    CASE WHEN o_orderkey % 7 = 5 THEN 'placed repaired as datetime' ELSE '' END,
-    CASE WHEN o_orderkey % 7 = 5 THEN 'day repaired as date' ELSE '' END], lambda x: x <> '')"""
+    CASE o_orderkey % 7 WHEN 2 THEN '' WHEN 1 THEN 'qty: not of its type' ELSE 'qty: read as int' END,
+    CASE WHEN o_orderkey % 7 IN (3, 4) THEN 'price: not of its type' ELSE 'price: read as float' END,
+    CASE o_orderkey % 7 WHEN 3 THEN '' WHEN 2 THEN 'flag: not of its type' ELSE 'flag: read as boolean' END,
+    CASE WHEN o_orderkey % 7 = 5 THEN 'placed: no datetime' ELSE '' END,
+    CASE WHEN o_orderkey % 7 = 5 THEN 'day: no date' ELSE '' END], lambda x: x <> '')"""
 
 
 @query("type_defaults", f"SELECT o_orderkey, array_to_string(list_sort({TYPE_ISSUES}), '; ') AS issues FROM orders")
@@ -154,7 +154,7 @@ STORED = f"CASE l_orderkey % 4 WHEN 0 THEN {NET} + 0.005::DOUBLE WHEN 1 THEN {NE
 
 @query("repair_formulas", f"""
     SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 OR l_orderkey % 4 IN (0, 3) THEN stored ELSE net END AS net,
-           CASE WHEN tax IS NULL THEN 'net formula could not be evaluated; missing dependencies: tax' WHEN l_orderkey % 4 IN (1, 2) THEN 'net corrected from formula' ELSE '' END AS issue
+           CASE WHEN tax IS NULL THEN 'net: formula lacks tax' WHEN l_orderkey % 4 IN (1, 2) THEN 'net: differs from its formula' ELSE '' END AS issue
     FROM (SELECT *, {NET} + l_tax * 0.0::DOUBLE AS net, {STORED} AS stored, CASE WHEN l_tax > 0 THEN l_tax END AS tax FROM lineitem)""")
 def repair_formulas(spark, sf_dir):
     lines, slot = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 4
@@ -259,7 +259,7 @@ def renew_repeated_ids(spark, sf_dir):
     SELECT event_id, coalesce(event_type, 'BUSINESS_EVENT') AS event_type,
            CAST(greatest(1, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE coalesce(event_sequence, 1) END) AS INTEGER) AS event_sequence,
            CASE WHEN event_type IN ('view', 'click', 'purchase') AND coalesce(event_sequence, 1) <> CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END
-                THEN 'event_sequence corrected from scenario definition' ELSE '' END AS issue FROM ({BROKEN})""")
+                THEN 'event_sequence: not the defined one' ELSE '' END AS issue FROM ({BROKEN})""")
 def event_sequences(spark, sf_dir):
     return J.set_sequences(broken(spark, sf_dir), DEFINED).select("event_id", "event_type", "event_sequence", F.concat_ws("; ", "issues").alias("issue"))
 

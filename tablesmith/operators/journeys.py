@@ -160,7 +160,7 @@ def fill_ids(df: DataFrame, order: str, settings: Settings) -> DataFrame:
     new = {n: _tag(prefix, _draws(settings, f"new:{n}", F.col(order)).hex()) for n, prefix in
            (("journey_id", "JRN-"), ("transaction_id", "TXN-")) if n in df.columns}
     tests = {n: _missing(F.col(n)) for n in new}
-    messages = {"journey_id": "journey_id generated", "transaction_id": "transaction_id generated/renewed for uniqueness"}
+    messages = {"journey_id": "journey_id: missing", "transaction_id": "transaction_id: missing or repeated"}
     return df.withColumns({
         **{n: F.when(tests[n], c).otherwise(F.col(n)) for n, c in new.items()},
         "issues": noted(*[(tests[n], messages[n]) for n in new]),
@@ -182,7 +182,7 @@ def renew_repeated_ids(df: DataFrame, order: str, settings: Settings, id_column:
     fresh = _tag("TXN-", _draws(settings, f"new:{id_column}", F.col(order)).hex())
     return marked.withColumns({
         id_column: F.when(repeated, fresh).otherwise(F.col(id_column)),
-        "issues": noted((repeated, f"{id_column} generated/renewed for uniqueness")),
+        "issues": noted((repeated, f"{id_column}: missing or repeated")),
     }).select(*df.columns)
 
 
@@ -195,7 +195,7 @@ def set_sequences(df: DataFrame, events: tuple[EventSpec, ...]) -> DataFrame:
     return df.withColumns({
         "event_type": kind,
         "event_sequence": F.greatest(F.lit(1), F.coalesce(defined, own)).cast("int"),
-        "issues": noted((defined.isNotNull() & (defined != own), "event_sequence corrected from scenario definition")),
+        "issues": noted((defined.isNotNull() & (defined != own), "event_sequence: not the defined one")),
     })
 
 
@@ -210,11 +210,11 @@ def order_journeys(df: DataFrame, order: str, settings: Settings, entity_key: st
     scanned = running(df, [journey], order, values, hot_rows, chunk_rows)
     fixed = {"event_sequence": F.col("__seq"), "event_timestamp": F.col("__ts")}
     found = [
-        (F.col("event_timestamp").isNull(), "event_timestamp generated"),
-        (F.col("__seq") > F.col("event_sequence"), "event_sequence corrected to preserve journey ordering"),
-        (F.col("__ts") > when, "event_timestamp corrected to preserve journey ordering"),
+        (F.col("event_timestamp").isNull(), "event_timestamp: missing"),
+        (F.col("__seq") > F.col("event_sequence"), "event_sequence: below an earlier one of its journey"),
+        (F.col("__ts") > when, "event_timestamp: before an earlier one of its journey"),
     ]
     if entity_key:
         fixed[entity_key] = F.col("__entity")
-        found.append((~F.col("__entity").eqNullSafe(F.col(entity_key)), "entity key corrected for journey consistency"))
+        found.append((~F.col("__entity").eqNullSafe(F.col(entity_key)), "entity key: not that of its journey"))
     return scanned.withColumns({**fixed, "issues": noted(*found)}).select(*df.columns)

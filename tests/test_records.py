@@ -58,7 +58,7 @@ def test_repeated_and_missing_ids_become_unique(spark):
     rows = {r.at: r for r in fixed.collect()}
     assert len({r.transaction_id for r in rows.values()}) == 60 and rows[1].transaction_id == "same"
     assert rows[0].transaction_id.startswith("TXN-") and rows[5].journey_id.startswith("JRN-") and rows[1].issues == []
-    assert rows[2].issues == ["transaction_id generated/renewed for uniqueness"]
+    assert rows[2].issues == ["transaction_id: missing or repeated"]
 
 
 def test_validated_journeys_are_stable_and_ordered(spark):
