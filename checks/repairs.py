@@ -132,8 +132,8 @@ RANGES = Spec((ColumnSpec("c_acctbal", "float", "uniform", {"min": 0, "max": 500
 
 @query("clamp_ranges", """
     SELECT c_custkey, least(greatest(c_acctbal, 0), 5000.5) AS c_acctbal, least(c_nationkey, 20) AS c_nationkey,
-           array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'c_acctbal raised to minimum' ELSE '' END, CASE WHEN c_acctbal > 5000.5 THEN 'c_acctbal lowered to maximum' ELSE '' END,
-                        CASE WHEN c_nationkey > 20 THEN 'c_nationkey lowered to maximum' ELSE '' END], lambda x: x <> ''), '; ') AS issues
+           array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'c_acctbal: below its minimum' ELSE '' END, CASE WHEN c_acctbal > 5000.5 THEN 'c_acctbal: above its maximum' ELSE '' END,
+                        CASE WHEN c_nationkey > 20 THEN 'c_nationkey: above its maximum' ELSE '' END], lambda x: x <> ''), '; ') AS issues
     FROM customer""")
 def clamp_ranges(spark, sf_dir):
     fixed = Q.clamp_ranges(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), RANGES)

@@ -100,10 +100,10 @@ def test_fresh_records_need_no_fix_and_broken_ones_are_repaired_once(spark):
     assert fixed.schema["monthly_spend"].dataType.simpleString() == "double"
     # A balance raised to 0 would meet an edge case, so normal rows take the nearest value that does not: one below.
     raised = fixed.filter("id % 10 = 0 AND NOT is_edge_case")
-    assert raised.filter("balance = -1").count() == raised.filter("array_contains(issues, 'balance raised to minimum')").count() == raised.count() > 0
+    assert raised.filter("balance = -1").count() == raised.filter("array_contains(issues, 'balance: below its minimum')").count() == raised.count() > 0
     assert fixed.filter("id % 10 != 0 AND balance < 0 OR plan_type NOT IN ('prepaid', 'postpaid')").count() == 0
     again = Q.issue_histogram(validate(fixed.drop("issues"), spec, SET)).collect()
-    assert [r.issue for r in again] == ["balance raised to minimum"]
+    assert [r.issue for r in again] == ["balance: below its minimum"]
     assert Q.label_violations(fixed, spec).first().asDict() == {"labelled_without_match": 0, "matched_without_label": 0}
     fixed.unpersist()
 
