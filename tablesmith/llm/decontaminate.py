@@ -9,8 +9,7 @@ block. The root is the whole item.
 
 Items are a stated set of queries: they are searched in blocks of bounded size, every block against all documents.
 
-Defined results: null, empty and short items (under ``min_chars`` characters, too short to name a passage) are not
-searched; null and empty texts match nothing; equal items match alike, each under its own id; repeated rows give
+Defined results: null, empty and blank items are not searched; null and empty texts match nothing; equal items match alike, each under its own id; repeated rows give
 repeated results; empty tables give empty ones; further columns of documents stay, whatever their names.
 """
 
@@ -31,7 +30,7 @@ from tablesmith.llm.common import fresh, quoted
 
 @dataclass(frozen=True)
 class Budget:
-    """Edits allowed per character of an item, and how many characters of items one block may hold."""
+    """Edits allowed per character of an item, from which length on, and how many characters of items one block may hold."""
 
     rate: float = 0.1
     min_chars: int = 40
@@ -75,8 +74,9 @@ def nearest(masks: dict[str, int], length: int, text: str) -> tuple[int, int]:
 class Item:
     """An item with its pieces and the blocks above each piece."""
 
-    def __init__(self, text: str, rate: float):
-        self.text, self.budget = text, int(rate * len(text))
+    def __init__(self, text: str, rate: float, min_chars: int):
+        self.text, self.short = text, len(text) < min_chars
+        self.budget = 0 if self.short else int(rate * len(text))
         n = self.budget + 1
         self.cuts = [k * len(text) // n for k in range(n + 1)]
         self.above: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]  # (start, end, budget), small to large
@@ -96,6 +96,11 @@ class Item:
 
     def verify(self, piece: int, at: int, text: str) -> tuple[int, int, int] | None:
         """(distance, start, end) of the nearest match around a hit of ``piece`` at ``at``, if within the budget."""
+        if self.short:
+            end = at + len(self.text)
+            cut_left = at > 0 and text[at - 1].isalnum() and self.text[0].isalnum()
+            cut_right = end < len(text) and text[end].isalnum() and self.text[-1].isalnum()
+            return None if cut_left or cut_right else (0, at, end)
         found = None
         for start, end, budget in self.above[piece]:
             low = max(0, at - (self.cuts[piece] - start) - budget)
@@ -110,8 +115,8 @@ class Item:
 
 
 @lru_cache(maxsize=4)
-def _searcher(texts: tuple[str, ...], rate: float) -> tuple[list[Item], ahocorasick.Automaton]:
-    items = [Item(t, rate) for t in texts]
+def _searcher(texts: tuple[str, ...], rate: float, min_chars: int) -> tuple[list[Item], ahocorasick.Automaton]:
+    items = [Item(t, rate, min_chars) for t in texts]
     pieces: dict[str, list[tuple[int, int]]] = {}
     for i, item in enumerate(items):
         for k in range(item.budget + 1):
@@ -123,27 +128,27 @@ def _searcher(texts: tuple[str, ...], rate: float) -> tuple[list[Item], ahocoras
     return items, automaton
 
 
-def search(text: str, texts: tuple[str, ...], rate: float) -> dict[int, tuple[int, int, int]]:
+def search(text: str, texts: tuple[str, ...], rate: float, min_chars: int = Budget.min_chars) -> dict[int, tuple[int, int, int]]:
     """The best match (distance, start, end) of each item found in a normalised text."""
-    items, automaton = _searcher(texts, rate)
+    items, automaton = _searcher(texts, rate, min_chars)
     best: dict[int, tuple[int, int, int]] = {}
     for last, (length, uses) in automaton.iter(text):
         at = last + 1 - length
         for i, piece in uses:
-            if i in best and (best[i][0] == 0 or best[i][1] <= at < best[i][2]):
+            if i in best and best[i][0] == 0:
                 continue
             if (match := items[i].verify(piece, at, text)) is not None and (i not in best or match < best[i]):
                 best[i] = match
     return best
 
 
-def _matches(texts: tuple[str, ...], ids: tuple[str, ...], rate: float):
+def _matches(texts: tuple[str, ...], ids: tuple[str, ...], budget: Budget):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
             found: list[tuple] = []
             for k, raw in enumerate(batch.column(1).to_pylist()):
-                for i, (distance, start, end) in sorted(search(normalised((raw or b"").decode("utf-8", "replace")), texts, rate).items()):
+                for i, (distance, start, end) in sorted(search(normalised((raw or b"").decode("utf-8", "replace")), texts, budget.rate, budget.min_chars).items()):
                     rows.append(k)
                     found.append((ids[i], distance, len(texts[i]), start, end))
             columns = [pa.array([x[k] for x in found], pa.string() if k == 0 else pa.int32()) for k in range(5)]
@@ -156,14 +161,16 @@ def blocks(items: DataFrame, budget: Budget, id: str, text: str) -> Iterator[tup
     """(texts, ids) of the items in blocks of at most ``block_chars`` characters, one item at least."""
     texts: list[str] = []
     ids: list[str] = []
+    size = 0
     for row in items.select(quoted(id).cast("string").alias("i"), quoted(text).alias("t")).orderBy("i", "t").toLocalIterator():
         plain = normalised(row.t)
-        if len(plain) >= budget.min_chars:
-            if texts and sum(map(len, texts)) + len(plain) > budget.block_chars:
+        if plain:
+            if texts and size + len(plain) > budget.block_chars:
                 yield tuple(texts), tuple(ids)
-                texts, ids = [], []
+                texts, ids, size = [], [], 0
             texts.append(plain)
             ids.append(row.i)
+            size += len(plain)
     if texts:
         yield tuple(texts), tuple(ids)
 
@@ -175,9 +182,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, budget: Budget = Budget(), id:
     """
     rows = docs.select(quoted(id).alias("doc"), quoted(text).cast("binary").alias("raw"))
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, item string, distance int, item_chars int, start int, end int"
-    found = [rows.mapInArrow(_matches(texts, ids, budget.rate), schema) for texts, ids in blocks(items, budget, item_id, item_text)]
+    found = [rows.mapInArrow(_matches(texts, ids, budget), schema) for texts, ids in blocks(items, budget, item_id, item_text)]
     if not found:
-        found = [rows.filter(F.lit(False)).mapInArrow(_matches((), (), budget.rate), schema)]
+        found = [rows.filter(F.lit(False)).mapInArrow(_matches((), (), budget), schema)]
     return reduce(DataFrame.unionAll, found).withColumn("item", F.col("item").cast(items.schema[item_id].dataType))
 
 
@@ -186,13 +193,13 @@ def remove_leaks(docs: DataFrame, items: DataFrame, budget: Budget = Budget(), t
     (name,) = fresh(docs, "leaks")
     clean = docs
     for texts, _ in blocks(items, budget, item_id, item_text):
-        held = F.pandas_udf(_holds(texts, budget.rate), "boolean")
+        held = F.pandas_udf(_holds(texts, budget), "boolean")
         clean = clean.withColumn(name, held(quoted(text).cast("binary"))).filter(~quoted(name)).drop(name)
     return clean.select(*map(quoted, docs.columns))
 
 
-def _holds(texts: tuple[str, ...], rate: float):
+def _holds(texts: tuple[str, ...], budget: Budget):
     def run(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: bool(search(normalised((x or b"").decode("utf-8", "replace")), texts, rate))).astype(bool)
+        return raw.map(lambda x: bool(search(normalised((x or b"").decode("utf-8", "replace")), texts, budget.rate, budget.min_chars))).astype(bool)
 
     return run
