@@ -10,8 +10,8 @@ the forest is fitted on, all of them labelled.
 Findings are labelled rows (text, start marks, verdict) given by the caller; ``weak_findings`` derives them from formats
 that identify themselves (an access-key prefix, an assignment to a credential's name; bare numbers as the other kind).
 The forest is fitted on at most ``fit_rows`` findings, chosen by a hash of the candidate, and on the fixed findings of
-``known_findings``, which have the same weight in every table: both kinds are always there. Everything is scored; without
-given labels a format that identifies itself decides over the forest (score 1 or 0).
+``known_findings``, which have the same weight in every table: both kinds are always there. Every candidate's score is the
+forest's probability; formats only make labels for the fit.
 
 Defined results: null and empty texts have no candidates; equal candidates with equal neighbours score alike; repeated
 rows give repeated findings; labelled findings of one kind, or none, leave the other kind to the fixed findings; labels
@@ -92,9 +92,9 @@ def format_label() -> Column:
     return F.when(is_secret, 1.0).when(is_number, 0.0)
 
 
-def known_findings(each: int = 12) -> list[tuple[str, str, str, float]]:
-    """Fixed findings (candidate, before, after, label), ``each`` of a form; the same in every run."""
-    rng = random.Random(3)
+def known_findings(each: int = 12, seed: int = 3) -> list[tuple[str, str, str, float]]:
+    """Fixed findings (candidate, before, after, label), ``each`` of a form; the same in every run of a seed."""
+    rng = random.Random(seed)
     some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexes, mixed, digits = "0123456789abcdef", string.ascii_letters + string.digits, string.digits
     words = ("the report of this year was read by many people and then sent to another office where they looked at every page again before "
@@ -185,22 +185,19 @@ def _as_vector(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scanner:
-    """A fitted scanner; with ``formats`` a format that identifies itself decides over the forest."""
+    """A fitted scanner."""
 
     language: Language
     forest: RandomForestClassificationModel
     threshold: float
-    formats: bool
 
     def score(self, found: DataFrame) -> DataFrame:
         """Candidates with ``score`` (0 to 1) and ``secret``."""
-        likely = vector_to_array("probability")[1]
-        scored = self.forest.transform(_as_vector(with_features(found, self.language))).withColumn(
-            "score", F.coalesce(format_label(), likely) if self.formats else likely)
+        scored = self.forest.transform(_as_vector(with_features(found, self.language))).withColumn("score", vector_to_array("probability")[1])
         return scored.withColumn("secret", F.col("score") >= self.threshold).select(*found.columns, "score", "secret")
 
 
-def fit(labelled: DataFrame, forest: Forest = Forest(), formats: bool = False) -> Scanner:
+def fit(labelled: DataFrame, forest: Forest = Forest()) -> Scanner:
     """A scanner from the fixed findings and labelled candidates (candidate, before, after, label), at most ``fit_rows`` different ones of them."""
     sample = saved(labelled.select("candidate", "before", "after", "label").filter(F.col("label").isin(0.0, 1.0)).distinct()
                    .orderBy(F.xxhash64("candidate", "before", "after"), "label").limit(forest.fit_rows))
@@ -218,14 +215,13 @@ def fit(labelled: DataFrame, forest: Forest = Forest(), formats: bool = False) -
     weighted = with_features(given.unionByName(fixed.withColumn("weight", F.lit(1.0))), language)
     model = RandomForestClassifier(numTrees=forest.trees, maxDepth=forest.depth, seed=forest.seed, weightCol="weight", cacheNodeIds=False).fit(
         _as_vector(weighted.coalesce(1)))
-    return Scanner(language, model, forest.threshold, formats)
+    return Scanner(language, model, forest.threshold)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, forest: Forest = Forest(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, place, candidate, before, after, score, secret) for every candidate of every document."""
     found = saved(candidates(docs, id, text))
-    scanner = fit(weak_findings(found), forest, formats=True) if labelled is None else fit(labelled, forest)
-    return scanner.score(found)
+    return fit(weak_findings(found) if labelled is None else labelled, forest).score(found)
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, forest: Forest = Forest(), text: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -121,6 +121,21 @@ def test_mix_refuses_clashing_names(make_docs):
 # Secrets
 
 
+def test_forest_on_look_alikes_that_were_not_in_the_fit(spark, make_docs):
+    """Hashes, uuids, slugs, placeholders, pass phrases and keys of other draws: every score is the forest's own."""
+    other = secrets.known_findings(each=40, seed=101)
+    seen = {x[0] for x in secrets.known_findings()}
+    rows = [x for x in other if x[0] not in seen]
+    fresh = spark.createDataFrame(rows, "candidate string, before string, after string, label double").repartition(2)
+    scanner = secrets.fit(fresh.limit(0))
+    got = scanner.score(fresh).select("label", "secret", "score").collect()
+    hit = sum(r.secret for r in got if r.label == 1)
+    false = sum(r.secret for r in got if r.label == 0)
+    assert hit >= 0.95 * sum(r.label for r in got) and hit >= 0.95 * (hit + false), (hit, false, len(got))
+    assert len({r.score for r in got}) > 50
+    print("look-alikes", len(got), "recall", hit / sum(r.label for r in got), "precision", hit / (hit + false))
+
+
 def test_secrets_found_and_masked(make_docs, odd_rows):
     rng = random.Random(2)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
@@ -209,6 +224,34 @@ def test_search_agrees_with_brute_force():
                 assert d <= 6 and distance_inside(pattern, text[a:b]) <= d
 
 
+def test_items_of_all_lengths_against_brute_force():
+    """Found or not, and the smallest distance, for items of 1 to 200 characters."""
+    rng = random.Random(12)
+    for trial in range(150):
+        size = rng.choice([1, 2, 5, 11, 25, 39, 40, 41, 63, 90, 200])
+        item = D.normalised("".join(rng.choice("abcd ") for _ in range(size + 9)))[:size].strip() or "a"
+        held = edited(rng, item, rng.choice([0, 0, 1, 2, len(item) // 10])) if trial % 3 else ""
+        text = D.normalised(" ".join(["".join(rng.choice("abcd ") for _ in range(60)), held, "".join(rng.choice("abcd ") for _ in range(60)), held if trial % 5 == 0 else ""]))
+        found = D.search(text, (item,), 0.1)
+        if len(item) < 40:
+            edge = lambda k: 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+            want = any(text.startswith(item, k) and not (edge(k) and item[0].isalnum()) and not (edge(k + len(item)) and item[-1].isalnum()) for k in range(len(text)))
+            assert (0 in found) == want and (not want or (found[0][0] == 0 and text[found[0][1]:found[0][2]] == item))
+        else:
+            best = distance_inside(item, text)
+            assert (0 in found) == (best <= len(item) // 10)
+            if found:
+                d, a, b = found[0]
+                assert d == best and distance_inside(item, text[a:b]) == d
+
+
+def test_short_items_are_leaks_too(spark, make_docs):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "x"), (3, " \n"), (4, "é")], "item_id long, text string")
+    docs = make_docs([(1, "He asked: what is  the\ncapital of FRANCE? Paris.", "s"), (2, "somewhat is the capital of france?", "s"), (3, "axe x-ray", "s"), (4, "café é", "s"), (5, "clean text", "s")])
+    assert sorted((r.doc, r.item, r.distance) for r in D.find_leaks(docs, items).collect()) == [(1, 1, 0), (3, 2, 0), (4, 4, 0)]
+    assert {r.doc_id for r in D.remove_leaks(docs, items).collect()} == {2, 5}
+
+
 def test_leaks_go(spark, make_docs, odd_rows):
     rng = random.Random(6)
     items = spark.createDataFrame([(k, prose(rng, 40, 10**6)) for k in range(3)] + [(8, None), (9, "short")], "item_id long, text string")
