@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -162,6 +164,27 @@ on_customer(
     [ColumnSpec("churn", "float", "beta", {"alpha": 2, "beta": 5})],
     {"churn": S.rounded(f"list_sort([{', '.join(S.u32('churn', KEY, i) for i in range(6))}])[2] / 4294967296.0::DOUBLE", 4)},
 )
+SHAPES = {"even": (0.5, 0.5), "skewed": (2.5, 1.3), "rare": (0.1, 5)}
+
+
+def log_gamma_sql(field: str, shape: float, which: int, trials: int = 12) -> str:
+    d = (shape if shape >= 1 else shape + 1) - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    inner = lambda slot: f"(({S.u32(field, KEY, slot)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    rows = ", ".join(f"{{'x': sqrt(-2.0::DOUBLE * ln({inner(k)})) * cos({2 * math.pi!r}::DOUBLE * {inner(k + 1)}), 'u': {inner(k + 2)}}}"
+                     for k in range(3 * trials * which, 3 * trials * (which + 1), 3))
+    t = f"(1 + {c!r}::DOUBLE * r.x)"
+    fits = f"ln(r.u) < 0.5::DOUBLE * r.x * r.x + {d!r}::DOUBLE - {d!r}::DOUBLE * ({t} * {t} * {t}) + {3 * d!r}::DOUBLE * ln({t})"
+    taken = f"list_transform([{rows}], lambda r: CASE WHEN {t} <= 0 THEN NULL WHEN {fits} THEN 3 * ln({t}) END)"
+    value = f"{math.log(d)!r}::DOUBLE + coalesce(list_filter({taken}, lambda v: v IS NOT NULL)[1], 0.0::DOUBLE)"
+    return f"({value})" if shape >= 1 else f"({value} + ln({inner(6 * trials + which)}) / {shape!r}::DOUBLE)"
+
+
+on_customer(
+    "gen_beta_fractional",
+    [ColumnSpec(n, "float", "beta", {"alpha": a, "beta": b}) for n, (a, b) in SHAPES.items()],
+    {n: S.rounded(f"1 / (1 + exp({log_gamma_sql(n, b, 1)} - {log_gamma_sql(n, a, 0)}))", 4) for n, (a, b) in SHAPES.items()},
+)
 SEGMENTS = {"BUILDING": (100.0, 150.0), "MACHINERY": (150.0, 200.0), "HOUSEHOLD": (200.0, 300.0)}
 
 

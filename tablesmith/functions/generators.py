@@ -6,12 +6,11 @@ definition is loaded and when it is built.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -269,21 +268,43 @@ def lognormal_int(ctx: Context) -> Column:
 
 @generator("beta")
 def beta(ctx: Context) -> Column:
-    """Beta(a, b). For whole a and b it is the a-th smallest of a+b-1 uniforms; otherwise numpy per Arrow batch."""
+    """Beta(a, b). For whole a and b it is the a-th smallest of a+b-1 uniforms; otherwise made from two gamma values."""
     a, b = ctx.number("alpha"), ctx.number("beta")
     if a == int(a) and b == int(b) and a + b - 1 <= 64:
         draws = F.sort_array(F.array(*[ctx.draws.u32(i) for i in range(int(a + b) - 1)]))
         return V.round_half_up(F.element_at(draws, int(a)) / F.lit(float(SPAN)), 4)
-    return V.round_half_up(_beta_udf(a, b)(ctx.draws.u32(0)), 4)
+    # G_a / (G_a + G_b) from logarithms, so that small shapes don't underflow.
+    return V.round_half_up(1 / (1 + F.exp(_log_gamma(ctx.draws, b, 1) - _log_gamma(ctx.draws, a, 0))), 4)
 
 
-def _beta_udf(a: float, b: float):
-    @F.pandas_udf(T.DoubleType())
-    def sample(draw: pd.Series) -> pd.Series:
-        # Each value comes from its own 32-bit draw, so batches and retries do not matter.
-        return pd.Series([np.random.Generator(np.random.PCG64(int(s))).beta(a, b) for s in draw], dtype="float64")
+GAMMA_TRIALS = 12
 
-    return sample
+
+def _log_gamma(draws: Draws, shape: float, which: int) -> Column:
+    """Logarithm of a Gamma(shape) value by squeezed rejection (Marsaglia and Tsang 2000); below 1 from shape + 1 and a power.
+
+    A trial is taken with a probability of at least 0.95. Later trials are only drawn where the first fails; where all
+    ``GAMMA_TRIALS`` fail (one value in 10^15), the value is the scale d.
+    """
+    d = (shape if shape >= 1 else shape + 1) - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    inner = lambda slot: (draws.u32(slot) + 0.5) / F.lit(float(SPAN))
+
+    def trial(k: int) -> Column:
+        slot = 3 * (GAMMA_TRIALS * which + k)
+        normal = F.sqrt(-2 * F.ln(inner(slot))) * F.cos(F.lit(2 * math.pi) * inner(slot + 1))
+        return F.struct((1 + c * normal).alias("t"), normal.alias("x"), inner(slot + 2).alias("u"))
+
+    def taken(r: Column) -> Column:
+        t, x = r["t"], r["x"]
+        fits = (t > 0) & (F.ln(r["u"]) < 0.5 * x * x + d - d * (t * t * t) + 3 * d * F.ln(t))
+        return F.when(fits, 3 * F.ln(t))
+
+    def first_of(trials: range) -> Column:
+        return F.get(F.filter(F.transform(F.array(*map(trial, trials)), taken), lambda v: v.isNotNull()), F.lit(0))
+
+    value = F.lit(math.log(d)) + F.coalesce(first_of(range(1)), first_of(range(1, GAMMA_TRIALS)), F.lit(0.0))
+    return value if shape >= 1 else value + F.ln(inner(6 * GAMMA_TRIALS + which)) / shape
 
 
 @generator("segment_range")

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,20 @@ def test_fractional_beta_uses_arrow_and_keeps_its_mean(spark):
     assert df.orderBy("id").collect() == synthesize(spark.range(0, 4000, 1, 7), "id", spec, settings()).orderBy("id").collect()
 
 
+def test_fractional_beta_follows_its_distribution(spark):
+    """Quantiles against numpy's own draws and the known mean and variance; no Python in the plan."""
+    shapes = {"even": (0.5, 0.5), "skewed": (2.5, 1.3), "rare": (0.1, 5), "large": (40.5, 30.25), "tiny": (0.02, 0.03)}
+    spec = Spec(tuple(ColumnSpec(n, "float", "beta", {"alpha": a, "beta": b}) for n, (a, b) in shapes.items()))
+    df = synthesize(spark.range(60_000), "id", spec, settings())
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    rows, rng = df.toPandas(), np.random.default_rng(4)
+    for n, (a, b) in shapes.items():
+        want, mean, spread = np.floor(rng.beta(a, b, 400_000) * 1e4 + 0.5) / 1e4, a / (a + b), (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        assert rows[n].between(0, 1).all() and abs(rows[n].mean() - mean) < 0.02 * spread + 2e-4 and abs(rows[n].std() - spread) < 0.02 * spread + 2e-4
+        for at in np.quantile(want, [0.05, 0.25, 0.5, 0.75, 0.95]):
+            assert abs((rows[n] <= at).mean() - (want <= at).mean()) < 0.01, (n, at)
+
+
 def test_ids_past_the_digit_space_get_longer(spark):
     spec = Spec((ColumnSpec("s", "string", "prefixed_int", {"prefix": "S-", "digits": 2}),))
     assert synthesize(spark.range(90), "id", spec, settings()).select("s").distinct().count() == 90
