@@ -20,7 +20,8 @@ from tablesmith.operators import views as W
 from tablesmith.operators.edgecases import synthesize_normal
 from tablesmith.operators.synthesize import synthesize
 from tablesmith.plans.presets import account_sample, low_balance_catalog, recharge_sample
-from tablesmith.plans.scenario import Validation, generate_journeys, generate_records, validate
+from tablesmith.plans.scenario import (Validation, generate_journeys, generate_records, kept_records, set_aside_records,
+                                       validate, validate_to)
 from tablesmith.session import shared_folder
 from tablesmith.sources.definitions import load_spec
 from tablesmith.spec import ColumnSpec, EdgeCase, Spec
@@ -112,6 +113,43 @@ def validated_labels(spark, sf_dir):
     return validate(rows, spec, PORTABLE, Validation(key=KEY)).select(KEY, "c_acctbal", "is_edge_case")
 
 
+# Every customer is labelled, rightly or not: those that meet no case are set aside.
+ASIDE = Spec((ColumnSpec(KEY, "int"), ColumnSpec("c_acctbal", "float", "uniform", {"min": -500, "max": 9500})),
+             edge_cases=(EdgeCase("low", "c_acctbal < 0"), EdgeCase("rich", "c_acctbal > 9000")))
+ASIDE_SQL = f"""
+    SELECT *, is_edge_case AND NOT (fixed < 0 OR fixed > 9000) AS set_aside FROM (
+        SELECT c_custkey, c_acctbal, true AS is_edge_case, least(9500.0, greatest(-500.0, c_acctbal)) AS fixed FROM customer)"""
+
+
+def labelled_customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(KEY, "c_acctbal", F.lit(True).alias("is_edge_case"))
+
+
+def _validated_to(spark, sf_dir):
+    path = f"{shared_folder(spark)}/validated-{uuid.uuid4().hex}"
+    return path, validate_to(labelled_customers(spark, sf_dir), ASIDE, PORTABLE, path, Validation(key=KEY))
+
+
+@query("validated_rows_set_aside", f"""
+    SELECT c_custkey, fixed AS c_acctbal, is_edge_case, set_aside, array_to_string(list_filter([
+        CASE WHEN set_aside THEN 'label: meets no edge case' ELSE '' END, CASE WHEN c_acctbal < -500 THEN 'c_acctbal: below its minimum' ELSE '' END,
+        CASE WHEN c_acctbal > 9500 THEN 'c_acctbal: above its maximum' ELSE '' END], lambda x: x <> ''), '; ') AS issues FROM ({ASIDE_SQL})""")
+def validated_rows_set_aside(spark, sf_dir):
+    """A validation run writes valid rows and rows whose label is false into two folders; both are read back."""
+    path, _ = _validated_to(spark, sf_dir)
+    kept, aside = kept_records(spark, path), set_aside_records(spark, path)
+    rows = kept.withColumn("set_aside", F.lit(False)).unionByName(aside.withColumn("set_aside", F.lit(True)))
+    return rows.withColumn("issues", F.concat_ws("; ", "issues"))
+
+
+@query("validation_report_while_writing", f"""
+    SELECT count(*) AS total_input, count(*) FILTER (NOT set_aside) AS total_valid, count(*) FILTER (set_aside) AS total_dropped, 0 AS recovered,
+           count(*) FILTER (NOT set_aside AND c_acctbal <> fixed) AS algo_fixes, {CHECK_LIST} AS deterministic_checks FROM ({ASIDE_SQL})""")
+def validation_report_while_writing(spark, sf_dir):
+    """The report of the same run, measured by the tasks that write it."""
+    return _validated_to(spark, sf_dir)[1].withColumn("deterministic_checks", F.concat_ws("; ", "deterministic_checks"))
+
+
 PAST_KEYS = "(SELECT o_orderkey * 2 + 9000000 - (SELECT max(o_orderkey) FROM orders) AS id FROM orders)"
 
 

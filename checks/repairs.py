@@ -12,6 +12,7 @@ from tablesmith.functions.values import first_match
 from tablesmith.operators import edgecases as E
 from tablesmith.operators import journeys as J
 from tablesmith.operators import quality as Q
+from tablesmith.plans.scenario import Validation, validate
 from tablesmith.spec import ColumnSpec, EdgeCase, EventSpec, Spec
 
 CODES = ["US", "IN", "GB", "AE", "ZZ"]
@@ -315,6 +316,56 @@ def journey_entity_key(spark, sf_dir):
     return _ordered(spark, sf_dir).select("event_id", "entity_id")
 
 
+# All journey repairs and the row repairs around them, on faulty histories.
+FAULTY = f"""SELECT * EXCLUDE (value), CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM ({BROKEN})"""
+FAULTY_SPEC = Spec((ColumnSpec("event_id", "int"), ColumnSpec("entity_id", "string", nullable=True), ColumnSpec("value", "float", "uniform", {"min": 5, "max": 60})),
+                   events=DEFINED, entity_key="entity_id")
+DEFINED_SEQ = "CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END"
+FAULTY_FIXED = f"""
+    WITH filled AS (
+        SELECT event_id, value, coalesce(journey_id, '') = '' AS no_journey, coalesce(transaction_id, '') = '' AS no_txn, transaction_id,
+               CASE WHEN coalesce(journey_id, '') = '' THEN {new_id('JRN-', 'journey_id')} ELSE journey_id END AS journey_id,
+               coalesce(event_type, 'BUSINESS_EVENT') AS kind, coalesce(event_sequence, 1) AS own, event_timestamp AS ts, entity_id FROM ({FAULTY})),
+    marked AS (SELECT *, NOT no_txn AND row_number() OVER (PARTITION BY transaction_id ORDER BY event_id) > 1 AS again,
+                      coalesce({DEFINED_SEQ}, own) AS seq, coalesce({DEFINED_SEQ} <> own, false) AS other, coalesce(ts, {S.AS_OF}) AS moment FROM filled),
+    scanned AS (SELECT *, max(seq) OVER h AS seq_now, max(moment) OVER h AS ts_now, first_value(entity_id IGNORE NULLS) OVER h AS entity_now
+                FROM marked WINDOW h AS (PARTITION BY journey_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, CASE WHEN value IS NULL AND kind IN ('view', 'click', 'purchase') THEN 0.0 WHEN value IS NOT NULL THEN least(60.0, greatest(5.0, value)) END AS value,
+           journey_id, CASE WHEN no_txn OR again THEN {new_id('TXN-', 'transaction_id')} ELSE transaction_id END AS transaction_id,
+           kind AS event_type, CAST(seq_now AS INTEGER) AS event_sequence, ts_now AS event_timestamp, entity_now AS entity_id,
+           array_to_string(list_filter([
+               CASE WHEN value < 5 THEN 'value: below its minimum' ELSE '' END, CASE WHEN value > 60 THEN 'value: above its maximum' ELSE '' END,
+               CASE WHEN no_journey THEN 'journey_id: missing' ELSE '' END, CASE WHEN no_txn OR again THEN 'transaction_id: missing or repeated' ELSE '' END,
+               CASE WHEN other THEN 'event_sequence: not the defined one' ELSE '' END, CASE WHEN ts IS NULL THEN 'event_timestamp: missing' ELSE '' END,
+               CASE WHEN seq_now > seq THEN 'event_sequence: below an earlier one of its journey' ELSE '' END,
+               CASE WHEN ts_now > moment THEN 'event_timestamp: before an earlier one of its journey' ELSE '' END,
+               CASE WHEN entity_now IS DISTINCT FROM entity_id THEN 'entity key: not that of its journey' ELSE '' END,
+               CASE WHEN value IS NULL AND kind IN ('view', 'click', 'purchase') THEN '1 missing: defaults taken' ELSE '' END], lambda x: x <> ''), '; ') AS issues
+    FROM scanned"""
+
+
+def faulty_rows(spark, sf_dir):
+    rows = broken(spark, sf_dir)
+    return rows.withColumn("value", F.when(F.col("event_id") % 10 != 0, F.col("value")))
+
+
+def _validated_faulty(spark, sf_dir, **sizes):
+    options = Validation(Profile(None, "telecom"), order="event_id", journeys=True, **sizes)
+    fixed = validate(faulty_rows(spark, sf_dir), FAULTY_SPEC, PORTABLE, options)
+    return fixed.withColumn("issues", F.concat_ws("; ", "issues"))
+
+
+@query("validated_journeys_faulty", FAULTY_FIXED)
+def validated_journeys_faulty(spark, sf_dir):
+    """A whole validation over histories with every kind of fault, with all issues in their order."""
+    return _validated_faulty(spark, sf_dir)
+
+
+@query("validated_journeys_faulty_hot_keys", FAULTY_FIXED)
+def validated_journeys_faulty_hot_keys(spark, sf_dir):
+    return _validated_faulty(spark, sf_dir, hot_rows=10, chunk_rows=500)
+
+
 FILL = Spec((ColumnSpec("o_totalprice", "float"), ColumnSpec("o_orderpriority", "categorical"), ColumnSpec("rush", "boolean"), ColumnSpec("note", "string", nullable=True),
              ColumnSpec("units", "int"), ColumnSpec("doubled", "float", "formula", formula="o_totalprice * 2"), ColumnSpec("per_unit", "float", "formula", formula="o_totalprice / units")))
 

@@ -167,54 +167,128 @@ def fill_ids(df: DataFrame, order: str, settings: Settings) -> DataFrame:
     })
 
 
-def renew_repeated_ids(df: DataFrame, order: str, settings: Settings, id_column: str = "transaction_id") -> DataFrame:
-    """Keep an id on its first row and give later rows with the same id a new one.
+def repeated_rows(df: DataFrame, order: str, id_column: str) -> DataFrame:
+    """Arrivals of the rows whose id stands on an earlier row, and nothing else.
 
     Ids on several rows come from a map-side combined count and minimum, so an id shared by a large part of the table
-    never gathers in one task. Narrow rows are matched with those ids only, and the table with the short list of repeats.
+    never gathers in one task; only narrow rows are matched with those ids.
     """
-    df = with_issues(df)
     present = df.select(order, id_column).filter(~_missing(F.col(id_column)))
     several = present.groupBy(id_column).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
-    repeats = lookup_join(present, several.select(id_column, "__first"), [id_column], order, "inner").filter(F.col(order) != F.col("__first"))
-    marked = df.join(repeats.select(order, F.lit(True).alias("__repeated")), order, "left")
-    repeated = F.col("__repeated").isNotNull()
+    repeats = lookup_join(present, several.select(id_column, "__first"), [id_column], order, "inner")
+    return repeats.filter(F.col(order) != F.col("__first")).select(order)
+
+
+def _renewed(marked: DataFrame, order: str, settings: Settings, id_column: str) -> DataFrame:
+    """New ids for the rows marked as ``__repeated``."""
+    repeated = F.coalesce("__repeated", F.lit(False))
     fresh = _tag("TXN-", _draws(settings, f"new:{id_column}", F.col(order)).hex())
     return marked.withColumns({
         id_column: F.when(repeated, fresh).otherwise(F.col(id_column)),
         "issues": noted((repeated, f"{id_column}: missing or repeated")),
-    }).select(*df.columns)
+    })
+
+
+def renew_repeated_ids(df: DataFrame, order: str, settings: Settings, id_column: str = "transaction_id") -> DataFrame:
+    """Keep an id on its first row and give later rows with the same id a new one.
+
+    The table is joined with the short list of repeats only.
+    """
+    df = with_issues(df)
+    repeats = repeated_rows(df, order, id_column).select(order, F.lit(True).alias("__repeated"))
+    return _renewed(df.join(repeats, order, "left"), order, settings, id_column).select(*df.columns)
+
+
+def _event_kind() -> Column:
+    return F.coalesce(F.nullif(F.col("event_type"), F.lit("")), F.lit("BUSINESS_EVENT"))
+
+
+def _sequences(events: tuple[EventSpec, ...]) -> tuple[Column, Column, Column]:
+    """The row's own sequence, the defined one (null for unknown events), and the one to use."""
+    own = F.coalesce(F.nullif(F.col("event_sequence"), F.lit(0)), F.lit(1))
+    defined = V.first_match([(_event_kind() == e.event_type, F.lit(e.sequence)) for e in events], F.lit(None).cast("int"))
+    return own, defined, F.greatest(F.lit(1), F.coalesce(defined, own)).cast("int")
 
 
 def set_sequences(df: DataFrame, events: tuple[EventSpec, ...]) -> DataFrame:
     """Event sequence from the definitions (unknown events keep theirs), at least 1; missing event types are named."""
     df = with_issues(df)
-    kind = F.coalesce(F.nullif(F.col("event_type"), F.lit("")), F.lit("BUSINESS_EVENT"))
-    own = F.coalesce(F.nullif(F.col("event_sequence"), F.lit(0)), F.lit(1))
-    defined = V.first_match([(kind == e.event_type, F.lit(e.sequence)) for e in events], F.lit(None).cast("int"))
+    own, defined, used = _sequences(events)
     return df.withColumns({
-        "event_type": kind,
-        "event_sequence": F.greatest(F.lit(1), F.coalesce(defined, own)).cast("int"),
+        "event_type": _event_kind(),
+        "event_sequence": used,
         "issues": noted((defined.isNotNull() & (defined != own), "event_sequence: not the defined one")),
     })
 
 
+def _time_or(settings: Settings) -> Column:
+    return F.coalesce(F.col("event_timestamp"), F.lit(settings.as_of).cast("timestamp_ntz"))
+
+
+def _history(entity_key: str | None, sequence: Column, when: Column) -> dict[str, Running]:
+    """What earlier rows of a journey hold against a row."""
+    values = {"__seq": Running("max", sequence), "__ts": Running("max", when)}
+    return {**values, "__entity": Running("first", F.col(entity_key))} if entity_key else values
+
+
+def _follow_history(scanned: DataFrame, settings: Settings, entity_key: str | None) -> DataFrame:
+    """Take over ``__seq``, ``__ts`` and ``__entity``; rows without them keep what they have."""
+    when = _time_or(settings)
+    sequence, moment = F.coalesce("__seq", "event_sequence"), F.coalesce(F.col("__ts"), when)
+    fixed = {"event_sequence": sequence, "event_timestamp": moment}
+    found = [
+        (F.col("event_timestamp").isNull(), "event_timestamp: missing"),
+        (F.coalesce(sequence > F.col("event_sequence"), F.lit(False)), "event_sequence: below an earlier one of its journey"),
+        (moment > when, "event_timestamp: before an earlier one of its journey"),
+    ]
+    if entity_key:
+        entity = F.coalesce(F.col("__entity"), F.col(entity_key))
+        fixed[entity_key] = entity
+        found.append((~entity.eqNullSafe(F.col(entity_key)), "entity key: not that of its journey"))
+    return scanned.withColumns({**fixed, "issues": noted(*found)})
+
+
 def order_journeys(df: DataFrame, order: str, settings: Settings, entity_key: str | None = None, journey: str = "journey_id",
                    hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """In arrival order within a journey, sequence and time never go back and the entity key never changes."""
     df = with_issues(df)
-    when = F.coalesce(F.col("event_timestamp"), F.lit(settings.as_of).cast("timestamp_ntz"))
-    values = {"__seq": Running("max", F.col("event_sequence")), "__ts": Running("max", when)}
-    if entity_key:
-        values["__entity"] = Running("first", F.col(entity_key))
-    scanned = running(df, [journey], order, values, hot_rows, chunk_rows)
-    fixed = {"event_sequence": F.col("__seq"), "event_timestamp": F.col("__ts")}
-    found = [
-        (F.col("event_timestamp").isNull(), "event_timestamp: missing"),
-        (F.col("__seq") > F.col("event_sequence"), "event_sequence: below an earlier one of its journey"),
-        (F.col("__ts") > when, "event_timestamp: before an earlier one of its journey"),
-    ]
+    values = _history(entity_key, F.col("event_sequence"), _time_or(settings))
+    return _follow_history(running(df, [journey], order, values, hot_rows, chunk_rows), settings, entity_key).select(*df.columns)
+
+
+def repair_orders(df: DataFrame, order: str, events: tuple[EventSpec, ...], settings: Settings, entity_key: str | None = None,
+                  hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """What other rows of a history change on a row, one narrow row per arrival that is changed at all:
+    ``__repeated`` (its transaction id is taken), ``__seq``, ``__ts`` and ``__entity`` (those of its journey so far).
+
+    Only ids, sequence, time and entity key are read and moved. Rows without a journey get one of their own and
+    have no history, so they are not scanned.
+    """
+    has_entity = [entity_key] if entity_key else []
+    narrow = df.filter(~_missing(F.col("journey_id"))).select(
+        order, "journey_id", _sequences(events)[2].alias("__own_seq"), _time_or(settings).alias("__own_ts"), *has_entity)
+    values = _history(entity_key, F.col("__own_seq"), F.col("__own_ts"))
+    scanned = running(narrow, ["journey_id"], order, values, hot_rows, chunk_rows)
+    ruled = (F.col("__seq") > F.col("__own_seq")) | (F.col("__ts") > F.col("__own_ts"))
     if entity_key:
-        fixed[entity_key] = F.col("__entity")
-        found.append((~F.col("__entity").eqNullSafe(F.col(entity_key)), "entity key: not that of its journey"))
-    return scanned.withColumns({**fixed, "issues": noted(*found)}).select(*df.columns)
+        ruled = ruled | ~F.col("__entity").eqNullSafe(F.col(entity_key))
+    orders = scanned.filter(ruled).select(order, F.lit(False).alias("__repeated"), *values)
+    if "transaction_id" in df.columns:
+        repeats = repeated_rows(df, order, "transaction_id").select(order, F.lit(True).alias("__repeated"))
+        orders = orders.unionByName(repeats, allowMissingColumns=True)
+    return orders.groupBy(order).agg(F.max("__repeated").alias("__repeated"), *[F.max(n).alias(n) for n in values])
+
+
+def repair_journeys(df: DataFrame, order: str, events: tuple[EventSpec, ...], settings: Settings, entity_key: str | None = None,
+                    hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``fill_ids``, ``renew_repeated_ids``, ``set_sequences`` and ``order_journeys`` with the wide table joined once.
+
+    Everything that depends on other rows is found on narrow rows (``repair_orders``); the wide table then meets the
+    list of changed arrivals and is shuffled by arrival at most once, or stays in place if the list is small.
+    """
+    df = with_issues(df)
+    orders = repair_orders(df, order, events, settings, entity_key, hot_rows, chunk_rows)
+    marked = fill_ids(df, order, settings).join(orders, order, "left")
+    if "transaction_id" in df.columns:
+        marked = _renewed(marked, order, settings, "transaction_id")
+    return _follow_history(set_sequences(marked, events), settings, entity_key).select(*df.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions import expressions as X
@@ -16,6 +16,7 @@ from tablesmith.operators import journeys as J
 from tablesmith.operators import quality as Q
 from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS
 from tablesmith.operators.synthesize import Settings
+from tablesmith.sources.sink import write_records
 from tablesmith.spec import EventSpec, Spec
 
 # A scenario without events has one, carrying every column.
@@ -76,13 +77,18 @@ def generate_journeys(df: DataFrame, key: str, spec: Spec, settings: Settings, e
 
 @dataclass(frozen=True)
 class Validation:
-    """Options of a validation run. ``key`` identifies a record in redrawn values (default: order, else the first column)."""
+    """Options of a validation run. ``key`` identifies a record in redrawn values (default: order, else the first column).
+
+    With ``set_aside`` a labelled row that cannot meet its case is flagged in the column ``set_aside`` instead of
+    failing the job; it keeps its label and says why in ``issues``.
+    """
 
     profile: Profile = Profile()
     rules: dict | None = None
     key: str | None = None
     order: str | None = None
     journeys: bool = False
+    set_aside: bool = False
     hot_rows: int = HOT_ROWS
     chunk_rows: int = CHUNK_ROWS
 
@@ -90,20 +96,25 @@ class Validation:
 def validate(df: DataFrame, spec: Spec, settings: Settings, options: Validation = Validation()) -> DataFrame:
     """All repairs in their fixed order; the result carries an ``issues`` array per record.
 
-    Everything is narrow except the journey repairs, which shuffle on arrival and on journey.
+    Everything is narrow except the journey repairs: ids, times and keys are scanned by journey on narrow rows, and the
+    wide table meets the list of changed arrivals once.
     """
     key = options.key or options.order or df.columns[0]
+    aside = Q.SET_ASIDE if options.set_aside else None
+    if aside and aside in spec:
+        raise ValueError(f"column {aside!r} is declared; rows cannot be set aside under that name")
 
     def labelled(records: DataFrame) -> DataFrame:
         if "edge_case_name" in records.columns:
-            return E.apply_cases(records, spec, settings, key)
+            return E.apply_cases(records, spec, settings, key, aside=aside)
         # Without names a label only has to be true; the names found are not kept.
-        return E.name_labelled(records, spec).drop("edge_case_name") if "is_edge_case" in records.columns and spec.edge_cases else records
+        return E.name_labelled(records, spec, aside=aside).drop("edge_case_name") if "is_edge_case" in records.columns and spec.edge_cases else records
 
     def clear(records: DataFrame) -> DataFrame:
         return records if not spec.edge_cases or "is_edge_case" not in records.columns else clear_cases(records, spec)
 
-    df = labelled(J.with_issues(df))
+    df = J.with_issues(df)
+    df = labelled(df.withColumn(aside, F.lit(False)) if aside else df)
     df = Q.repair_country_values(df, options.profile)
     df = Q.coerce_types(df, spec, settings)
     df = Q.repair_choices(df, spec)
@@ -112,12 +123,39 @@ def validate(df: DataFrame, spec: Spec, settings: Settings, options: Validation
     df = Q.repair_formulas(df, spec, options.rules)
     df = Q.ordered_timestamps(df, ["event_timestamp", "notification_dispatch_ts", "customer_response_ts"])
     df = Q.repair_phones(df, options.profile)
-    df = Q.drop_undeclared(df, spec, ("issues", "edge_case_name", key))
+    df = Q.drop_undeclared(df, spec, ("issues", "edge_case_name", key, *([aside] if aside else [])))
     df = clear(labelled(df))
     if options.journeys:
-        df = J.fill_ids(df, options.order, settings)
-        df = J.renew_repeated_ids(df, options.order, settings)
-        df = J.set_sequences(df, spec.events)
-        df = J.order_journeys(df, options.order, settings, spec.entity_key, hot_rows=options.hot_rows, chunk_rows=options.chunk_rows)
+        df = J.repair_journeys(df, options.order, spec.events, settings, spec.entity_key, options.hot_rows, options.chunk_rows)
     df = Q.fill_missing(df, spec, options.rules)
     return clear(labelled(df))
+
+
+def validate_to(df: DataFrame, spec: Spec, settings: Settings, path: str, options: Validation = Validation()) -> DataFrame:
+    """Validate, write all rows under ``path`` and return the report, in one job over the input.
+
+    Rows set aside go to the folder ``set_aside=true``, all others to ``set_aside=false``; ``kept_records`` and
+    ``set_aside_records`` read one folder each. The report's numbers are taken by the tasks that write, one result per
+    finished task, so the data is neither scanned twice nor counted twice when a lost task runs again. An existing
+    ``path`` is refused.
+    """
+    checked = validate(df, spec, settings, replace(options, set_aside=True))
+    taken = Observation()
+    write_records(checked.observe(taken, *Q.report_counts(checked)), path, partition_by=[Q.SET_ASIDE])
+    counts = taken.get
+    report = df.sparkSession.range(1).select(*[F.lit(counts[n]).cast("bigint").alias(n) for n in Q.COUNTED])
+    return report.withColumn("deterministic_checks", F.array(*[F.lit(c) for c in Q.CHECKS]))
+
+
+def kept_records(spark: SparkSession, path: str) -> DataFrame:
+    """The valid rows of a validation run."""
+    return _side(spark, path, False)
+
+
+def set_aside_records(spark: SparkSession, path: str) -> DataFrame:
+    """The rows a validation run set aside, with the reason in ``issues``."""
+    return _side(spark, path, True)
+
+
+def _side(spark: SparkSession, path: str, aside: bool) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col(Q.SET_ASIDE) == aside).drop(Q.SET_ASIDE)

@@ -16,10 +16,11 @@ from tablesmith.operators import quality as Q
 from tablesmith.operators import views as W
 from tablesmith.operators.synthesize import Settings
 from tablesmith.plans.presets import account_sample, low_balance_catalog, recharge_sample
-from tablesmith.plans.scenario import Validation, generate_journeys, generate_records, validate
+from tablesmith.plans.scenario import (Validation, generate_journeys, generate_records, kept_records, set_aside_records,
+                                       validate, validate_to)
 from tablesmith.sources.definitions import load_columns, load_spec
 from tablesmith.sources.sink import public_names, write_records
-from tablesmith.spec import ColumnSpec, EventSpec, Spec
+from tablesmith.spec import ColumnSpec, EdgeCase, EventSpec, Spec
 from tablesmith.streaming.records import repair_stream, write_stream
 
 SET = Settings(seed=2, as_of=datetime(2024, 6, 1))
@@ -79,6 +80,57 @@ def test_validated_journeys_are_stable_and_ordered(spark):
     fixed.unpersist()
 
 
+FAULTS = (EventSpec("start", 1), EventSpec("stop", 2))
+
+
+def faulty_history(spark):
+    rows = [(i * 1000, None if i % 9 == 0 else f"j{i % 4}", "same" if i % 3 == 0 else None if i % 5 == 0 else f"t{i}", ("start", "stop", "odd", None)[i % 4 if i % 7 else 3],
+             (i * 5) % 6, None if i % 8 == 0 else datetime(2024, 1, 1, i * 7 % 24), None if i % 6 == 0 else f"e{i % 4 if i % 10 else 9}", "wide") for i in range(200)]
+    return spark.createDataFrame(rows, "at long, journey_id string, transaction_id string, event_type string, event_sequence int, event_timestamp timestamp_ntz, owner string, wide string")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"hot_rows": 5, "chunk_rows": 7}])
+def test_one_join_repairs_as_the_steps_do(spark, sizes):
+    df = faulty_history(spark)
+    steps = J.renew_repeated_ids(J.fill_ids(df, "at", SET), "at", SET)
+    steps = J.order_journeys(J.set_sequences(steps, FAULTS), "at", SET, "owner", **sizes)
+    once = J.repair_journeys(df, "at", FAULTS, SET, "owner", **sizes)
+    assert once.schema == steps.schema
+    assert [r.asDict() for r in once.orderBy("at").collect()] == [r.asDict() for r in steps.orderBy("at").collect()]
+    none = df.filter("at < 0")
+    assert J.repair_journeys(none, "at", FAULTS, SET, "owner", **sizes).count() == 0
+
+
+def test_journey_repairs_move_wide_rows_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = J.repair_journeys(faulty_history(spark), "at", FAULTS, SET, "owner")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = shown.splitlines()
+    moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange" in line]
+    assert len([line for line in moved if "wide" in line]) == 1, shown
+
+
+def test_rows_that_cannot_meet_their_case_are_set_aside(spark, tmp_path):
+    spec = Spec((ColumnSpec("id", "int"), ColumnSpec("kind", "categorical", "weighted_choice", {"choices": ["a", "b"]}), ColumnSpec("free", "string", nullable=True)),
+                edge_cases=(EdgeCase("is_b", "kind == 'b'"),))
+    df = spark.createDataFrame([(1, "a", None, "is_b", True), (2, "b", None, None, True), (3, "a", None, None, True), (4, "a", "x", "gone", True), (5, "a", "y", None, False)],
+                               "id int, kind string, free string, edge_case_name string, is_edge_case boolean")
+    with pytest.raises(Exception, match="meets no edge case|cannot be satisfied"):
+        validate(df, spec, SET, Validation(key="id")).collect()
+    path = str(tmp_path / "out")
+    report = validate_to(df, spec, SET, path, Validation(key="id")).first()
+    assert (report.total_input, report.total_valid, report.total_dropped, report.recovered) == (5, 3, 2, 0)
+    assert {r.id: (r.kind, r.is_edge_case) for r in kept_records(spark, path).collect()} == {1: ("b", True), 2: ("b", True), 5: ("a", False)}
+    aside = {r.id: (r.kind, r.is_edge_case, r.issues) for r in set_aside_records(spark, path).collect()}
+    assert aside == {3: ("a", True, ["label: meets no edge case"]), 4: ("a", True, ["edge case cannot be satisfied: gone"])}
+    with pytest.raises(Exception, match="already exists"):
+        validate_to(df, spec, SET, path, Validation(key="id"))
+    nothing = validate_to(df.limit(0), spec, SET, str(tmp_path / "none"), Validation(key="id")).first()
+    assert (nothing.total_input, nothing.total_dropped, nothing.algo_fixes) == (0, 0, 0)
+
+
 def test_a_scenario_without_events_gets_a_default_one(spark):
     spec = Spec((ColumnSpec("customer_id", "string", "prefixed_int", {"prefix": "C-", "digits": 6}),), entity_key="customer_id")
     df = generate_journeys(spark.range(30), "id", spec, SET)
