@@ -9,8 +9,9 @@ from checks.generators import BALANCE, BALANCE_SQL, PLAN, PLAN_SQL, SUBSCRIBER,
 from checks.registry import AS_OF, PORTABLE, SEED, query, table
 from tablesmith.operators import journeys as J
 from tablesmith.operators import views as W
+from tablesmith.operators.profiling import learned_rules, profile_columns, profile_constraints
 from tablesmith.operators.quality import drop_undeclared
-from tablesmith.operators.synthesize import (Settings, add_formulas, constrain, profile_constraints, synthesize,
+from tablesmith.operators.synthesize import (Settings, add_formulas, constrain, synthesize,
                                              synthesize_range)
 from tablesmith.functions.draws import Draws
 from tablesmith.session import shared_folder
@@ -181,6 +182,36 @@ def run_profile_constraints(spark, sf_dir):
     return profile_constraints(table(spark, sf_dir, "part"), ["p_size", "p_retailprice", "p_brand", "p_type"])
 
 
+TEXT_KINDS = " UNION ALL ".join(f"""
+    SELECT '{c}' AS field, CASE WHEN count(DISTINCT {c}) <= 50 THEN 'choice' ELSE 'text' END AS kind, count(*) AS rows, count(*) - count({c}) AS nulls, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi,
+           CASE WHEN count(DISTINCT {c}) <= 50 THEN count(DISTINCT {c}) END AS different, max(strlen({c})) AS longest FROM documents""" for c in ("text", "lang", "source"))
+
+
+@query("profile_free_text", f"""{TEXT_KINDS} UNION ALL
+    SELECT 'n_chars', 'number', count(*), count(*) - count(n_chars), min(n_chars), max(n_chars), NULL, NULL FROM documents""")
+def run_profile_free_text(spark, sf_dir):
+    """Texts are told from choices by sketches and never counted by value."""
+    kinds, _ = profile_columns(table(spark, sf_dir, "documents"), ["text", "lang", "source", "n_chars"], max_choices=50)
+    return kinds.select("field", "kind", "rows", "nulls", "lo", "hi", "different", "longest")
+
+
+SEGMENTS = Spec((ColumnSpec("o_totalprice", "float", "uniform", {"min": 0, "max": 1e9}), ColumnSpec("o_orderpriority", "categorical", "constant", {"value": "none"})))
+
+
+@query("learned_constraints", """
+    SELECT o_orderkey, o_totalprice >= (SELECT min(o_totalprice) FROM orders) AND o_totalprice <= (SELECT max(o_totalprice) FROM orders) AS in_bounds,
+           o_orderpriority IN (SELECT o_orderpriority FROM orders) AS listed FROM orders""")
+def run_learned_constraints(spark, sf_dir):
+    """Columns generated under the rules learned from the same table keep to its bounds and words."""
+    orders = table(spark, sf_dir, "orders")
+    rules = learned_rules(orders, ["o_totalprice", "o_orderpriority"])
+    made = synthesize(orders.select("o_orderkey"), "o_orderkey", SEGMENTS, Settings(seed=SEED, as_of=AS_OF, mode="portable", constraints=rules))
+    bounds, words = rules["o_totalprice"], rules["o_orderpriority"]["valid_values"]
+    # Generated prices are rounded to cents after clamping, as declared ones are.
+    inside = F.col("o_totalprice").between(F.lit(round(bounds["min"], 2)), F.lit(round(bounds["max"], 2)))
+    return made.select("o_orderkey", inside.alias("in_bounds"), F.col("o_orderpriority").isin(words).alias("listed"))
+
+
 @query("declared_constraints", f"""
     SELECT c_custkey, {S.rounded(f'least(300.0::DOUBLE, greatest(100.0::DOUBLE, {BALANCE_SQL}))')} AS balance, {PLAN_SQL} AS plan_type FROM customer""")
 def run_declared_constraints(spark, sf_dir):

@@ -9,6 +9,7 @@ from checks.generators import METHODS
 from checks.registry import PORTABLE, query, table
 from checks.repairs import CODES, code_of, code_sql
 from tablesmith.functions.generators import Context, register_generator
+from tablesmith.functions.values import first_match
 from tablesmith.operators import changes as C
 from tablesmith.operators import naming as N
 from tablesmith.operators import views as W
@@ -268,6 +269,41 @@ def profile_lookup(spark, sf_dir):
     return known.select("n_nationkey", "industry_key", "currency", "phone_country_code", F.concat_ws(" ", "payment_methods").alias("payment_methods"), amounts.alias("typical_denominations"))
 
 
+# A user's profiles: one industry for each part, at home in one country or anywhere, and generic ones.
+PROFILES = """
+    SELECT 'GENERIC' AS industry, NULL AS country, -1.0 AS rate UNION ALL SELECT NULL, 'IN', -2.0
+    UNION ALL SELECT p_name || ' ' || p_partkey, 'us', p_retailprice FROM part
+    UNION ALL SELECT p_name || ' ' || p_partkey, NULL, p_retailprice + 0.5 FROM part WHERE p_size > 15"""
+LOOSE = f"""
+    SELECT o_orderkey, {code_sql('o_orderkey', {c: f"'{c}'" for c in CODES})} AS country,
+           CASE o_orderkey % 6 WHEN 0 THEN ' ' || upper(name) WHEN 1 THEN 'the ' || name || ' trade' WHEN 2 THEN substr(name, 3) WHEN 3 THEN 'mining' WHEN 4 THEN name END AS industry
+    FROM (SELECT o_orderkey, p_name || ' ' || p_partkey AS name FROM orders LEFT JOIN part ON p_partkey = o_custkey)"""
+
+
+@query("profile_table_lookup", f"""
+    WITH known AS MATERIALIZED (SELECT coalesce(lower(industry), 'generic') AS industry, coalesce(upper(country), 'GLOBAL') AS country, rate FROM ({PROFILES})),
+    names AS MATERIALIZED (SELECT DISTINCT industry AS name FROM known WHERE industry <> 'generic'),
+    loose AS MATERIALIZED (SELECT *, coalesce(lower(trim(industry)), 'generic') AS text FROM ({LOOSE})),
+    meant AS MATERIALIZED (
+        SELECT text, first(name ORDER BY CASE WHEN text = name THEN 0 WHEN contains(text, name) THEN 1 ELSE 2 END, CASE WHEN contains(text, name) THEN -length(name) ELSE length(name) END, name) AS name
+        FROM (SELECT DISTINCT text FROM loose WHERE text <> 'generic') JOIN names ON contains(text, name) OR contains(name, text) GROUP BY text),
+    keyed AS (SELECT o_orderkey, country, coalesce(name, 'generic') AS industry_key FROM loose LEFT JOIN meant USING (text))
+    SELECT o_orderkey, industry_key, coalesce(a.rate, b.rate, c.rate, d.rate) AS rate FROM keyed
+    LEFT JOIN known a ON a.industry = industry_key AND a.country = keyed.country LEFT JOIN known b ON b.industry = industry_key AND b.country = 'GLOBAL'
+    LEFT JOIN known c ON c.industry = 'generic' AND c.country = keyed.country LEFT JOIN known d ON d.industry = 'generic' AND d.country = 'GLOBAL'""")
+def profile_table_lookup(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.concat_ws(" ", "p_name", "p_partkey").alias("industry"))
+    fixed = spark.createDataFrame([("GENERIC", None, -1.0), (None, "IN", -2.0)], "industry string, country string, rate double")
+    home = part.select("industry", F.lit("us").alias("country"), F.col("p_retailprice").alias("rate"))
+    anywhere = part.filter("p_size > 15").select("industry", F.lit(None).cast("string").alias("country"), (F.col("p_retailprice") + 0.5).alias("rate"))
+    key, name = F.col("o_orderkey"), F.col("industry")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("p_partkey")).join(part, "p_partkey", "left")
+    words = [F.concat(F.lit(" "), F.upper(name)), F.concat(F.lit("the "), name, F.lit(" trade")), F.substring(name, F.lit(3), F.length(name)), F.lit("mining"), name]
+    loose = orders.select(key, code_of(key).alias("country"), first_match([(key % 6 == i, w) for i, w in enumerate(words)], F.lit(None).cast("string")).alias("industry"))
+    known = N.with_profile_table(loose, fixed.unionByName(home).unionByName(anywhere), "country", "industry", "o_orderkey")
+    return known.select("o_orderkey", "industry_key", "rate")
+
+
 @query("entity_key_resolution", "SELECT c_custkey AS entity_key, count(*) AS n FROM customer GROUP BY c_custkey")
 def entity_key_resolution(spark, sf_dir):
     """An unknown key falls back to the canonical identifier, here the renamed customer key."""

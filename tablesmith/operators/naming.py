@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions import profiles as P
+from tablesmith.operators.ordered import lookup_join
 
 # Canonical name per concept (generic, and telecom where it differs) and known synonyms.
 CANONICAL = {
@@ -73,3 +74,72 @@ def with_profile(df: DataFrame, country: str, industry: str) -> DataFrame:
 
 def _country_methods(profile: P.Profile):
     return profile.pick(lambda f: F.array(*[F.lit(m) for m in P.COUNTRIES[f["country_code"]]["payment_methods"]]))
+
+
+# Profiles given as tables
+
+GENERIC, ANYWHERE = "generic", "GLOBAL"
+
+
+def _folded(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+
+
+def _pieces(df: DataFrame, name: str, shortest: int, longest: int) -> DataFrame:
+    """Every stretch of a text with a length in the given range, a row each."""
+    lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length(name)))
+    sized = df.filter(F.length(name) >= shortest).select(name, F.explode(lengths).alias("__n"))
+    starts = F.explode(F.sequence(F.lit(1), F.length(name) - F.col("__n") + 1))
+    return sized.select(name, "__n", starts.alias("__at")).select(name, F.substring(F.col(name), F.col("__at"), F.col("__n")).alias("piece"))
+
+
+def resolve_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The name each text means: itself; else the longest name inside it; else the shortest name it is inside of; ties
+    go to the name first in order. Texts that mean no name are left out.
+
+    ``texts`` (column ``text``) and ``names`` (column ``name``) are distinct, trimmed and in lower case. Containment is
+    an equality join of stretches with names or texts, so the work grows with the lengths and not with texts times names.
+    """
+    spark = texts.sparkSession
+    sizes = names.filter("name <> ''").agg(F.min(F.length("name")).alias("least"), F.max(F.length("name")).alias("most")).first()
+    if sizes.most is None:
+        return spark.createDataFrame([], "text string, name string")
+    texts, names = texts.filter("text <> ''"), names.filter("name <> ''")
+    inside = lookup_join(_pieces(texts, "text", sizes.least, sizes.most), names.select(F.col("name").alias("piece"), "name"), ["piece"], "text", "inner")
+    around = lookup_join(_pieces(names, "name", 1, sizes.most), texts.select(F.col("text").alias("piece"), "text"), ["piece"], "name", "inner")
+    size = F.length("name")
+    found = inside.select("text", F.struct(F.when(F.col("text") == F.col("name"), 0).otherwise(1).alias("rank"), (-size).alias("by"), "name").alias("m")).unionByName(
+        around.select("text", F.struct(F.when(F.col("text") == F.col("name"), 0).otherwise(2).alias("rank"), F.when(F.col("text") == F.col("name"), -size).otherwise(size).alias("by"), "name").alias("m")))
+    return found.groupBy("text").agg(F.min("m").alias("m")).select("text", F.col("m.name").alias("name"))
+
+
+def with_profile_table(df: DataFrame, profiles: DataFrame, country: str, industry: str, spread: str) -> DataFrame:
+    """Add ``industry_key`` and the attributes of a table of profiles (columns ``industry``, ``country``, and any others).
+
+    A row takes the first profile there is of: its industry in its country, its industry anywhere, the generic industry
+    in its country, the generic one anywhere (``country`` null or GLOBAL, ``industry`` null or generic); without any, the
+    attributes are null. Industries are named loosely (``resolve_names``). Names are resolved and profiles chosen once for
+    every different pair of values; the table then meets the pairs in one join that spreads the rows of a frequent pair by ``spread``.
+    """
+    attributes = [c for c in profiles.columns if c not in ("industry", "country")]
+    if clash := sorted({*attributes, "industry_key"} & set(df.columns)):
+        raise ValueError(f"columns {clash} are in the table already")
+    code = lambda c: F.coalesce(F.nullif(F.upper(F.trim(c)), F.lit("")), F.lit(ANYWHERE))
+    name = lambda c: F.coalesce(F.nullif(_folded(c), F.lit("")), F.lit(GENERIC))
+    known = profiles.select(name(F.col("industry")).alias("__industry"), code(F.col("country")).alias("__country"), F.struct(*attributes).alias("__facts"))
+    if twice := known.groupBy("__industry", "__country").count().filter("count > 1").limit(1).collect():
+        raise ValueError(f"several profiles of {twice[0][0]!r} in {twice[0][1]!r}")
+
+    placed = df.withColumns({"__text": name(F.col(industry)), "__code": code(F.col(country))})
+    pairs = placed.select("__text", "__code").distinct()
+    names = known.select(F.col("__industry").alias("name")).filter(F.col("name") != GENERIC).distinct()
+    meant = resolve_names(pairs.select(F.col("__text").alias("text")).filter(F.col("text") != GENERIC).distinct(), names)
+    keyed = pairs.join(meant.withColumnRenamed("text", "__text"), "__text", "left").withColumn("industry_key", F.coalesce("name", F.lit(GENERIC))).drop("name")
+    steps = [(F.col("industry_key"), F.col("__code")), (F.col("industry_key"), F.lit(ANYWHERE)), (F.lit(GENERIC), F.col("__code")), (F.lit(GENERIC), F.lit(ANYWHERE))]
+    tries = keyed.withColumn("__try", F.explode(F.array(*[F.struct(F.lit(i).alias("step"), a.alias("i"), b.alias("c")) for i, (a, b) in enumerate(steps)])))
+    tries = tries.select("__text", "__code", "industry_key", "__try.step", F.col("__try.i").alias("__industry"), F.col("__try.c").alias("__country"))
+    hits = lookup_join(tries, known, ["__industry", "__country"], "__text")
+    step = F.when(F.col("__facts").isNotNull(), F.col("step")).otherwise(len(steps))
+    chosen = hits.groupBy("__text", "__code").agg(F.min_by(F.struct("industry_key", "__facts"), step).alias("__chosen"))
+    out = lookup_join(placed, chosen, ["__text", "__code"], spread)
+    return out.select(*df.columns, "__chosen.industry_key", *[F.col(f"__chosen.__facts.{a}").alias(a) for a in attributes])

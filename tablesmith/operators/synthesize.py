@@ -8,7 +8,6 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablesmith.functions import expressions as X
 from tablesmith.functions import generators as G
@@ -94,30 +93,6 @@ def constrain(value: Column, column: ColumnSpec, rule: dict, u32: Column) -> Col
     return bounded.cast(column.spark_type) if column.dtype in INTEGER_TYPES else V.round_half_up(bounded, 2)
 
 
-def profile_constraints(df: DataFrame, spec_or_fields: Iterable[str] | None = None) -> DataFrame:
-    """Learn bounds and vocabularies from data: one row per numeric column (lo, hi) and per (column, value).
-
-    Both parts are map-side combined aggregates; vocabularies stay a distributed table.
-    """
-    fields = [f for f in df.schema.fields if spec_or_fields is None or f.name in set(spec_or_fields)]
-    numbers = [f.name for f in fields if isinstance(f.dataType, V.NUMERIC)]
-    words = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    parts = []
-    if numbers:
-        row = df.agg(*[F.struct(F.min(n).cast("double").alias("lo"), F.max(n).cast("double").alias("hi")).alias(n) for n in numbers])
-        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("b")) for n in numbers]))
-        parts.append(row.select(pairs.alias("r")).select(
-            "r.field", F.col("r.b.lo").alias("lo"), F.col("r.b.hi").alias("hi"),
-            F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("n")))
-    if words:
-        pairs = F.explode(F.array(*[F.struct(F.lit(w).alias("field"), F.col(w).alias("value")) for w in words]))
-        parts.append(df.select(pairs.alias("r")).groupBy("r.field", "r.value").agg(F.count("*").alias("n")).select(
-            "field", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "value", "n"))
-    if not parts:
-        raise ValueError("no numeric or text column to profile")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
 # Formulas on existing columns
 
 
