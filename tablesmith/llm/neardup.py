@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.llm.common import SHINGLE_WORDS, byte_column, fresh, mix64, quoted, saved, text_key, unit, word_hashes
 from tablesmith.llm.graph import components
+from tablesmith.operators.ordered import lookup_join
 
 
 @dataclass(frozen=True)
@@ -270,7 +271,8 @@ def links(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
 def classify(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc, key, class_id, and kept (true for one row of each class)."""
     signed = signatures(docs, bands, id, text)
-    texts = saved(signed.filter("n > 0").groupBy("key").agg(F.min("row").alias("node")))
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")
+    texts = saved(signed.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(place).alias("first")))
     bucketed = (signed.select("row", "bands").join(texts.select(F.col("node").alias("row")), "row")
                 .select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "node"))
     shared = bucketed.groupBy("bucket").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("bucket")
@@ -279,10 +281,12 @@ def classify(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", text:
     shared_nodes = signed.select(F.col("row").alias("node"), "n", "bag", in_short.alias("marks")).join(members.select("node").distinct(), "node")
     nodes = saved(shared_nodes.mapInArrow(_sketched(bands), "node long, n long, bag binary, marks array<int>, sketch array<long>"))
     grouped = links(members, nodes, bands)
-    of_text = saved(texts.join(grouped, "node", "left").select("key", F.coalesce("component", "node").alias("class")))
-    placed = signed.select("row", "doc", "key", "n").join(of_text, "key", "left").withColumn("class", F.coalesce("class", "row"))
-    first = placed.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first"))
-    return placed.join(first, "class").select("doc", "key", F.col("first.doc").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+    of_text = saved(texts.join(grouped, "node", "left").select("key", "first", F.coalesce("component", "node").alias("class")))
+    firsts = of_text.groupBy("class").agg(F.min("first").alias("first"))
+    # A class of many texts, or a text of many copies, is spread over copies of its one matching row.
+    known = saved(lookup_join(of_text.select("key", "class"), firsts, ["class"], "key").select("key", "first"))
+    placed = lookup_join(signed.select("row", "doc", "key"), known, ["key"], "row").withColumn("first", F.coalesce("first", place))
+    return placed.select("doc", "key", F.col("first.doc").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", text: str = "text") -> DataFrame:
