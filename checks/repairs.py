@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -13,7 +15,9 @@ from tablesmith.operators import edgecases as E
 from tablesmith.operators import journeys as J
 from tablesmith.operators import quality as Q
 from tablesmith.plans.scenario import Validation, validate
+from tablesmith.session import shared_folder
 from tablesmith.spec import ColumnSpec, EdgeCase, EventSpec, Spec
+from tablesmith.streaming.records import repair_stream, write_stream
 
 CODES = ["US", "IN", "GB", "AE", "ZZ"]
 
@@ -227,9 +231,9 @@ BROKEN = """
     FROM events"""
 
 
-def broken(spark, sf_dir):
+def broken(spark, sf_dir, arriving=None):
     i, user = F.col("event_id"), F.col("user_id").cast("string")
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if arriving is None else arriving).select(
         "event_id", "user_id", "value",
         F.when(i % 5 == 0, None).when(i % 7 == 0, "").otherwise(F.concat(F.lit("JRN-"), user)).alias("journey_id"),
         F.when(i % 6 == 0, None).when(i % 3 == 1, "TXN-shared").otherwise(F.concat(F.lit("TXN-"), F.floor(i / 4).cast("string"))).alias("transaction_id"),
@@ -344,8 +348,8 @@ FAULTY_FIXED = f"""
     FROM scanned"""
 
 
-def faulty_rows(spark, sf_dir):
-    rows = broken(spark, sf_dir)
+def faulty_rows(spark, sf_dir, arriving=None):
+    rows = broken(spark, sf_dir, arriving)
     return rows.withColumn("value", F.when(F.col("event_id") % 10 != 0, F.col("value")))
 
 
@@ -366,6 +370,20 @@ def validated_journeys_faulty_hot_keys(spark, sf_dir):
     return _validated_faulty(spark, sf_dir, hot_rows=10, chunk_rows=500)
 
 
+@query("validated_journeys_stream", FAULTY_FIXED)
+def validated_journeys_stream(spark, sf_dir):
+    """The same validation with the events as a stream: state per journey and transaction id instead of scans."""
+    source = table(spark, sf_dir, "events")
+    # A pattern, because a stream takes a folder or a pattern, and the table may be a single file.
+    arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
+    path, name = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", f"journeys-{uuid.uuid4().hex}"
+    options = Validation(Profile(None, "telecom"), order="event_id", journeys=True)
+    stream = repair_stream(faulty_rows(spark, sf_dir, arriving), FAULTY_SPEC, PORTABLE, options)
+    write_stream(stream, path, name, continuous=False).awaitTermination()
+    fixed = spark.read.schema(stream.schema).parquet(path)
+    return fixed.withColumn("issues", F.concat_ws("; ", "issues"))
+
+
 FILL = Spec((ColumnSpec("o_totalprice", "float"), ColumnSpec("o_orderpriority", "categorical"), ColumnSpec("rush", "boolean"), ColumnSpec("note", "string", nullable=True),
              ColumnSpec("units", "int"), ColumnSpec("doubled", "float", "formula", formula="o_totalprice * 2"), ColumnSpec("per_unit", "float", "formula", formula="o_totalprice / units")))
 

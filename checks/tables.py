@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -14,6 +16,8 @@ from tablesmith.operators import changes as C
 from tablesmith.operators import naming as N
 from tablesmith.operators import views as W
 from tablesmith.operators.synthesize import synthesize
+from tablesmith.session import shared_folder
+from tablesmith.sources import batches as B
 from tablesmith.spec import ColumnSpec, EventSpec, Spec, resolve_entity_key
 
 # Views over events: users are entities, arrival is event_id.
@@ -42,21 +46,33 @@ def latest_entities(spark, sf_dir):
     return W.latest_entities(events(spark, sf_dir), "user_id", "event_id")
 
 
-@query("nested_documents", """
+NESTED = """
     WITH counted AS (SELECT user_id, event_type, count(*) AS total, min(event_id) AS first FROM events GROUP BY ALL),
     recent AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) <= 10),
     listed AS (SELECT user_id, event_type, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS ids, string_agg(CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR), ' ' ORDER BY event_id) AS amounts FROM recent GROUP BY ALL),
     placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 ELSE 4 END, first) - 1 AS position
                FROM counted JOIN listed USING (user_id, event_type))
-    SELECT user_id, position, event_type, total AS total_count, ids, amounts FROM placed""")
-def nested_documents(spark, sf_dir):
-    documents = W.nest(events(spark, sf_dir), "user_id", DEFINED, "event_id")
+    SELECT user_id, position, event_type, total AS total_count, ids, amounts FROM placed"""
+
+
+def _unfolded(documents):
     flat = documents.select("user_id", F.posexplode("events").alias("position", "e"))
     amounts = F.transform("e.records", lambda r: F.floor(r["value"] * 100).cast("string"))
     return flat.select("user_id", "position", F.col("e.event_type").alias("event_type"), F.col("e.totalCount").alias("total_count"),
                        F.concat_ws(" ", F.col("e.records.event_id").cast("array<string>")).alias("ids"), F.concat_ws(" ", amounts).alias("amounts"))
 
 
+@query("nested_documents", NESTED)
+def nested_documents(spark, sf_dir):
+    return _unfolded(W.nest(events(spark, sf_dir), "user_id", DEFINED, "event_id"))
+
+
+@query("nested_documents_hot_keys", NESTED)
+def nested_documents_hot_keys(spark, sf_dir):
+    """Users with more than ten events are hot: their records are cut before the shuffle, those of the others after it."""
+    return _unfolded(W.nest(events(spark, sf_dir), "user_id", DEFINED, "event_id", hot_rows=10))
+
+
 @query("identity_attributes", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def identity_attributes(spark, sf_dir):
     return W.identity_attributes(events(spark, sf_dir), "user_id", "event_id", ["event_type", "value"])
@@ -215,6 +231,46 @@ def apply_grouped_changes_repeated(spark, sf_dir):
                                    made(pairs, 1, 1.0, "X").unionByName(made(pairs, 2, 2.0, "Y")), seq="at")
 
 
+# Batches of changes that may be applied again
+
+
+def _twice(apply, spark, path):
+    """Apply a batch and apply it again."""
+    if not apply() or apply():
+        raise ValueError("a batch takes effect once")
+    return B.read_table(spark, path)
+
+
+@query("change_batch_repeated", """
+    SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'READDED' WHEN c_custkey % 10 = 1 THEN 'EDITED' ELSE c_mktsegment END AS c_mktsegment,
+           CASE WHEN c_custkey % 20 = 0 THEN 1.5 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey % 20 = 0
+    UNION ALL SELECT c_custkey + 1000000, 'READDED', 1.5 FROM customer WHERE c_custkey % 20 = 0""")
+def change_batch_repeated(spark, sf_dir):
+    """A change set applied, and applied again: the table of one application."""
+    base, k = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), F.col("c_custkey")
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    B.create_table(base, path, "c_custkey", buckets=32)
+    deletes = base.filter(k % 10 == 0).select("c_custkey")
+    edits = base.filter(k % 10 == 1).select("c_custkey", F.lit("EDITED").alias("c_mktsegment"))
+    adds = base.filter(k % 20 == 0).select(F.explode(F.array(k, k + 1_000_000)).alias("c_custkey"), F.lit("READDED").alias("c_mktsegment"), F.lit(1.5).alias("c_acctbal"))
+    return _twice(lambda: B.apply_change_batch(spark, path, "one", deletes, edits, adds), spark, path)
+
+
+@query("grouped_change_batch_repeated", """
+    SELECT l_orderkey, l_suppkey, l_linenumber, CASE WHEN l_suppkey % 10 = 1 THEN 0.5 ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_suppkey % 10 <> 0
+    UNION ALL SELECT DISTINCT l_orderkey + 100000000, l_suppkey, 1, 9.0 FROM lineitem WHERE l_suppkey % 10 = 1""")
+def grouped_change_batch_repeated(spark, sf_dir):
+    """Edits by name would hit the rows the same batch adds if it took effect twice."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_quantity")
+    path, names = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", lines.select("l_suppkey").distinct()
+    B.create_table(lines, path, "l_suppkey", buckets=32)
+    deletes, edited = names.filter("l_suppkey % 10 = 0"), names.filter("l_suppkey % 10 = 1")
+    edits = edited.withColumn("l_quantity", F.lit(0.5))
+    adds = lines.join(edited, "l_suppkey", "left_semi").select((F.col("l_orderkey") + 100_000_000).alias("l_orderkey"), "l_suppkey").distinct().withColumns(
+        {"l_linenumber": F.lit(1), "l_quantity": F.lit(9.0)})
+    return _twice(lambda: B.apply_grouped_change_batch(spark, path, "one", "l_orderkey", "l_linenumber", deletes, edits, adds), spark, path)
+
+
 # Cleaning, names, profiles
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.operators.journeys import METADATA
-from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS, Running, running
+from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS, Running, hot_keys, running
+from tablesmith.session import saved
 from tablesmith.spec import EventSpec, Spec
 
 LATEST = 10
@@ -60,29 +61,52 @@ def event_rank(events: tuple[EventSpec, ...], event: Column) -> Column:
     return F.when(at == 0, len(place) + 1).otherwise(at)
 
 
+def _blocks_in_place(df: DataFrame, entity: str, order: str, k: int, record: Column, known: Column) -> DataFrame:
+    """Event blocks from one partitioning by entity: rows are ranked there, and counts, newest records and identity are
+    taken from the ranked rows without moving them again. At most k records of an event are ever collected."""
+    newest = Window.partitionBy(entity, "__kind").orderBy(F.col(order).desc())
+    ranked = df.repartition(entity).withColumn("__rank", F.row_number().over(newest))
+    return ranked.groupBy(entity, "__kind").agg(
+        F.max("__rank").cast("bigint").alias("totalCount"), F.min(order).alias("__first"), F.max(order).alias("__last"),
+        F.max_by(known, F.col(order)).alias("__id"), F.array_sort(F.collect_list(F.when(F.col("__rank") <= k, record))).alias("__records"))
+
+
+def _blocks_cut_first(df: DataFrame, entity: str, order: str, k: int, record: Column, known: Column) -> DataFrame:
+    """The same blocks for entities with many rows: aggregates are combined and records cut to k before any shuffle."""
+    group = [entity, "__kind"]
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("totalCount"), F.min(order).alias("__first"), F.max(order).alias("__last"),
+                                    F.max_by(known, F.col(order)).alias("__id"))
+    recent = latest_k(df, group, order, k).groupBy(*group).agg(F.array_sort(F.collect_list(record)).alias("__records"))
+    return counts.join(recent, group)
+
+
 def nest(df: DataFrame, entity: str, events: tuple[EventSpec, ...], order: str, k: int = LATEST,
-         identity: list[str] | None = None) -> DataFrame:
+         identity: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One document per entity: identity, then per event its total count and the latest k records, oldest first.
 
-    Counts and identity are map-side combined aggregates and the records are cut to k per event before any grouping,
-    so documents stay small however many rows an entity has. Unknown events follow in order of first appearance.
+    Entities are counted first (a small job over one column). Those with up to ``hot_rows`` rows are partitioned by
+    entity once, and everything is taken from that one exchange; the others are cut on the map side, so documents stay
+    small however many rows an entity has. Unknown events follow in order of first appearance.
     """
-    records, group = df.columns, [entity, "__kind"]
-    kind = F.coalesce(F.nullif(F.col("event_type"), F.lit("")), F.lit("BUSINESS_EVENT"))
-    df = keyed_rows(df, entity).withColumn("__kind", kind)
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("totalCount"), F.min(order).alias("__first"))
-    recent = latest_k(df, group, order, k)
-    per_event = recent.groupBy(*group).agg(F.array_sort(F.collect_list(
-        F.struct(F.col(order).alias("__order"), F.struct(*records).alias("record")))).alias("__records"))
-    blocks = per_event.join(counts, group).select(entity, F.struct(
-        event_rank(events, F.col("__kind")).alias("__rank"), F.col("__first"), F.struct(
-            F.col("__kind").alias("event_type"), "totalCount", F.transform("__records", lambda r: r["record"]).alias("records")).alias("event")).alias("__block"))
-    documents = blocks.groupBy(entity).agg(
-        F.transform(F.array_sort(F.collect_list("__block")), lambda b: b["event"]).alias("events"))
+    records = df.columns
     names = [c for c in (IDENTITY if identity is None else identity) if c in df.columns and c != entity]
-    if names:
-        documents = documents.join(identity_attributes(df, entity, order, names), entity)
-    return documents.select(entity, *names, "events")
+    df = keyed_rows(df, entity).withColumn("__kind", F.coalesce(F.nullif(F.col("event_type"), F.lit("")), F.lit("BUSINESS_EVENT")))
+    record = F.struct(F.col(order).alias("__order"), F.struct(*records).alias("record"))
+    known = F.struct(*names) if names else F.lit(None).cast("string")
+
+    def documents(blocks: DataFrame) -> DataFrame:
+        event = F.struct(F.col("__kind").alias("event_type"), "totalCount", F.transform("__records", lambda r: r["record"]).alias("records"))
+        block = F.struct(event_rank(events, F.col("__kind")).alias("__place"), F.col("__first"), event.alias("event"))
+        made = blocks.groupBy(entity).agg(F.max_by("__id", "__last").alias("__id"),
+                                          F.transform(F.array_sort(F.collect_list(block)), lambda b: b["event"]).alias("events"))
+        return made.select(entity, *[F.col(f"__id.{n}").alias(n) for n in names], "events")
+
+    hot = saved(hot_keys(df.select(entity), [entity], hot_rows))
+    if hot.isEmpty():
+        return documents(_blocks_in_place(df, entity, order, k, record, known))
+    listed = F.broadcast(hot.select(entity))
+    cold = documents(_blocks_in_place(df.join(listed, entity, "left_anti"), entity, order, k, record, known))
+    return cold.unionByName(documents(_blocks_cut_first(df.join(listed, entity, "left_semi"), entity, order, k, record, known)))
 
 
 def renumber(df: DataFrame, group: list[str], order: str, name: str = "sequence", hot_rows: int = HOT_ROWS,

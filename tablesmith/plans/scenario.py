@@ -18,6 +18,7 @@ from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS
 from tablesmith.operators.synthesize import Settings
 from tablesmith.sources.sink import write_records
 from tablesmith.spec import EventSpec, Spec
+from tablesmith.streaming.histories import repair_journeys as repair_journeys_on_arrival
 
 # A scenario without events has one, carrying every column.
 DEFAULT_EVENT = EventSpec("BUSINESS_EVENT", 1, (), 1, 10)
@@ -80,7 +81,8 @@ class Validation:
     """Options of a validation run. ``key`` identifies a record in redrawn values (default: order, else the first column).
 
     With ``set_aside`` a labelled row that cannot meet its case is flagged in the column ``set_aside`` instead of
-    failing the job; it keeps its label and says why in ``issues``.
+    failing the job; it keeps its label and says why in ``issues``. On a stream, journey state unseen for ``expire_after``
+    milliseconds is forgotten; without it, it is kept.
     """
 
     profile: Profile = Profile()
@@ -89,6 +91,7 @@ class Validation:
     order: str | None = None
     journeys: bool = False
     set_aside: bool = False
+    expire_after: int | None = None
     hot_rows: int = HOT_ROWS
     chunk_rows: int = CHUNK_ROWS
 
@@ -126,7 +129,10 @@ def validate(df: DataFrame, spec: Spec, settings: Settings, options: Validation
     df = Q.drop_undeclared(df, spec, ("issues", "edge_case_name", key, *([aside] if aside else [])))
     df = clear(labelled(df))
     if options.journeys:
-        df = J.repair_journeys(df, options.order, spec.events, settings, spec.entity_key, options.hot_rows, options.chunk_rows)
+        if df.isStreaming:
+            df = repair_journeys_on_arrival(df, options.order, spec.events, settings, spec.entity_key, options.expire_after)
+        else:
+            df = J.repair_journeys(df, options.order, spec.events, settings, spec.entity_key, options.hot_rows, options.chunk_rows)
     df = Q.fill_missing(df, spec, options.rules)
     return clear(labelled(df))
 

@@ -1,7 +1,7 @@
-"""Row-level validation of records as they arrive.
+"""Validation of records as they arrive.
 
-Each repair looks at one record, so the batch functions run unchanged on a stream and keep no state. Repairs that
-compare records of a journey (ids, order, entity key) need the whole history and stay batch jobs.
+Repairs of one record keep no state and are the batch job's functions; those that compare records of a journey keep a
+few values per journey and transaction id (``histories``).
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from tablesmith.operators.synthesize import Settings
 from tablesmith.plans.scenario import Validation, validate
 from tablesmith.session import shared_folder
 from tablesmith.spec import Spec
+from tablesmith.streaming.histories import keep_state_in_rocksdb
 
 
 def repair_stream(stream: DataFrame, spec: Spec, settings: Settings, options: Validation = Validation()) -> DataFrame:
-    """The row repairs of a validation run on a stream."""
+    """A validation run on a stream. Journey repairs need ``options.order`` and keep their state in RocksDB, which is set
+    on the session here."""
     if options.journeys:
-        raise ValueError("journey repairs need whole histories; run them as a batch job on the written records")
+        keep_state_in_rocksdb(stream.sparkSession)
     return validate(stream, spec, settings, options)
 
 
