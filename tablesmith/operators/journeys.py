@@ -11,6 +11,7 @@ from tablesmith.functions.draws import Draws
 from tablesmith.functions.generators import add_seconds
 from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS, Running, lookup_join, running
 from tablesmith.operators.synthesize import Settings, column_value, synthesize
+from tablesmith.session import saved
 from tablesmith.spec import EventSpec, Spec
 
 METADATA = ["journey_id", "transaction_id", "event_type", "event_sequence", "event_occurrence", "event_timestamp"]
@@ -171,11 +172,11 @@ def repeated_rows(df: DataFrame, order: str, id_column: str) -> DataFrame:
     """Arrivals of the rows whose id stands on an earlier row, and nothing else.
 
     Ids on several rows come from a map-side combined count and minimum, so an id shared by a large part of the table
-    never gathers in one task; only narrow rows are matched with those ids.
+    never gathers in one task; only narrow rows are matched with those ids, which are kept in the shared folder.
     """
     present = df.select(order, id_column).filter(~_missing(F.col(id_column)))
-    several = present.groupBy(id_column).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
-    repeats = lookup_join(present, several.select(id_column, "__first"), [id_column], order, "inner")
+    several = saved(present.groupBy(id_column).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1"))
+    repeats = lookup_join(present, several.select(id_column, "__first"), [id_column], order, "inner", counts=several)
     return repeats.filter(F.col(order) != F.col("__first")).select(order)
 
 
@@ -261,22 +262,21 @@ def repair_orders(df: DataFrame, order: str, events: tuple[EventSpec, ...], sett
     """What other rows of a history change on a row, one narrow row per arrival that is changed at all:
     ``__repeated`` (its transaction id is taken), ``__seq``, ``__ts`` and ``__entity`` (those of its journey so far).
 
-    Only ids, sequence, time and entity key are read and moved. Rows without a journey get one of their own and
-    have no history, so they are not scanned.
+    Only ids, sequence, time and entity key are read and moved. They are made once and kept in the shared folder, and so
+    are the repairs. Rows without a journey get one of their own and have no history, so they are not scanned.
     """
-    has_entity = [entity_key] if entity_key else []
-    narrow = df.filter(~_missing(F.col("journey_id"))).select(
-        order, "journey_id", _sequences(events)[2].alias("__own_seq"), _time_or(settings).alias("__own_ts"), *has_entity)
+    names = [n for n in dict.fromkeys([order, "journey_id", "transaction_id", *([entity_key] if entity_key else [])]) if n in df.columns]
+    narrow = saved(df.select(*names, _sequences(events)[2].alias("__own_seq"), _time_or(settings).alias("__own_ts")))
     values = _history(entity_key, F.col("__own_seq"), F.col("__own_ts"))
-    scanned = running(narrow, ["journey_id"], order, values, hot_rows, chunk_rows)
+    scanned = running(narrow.filter(~_missing(F.col("journey_id"))), ["journey_id"], order, values, hot_rows, chunk_rows)
     ruled = (F.col("__seq") > F.col("__own_seq")) | (F.col("__ts") > F.col("__own_ts"))
     if entity_key:
         ruled = ruled | ~F.col("__entity").eqNullSafe(F.col(entity_key))
     orders = scanned.filter(ruled).select(order, F.lit(False).alias("__repeated"), *values)
     if "transaction_id" in df.columns:
-        repeats = repeated_rows(df, order, "transaction_id").select(order, F.lit(True).alias("__repeated"))
+        repeats = repeated_rows(narrow, order, "transaction_id").select(order, F.lit(True).alias("__repeated"))
         orders = orders.unionByName(repeats, allowMissingColumns=True)
-    return orders.groupBy(order).agg(F.max("__repeated").alias("__repeated"), *[F.max(n).alias(n) for n in values])
+    return saved(orders.groupBy(order).agg(F.max("__repeated").alias("__repeated"), *[F.max(n).alias(n) for n in values]))
 
 
 def repair_journeys(df: DataFrame, order: str, events: tuple[EventSpec, ...], settings: Settings, entity_key: str | None = None,

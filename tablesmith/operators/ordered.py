@@ -156,10 +156,12 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, Runnin
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "left",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Join to a table with one row per key. Rows of a hot left key are spread over copies of its match, one copy
-    per hot_rows rows, so no task gets more than about that many rows of one key. Null keys match nothing and are spread too."""
-    hot = hot_keys(left.select(*keys), keys, hot_rows).select(*keys, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__copies"))
+    per hot_rows rows, so no task gets more than about that many rows of one key. Null keys match nothing and are spread too.
+    ``counts`` (keys, __rows) are the left rows of each key that has a match, where they are known."""
+    hot = hot_keys(left.select(*keys), keys, hot_rows) if counts is None else counts.filter(F.col("__rows") > hot_rows)
+    hot = hot.select(*keys, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__copies"))
     copies = F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)
     fanned = right.join(F.broadcast(hot), keys, "left").select(*right.columns, F.explode(copies).alias("__copy"))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

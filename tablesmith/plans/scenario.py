@@ -16,10 +16,12 @@ from tablesmith.operators import journeys as J
 from tablesmith.operators import quality as Q
 from tablesmith.operators.ordered import CHUNK_ROWS, HOT_ROWS
 from tablesmith.operators.synthesize import Settings
+from tablesmith.session import saved
 from tablesmith.sources.sink import write_records
 from tablesmith.spec import EventSpec, Spec
 from tablesmith.streaming.histories import repair_journeys as repair_journeys_on_arrival
 
+KEYS_PER_TASK = 5_000  # a task makes all rows of its keys, which are far larger than the keys
 # A scenario without events has one, carrying every column.
 DEFAULT_EVENT = EventSpec("BUSINESS_EVENT", 1, (), 1, 10)
 
@@ -54,24 +56,31 @@ def with_event_columns(rows: DataFrame, stable: list[str], spec: Spec, settings:
     return clear_cases(made, spec, None, F.col("__attempt") == E.ATTEMPTS - 1).drop("__attempt")
 
 
+def spread_keys(df: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys dealt over tasks by their number: a file of keys is small, and a few tasks would make all rows of it."""
+    tasks = -(-total // KEYS_PER_TASK)
+    return df.select(key).repartition(tasks, key) if tasks > 1 else df.select(key)
+
+
 def generate_journeys(df: DataFrame, key: str, spec: Spec, settings: Settings, entities: int | None = None) -> DataFrame:
     """Event histories for a table with a whole-number key.
 
     The share of edge cases is a share of entities; that many event rows are picked among the rows able to carry one.
     Columns are pure functions of the keys, so the picks are joined to the narrow structural rows and the wide
-    columns are generated after that join: wide rows are never shuffled.
+    columns are generated after that join: wide rows are never shuffled. Able rows and picks are kept in the shared folder.
     """
     spec = spec if spec.events else replace(spec, events=(DEFAULT_EVENT,))
     for case in spec.edge_cases:
         X.check_condition(case.condition, E.effective_spec(spec, case))
-    stable = J.entity_table(df.select(key), key, spec, settings)
+    total = df.count() if entities is None else entities
+    stable = J.entity_table(spread_keys(df, key, total), key, spec, settings)
     rows = structural_rows(stable, key, spec, settings)
-    target = E.edge_count(df.count() if entities is None else entities, spec.edge_fraction) if spec.edge_cases else 0
+    target = E.edge_count(total, spec.edge_fraction) if spec.edge_cases else 0
     if target == 0:
         made = with_event_columns(rows, stable.columns, spec, settings).drop("__record")
         return made.withColumns({"edge_case_name": F.lit(None).cast("string"), "is_edge_case": F.lit(False)})
     able = with_event_columns(rows, stable.columns, spec, settings)
-    picked = E.pick_eligible(able, "__record", spec, settings, target, "row_id")
+    picked = saved(E.pick_eligible(able, "__record", spec, settings, target, "row_id"))
     made = with_event_columns(rows.join(picked, "row_id", "left"), stable.columns, spec, settings)
     return E.apply_cases(made, spec, settings, "__record").drop("__record")
 

@@ -351,3 +351,29 @@ def test_stream_gives_the_same_rows_as_the_batch(spark, tmp_path):
     write_stream(repair_stream(stream, spec, SET), str(tmp_path / "out"), name, continuous=False).awaitTermination(120)
     want = validate(spark.read.parquet(source), spec, SET)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_few_partitions_of_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from tablesmith.plans import scenario as P
+
+    keys, spec = spark.range(0, 100, 1, 1).withColumnRenamed("id", "k"), recharge_sample()
+    want = sorted(map(repr, P.generate_journeys(keys, "k", spec, Settings(seed=1, as_of=datetime(2024, 6, 1))).collect()))
+    monkeypatch.setattr(P, "KEYS_PER_TASK", 10)
+    made = P.generate_journeys(keys, "k", spec, Settings(seed=1, as_of=datetime(2024, 6, 1)))
+    assert made.rdd.getNumPartitions() == 10
+    assert sorted(map(repr, made.collect())) == want
+
+
+def test_journey_repairs_make_their_rows_twice(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        made.add(1)
+        return f"T{i}"
+
+    rows = spark.range(200).select(F.col("id").alias("row"), F.concat(F.lit("J"), F.col("id") % 9).alias("journey_id"),
+                                   F.udf(counted)("id").alias("transaction_id"), F.lit("VIEW").alias("event_type"), F.lit(1).alias("event_sequence"),
+                                   F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("event_timestamp"))
+    fixed = J.repair_journeys(rows, "row", (EventSpec("VIEW", 1),), Settings(seed=1, as_of=datetime(2024, 6, 1)))
+    assert fixed.filter(F.size("issues") > 0).select("transaction_id").count() == 0
+    assert 200 <= made.value <= 400
