@@ -11,6 +11,7 @@ from tablesmith.session import saved
 from tablesmith.spec import EventSpec, Spec
 
 LATEST = 10
+TASK_ROWS = 50_000  # about how many whole records a task gets when documents are made
 # Attributes shown next to the entity key.
 IDENTITY = ["subscriber_msisdn", "phone_number", "account_id", "customer_id"]
 
@@ -61,11 +62,11 @@ def event_rank(events: tuple[EventSpec, ...], event: Column) -> Column:
     return F.when(at == 0, len(place) + 1).otherwise(at)
 
 
-def _blocks_in_place(df: DataFrame, entity: str, order: str, k: int, record: Column, known: Column) -> DataFrame:
-    """Event blocks from one partitioning by entity: rows are ranked there, and counts, newest records and identity are
-    taken from the ranked rows without moving them again. At most k records of an event are ever collected."""
+def _blocks_in_place(df: DataFrame, entity: str, order: str, k: int, record: Column, known: Column, tasks: int) -> DataFrame:
+    """Event blocks from one partitioning by entity into ``tasks`` parts: rows are ranked there, and counts, newest records
+    and identity are taken from the ranked rows without moving them again. At most k records of an event are ever collected."""
     newest = Window.partitionBy(entity, "__kind").orderBy(F.col(order).desc())
-    ranked = df.repartition(entity).withColumn("__rank", F.row_number().over(newest))
+    ranked = df.repartition(tasks, entity).withColumn("__rank", F.row_number().over(newest))
     return ranked.groupBy(entity, "__kind").agg(
         F.max("__rank").cast("bigint").alias("totalCount"), F.min(order).alias("__first"), F.max(order).alias("__last"),
         F.max_by(known, F.col(order)).alias("__id"), F.array_sort(F.collect_list(F.when(F.col("__rank") <= k, record))).alias("__records"))
@@ -85,8 +86,8 @@ def nest(df: DataFrame, entity: str, events: tuple[EventSpec, ...], order: str,
     """One document per entity: identity, then per event its total count and the latest k records, oldest first.
 
     Entities are counted first (a small job over one column). Those with up to ``hot_rows`` rows are partitioned by
-    entity once, and everything is taken from that one exchange; the others are cut on the map side, so documents stay
-    small however many rows an entity has. Unknown events follow in order of first appearance.
+    entity once, into one part for every TASK_ROWS rows, and everything is taken from that one exchange; the others are
+    cut on the map side, so documents stay small however many rows an entity has. Unknown events follow in order of first appearance.
     """
     records = df.columns
     names = [c for c in (IDENTITY if identity is None else identity) if c in df.columns and c != entity]
@@ -101,11 +102,13 @@ def nest(df: DataFrame, entity: str, events: tuple[EventSpec, ...], order: str,
                                           F.transform(F.array_sort(F.collect_list(block)), lambda b: b["event"]).alias("events"))
         return made.select(entity, *[F.col(f"__id.{n}").alias(n) for n in names], "events")
 
-    hot = saved(hot_keys(df.select(entity), [entity], hot_rows))
-    if hot.isEmpty():
-        return documents(_blocks_in_place(df, entity, order, k, record, known))
-    listed = F.broadcast(hot.select(entity))
-    cold = documents(_blocks_in_place(df.join(listed, entity, "left_anti"), entity, order, k, record, known))
+    counted = df.groupBy(entity).agg(F.count(F.lit(1)).alias("__rows"))
+    sizes = counted.agg(F.max("__rows").alias("most"), F.sum(F.when(F.col("__rows") <= hot_rows, F.col("__rows"))).alias("cold")).first()
+    tasks = max(2, -(-(sizes.cold or 0) // TASK_ROWS))
+    if (sizes.most or 0) <= hot_rows:
+        return documents(_blocks_in_place(df, entity, order, k, record, known, tasks))
+    listed = F.broadcast(saved(hot_keys(df.select(entity), [entity], hot_rows)).select(entity))
+    cold = documents(_blocks_in_place(df.join(listed, entity, "left_anti"), entity, order, k, record, known, tasks))
     return cold.unionByName(documents(_blocks_cut_first(df.join(listed, entity, "left_semi"), entity, order, k, record, known)))
 
 
