@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import profiles as P
 from tablesmith.operators.ordered import lookup_join
+from tablesmith.session import saved
 
 # Canonical name per concept (generic, and telecom where it differs) and known synonyms.
 CANONICAL = {
@@ -79,6 +80,8 @@ def _country_methods(profile: P.Profile):
 # Profiles given as tables
 
 GENERIC, ANYWHERE = "generic", "GLOBAL"
+BLOCK_WORDS = 1024  # words of 64 bits in a block of a sketch
+SKETCH_BLOCKS = 4096  # 32 MB
 
 
 def _folded(c: Column) -> Column:
@@ -93,24 +96,68 @@ def _pieces(df: DataFrame, name: str, shortest: int, longest: int) -> DataFrame:
     return sized.select(name, "__n", starts.alias("__at")).select(name, F.substring(F.col(name), F.col("__at"), F.col("__n")).alias("piece"))
 
 
+def _bits(value: Column) -> tuple[Column, Column]:
+    """Where a value stands in a sketch: its word, and three bits of that word."""
+    at = F.xxhash64(value)
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(at, shift), F.lit(64)).cast("int"))
+    return at, bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
+
+
+def _among(pieces: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The pieces that are among the values, and a few others: pieces nothing equals are dropped where they are made.
+
+    A bit sketch of the values (16 bits each, SKETCH_BLOCKS blocks of 8 KB at most) is sent to the pieces. Beyond that size
+    more of the others pass; equality is left to a join.
+    """
+    blocks = 1
+    while blocks < SKETCH_BLOCKS and blocks * BLOCK_WORDS * 4 < values.count():
+        blocks *= 2
+    at, mask = _bits(F.col(name))
+    marks = values.select(F.pmod(at, F.lit(blocks * BLOCK_WORDS)).alias("word"), mask.alias("mask"))
+    every = values.sparkSession.range(blocks * BLOCK_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("mask"))
+    words = marks.unionByName(every).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    one = F.struct(F.pmod("word", F.lit(BLOCK_WORDS)).alias("word"), "mask")
+    sketch = words.groupBy(F.call_function("div", F.col("word"), F.lit(BLOCK_WORDS)).alias("__block")).agg(
+        F.transform(F.array_sort(F.collect_list(one)), lambda w: w["mask"]).alias("__words"))
+    at, mask = _bits(F.col("piece"))
+    word = F.pmod(at, F.lit(blocks * BLOCK_WORDS))
+    placed = pieces.withColumns({"__block": F.call_function("div", word, F.lit(BLOCK_WORDS)), "__word": F.pmod(word, F.lit(BLOCK_WORDS)).cast("int"), "__mask": mask})
+    found = placed.join(F.broadcast(sketch), "__block")
+    return found.filter(F.get("__words", F.col("__word")).bitwiseAND(F.col("__mask")) == F.col("__mask")).select(*pieces.columns)
+
+
+def _spans(df: DataFrame, name: str):
+    """The least and the largest length, null for an empty table."""
+    return df.agg(F.min(F.length(name)).alias("least"), F.max(F.length(name)).alias("most")).first()
+
+
 def resolve_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     """The name each text means: itself; else the longest name inside it; else the shortest name it is inside of; ties
     go to the name first in order. Texts that mean no name are left out.
 
     ``texts`` (column ``text``) and ``names`` (column ``name``) are distinct, trimmed and in lower case. Containment is
     an equality join of stretches with names or texts, so the work grows with the lengths and not with texts times names.
+    Each step sees only the texts the steps before left, and only stretches that a sketch lets pass are moved.
     """
     spark = texts.sparkSession
-    sizes = names.filter("name <> ''").agg(F.min(F.length("name")).alias("least"), F.max(F.length("name")).alias("most")).first()
-    if sizes.most is None:
+    texts, names = texts.filter("text <> ''"), saved(names.filter("name <> ''"))
+    if (sizes := _spans(names, "name")).most is None:
         return spark.createDataFrame([], "text string, name string")
-    texts, names = texts.filter("text <> ''"), names.filter("name <> ''")
-    inside = lookup_join(_pieces(texts, "text", sizes.least, sizes.most), names.select(F.col("name").alias("piece"), "name"), ["piece"], "text", "inner")
-    around = lookup_join(_pieces(names, "name", 1, sizes.most), texts.select(F.col("text").alias("piece"), "text"), ["piece"], "name", "inner")
-    size = F.length("name")
-    found = inside.select("text", F.struct(F.when(F.col("text") == F.col("name"), 0).otherwise(1).alias("rank"), (-size).alias("by"), "name").alias("m")).unionByName(
-        around.select("text", F.struct(F.when(F.col("text") == F.col("name"), 0).otherwise(2).alias("rank"), F.when(F.col("text") == F.col("name"), -size).otherwise(size).alias("by"), "name").alias("m")))
-    return found.groupBy("text").agg(F.min("m").alias("m")).select("text", F.col("m.name").alias("name"))
+    texts = saved(texts.join(names.select("name", F.col("name").alias("text")), "text", "left"))
+    same, texts = texts.filter("name IS NOT NULL"), texts.filter("name IS NULL").select("text")
+
+    pieces = saved(_among(_pieces(texts, "text", sizes.least, sizes.most), names, "name"))
+    inside = lookup_join(pieces, names.select(F.col("name").alias("piece"), "name"), ["piece"], "text", "inner")
+    inside = saved(inside.groupBy("text").agg(F.min(F.struct((-F.length("name")).alias("by"), "name")).alias("m")).select("text", "m.name"))
+    found = same.select("text", "name").unionByName(inside)
+
+    left = saved(texts.join(inside, "text", "left_anti"))
+    if (spans := _spans(left, "text")).most is None:
+        return found
+    pieces = saved(_among(_pieces(names, "name", spans.least, min(spans.most, sizes.most)), left, "text"))
+    around = lookup_join(pieces, left.select(F.col("text").alias("piece"), "text"), ["piece"], "name", "inner")
+    around = around.groupBy("text").agg(F.min(F.struct(F.length("name").alias("by"), "name")).alias("m")).select("text", "m.name")
+    return found.unionByName(around)
 
 
 def with_profile_table(df: DataFrame, profiles: DataFrame, country: str, industry: str, spread: str) -> DataFrame:
@@ -131,15 +178,16 @@ def with_profile_table(df: DataFrame, profiles: DataFrame, country: str, industr
         raise ValueError(f"several profiles of {twice[0][0]!r} in {twice[0][1]!r}")
 
     placed = df.withColumns({"__text": name(F.col(industry)), "__code": code(F.col(country))})
-    pairs = placed.select("__text", "__code").distinct()
+    pairs = saved(placed.groupBy("__text", "__code").agg(F.count(F.lit(1)).alias("__rows")))
     names = known.select(F.col("__industry").alias("name")).filter(F.col("name") != GENERIC).distinct()
     meant = resolve_names(pairs.select(F.col("__text").alias("text")).filter(F.col("text") != GENERIC).distinct(), names)
-    keyed = pairs.join(meant.withColumnRenamed("text", "__text"), "__text", "left").withColumn("industry_key", F.coalesce("name", F.lit(GENERIC))).drop("name")
-    steps = [(F.col("industry_key"), F.col("__code")), (F.col("industry_key"), F.lit(ANYWHERE)), (F.lit(GENERIC), F.col("__code")), (F.lit(GENERIC), F.lit(ANYWHERE))]
-    tries = keyed.withColumn("__try", F.explode(F.array(*[F.struct(F.lit(i).alias("step"), a.alias("i"), b.alias("c")) for i, (a, b) in enumerate(steps)])))
-    tries = tries.select("__text", "__code", "industry_key", "__try.step", F.col("__try.i").alias("__industry"), F.col("__try.c").alias("__country"))
-    hits = lookup_join(tries, known, ["__industry", "__country"], "__text")
-    step = F.when(F.col("__facts").isNotNull(), F.col("step")).otherwise(len(steps))
-    chosen = hits.groupBy("__text", "__code").agg(F.min_by(F.struct("industry_key", "__facts"), step).alias("__chosen"))
-    out = lookup_join(placed, chosen, ["__text", "__code"], spread)
+    keyed = lookup_join(pairs.select("__text", "__code"), meant.withColumnRenamed("text", "__text"), ["__text"], "__code")
+    keyed = saved(keyed.withColumn("industry_key", F.coalesce("name", F.lit(GENERIC))).drop("name"))
+    first = lookup_join(keyed, known.toDF("industry_key", "__code", "__0"), ["industry_key", "__code"], "__text")
+    own = lookup_join(first, known.filter(F.col("__country") == ANYWHERE).select(F.col("__industry").alias("industry_key"), F.col("__facts").alias("__1")), ["industry_key"], "__text")
+    generic = known.filter(F.col("__industry") == GENERIC)
+    third = lookup_join(own, generic.select(F.col("__country").alias("__code"), F.col("__facts").alias("__2")), ["__code"], "__text")
+    tried = third.join(F.broadcast(generic.filter(F.col("__country") == ANYWHERE).select(F.col("__facts").alias("__3"))), F.lit(True), "left")
+    chosen = tried.select("__text", "__code", F.struct("industry_key", F.coalesce("__0", "__1", "__2", "__3").alias("__facts")).alias("__chosen"))
+    out = lookup_join(placed, chosen, ["__text", "__code"], spread, counts=pairs)
     return out.select(*df.columns, "__chosen.industry_key", *[F.col(f"__chosen.__facts.{a}").alias(a) for a in attributes])

@@ -64,3 +64,14 @@ def test_profiles_fall_back_in_order(spark):
         N.with_profile_table(df, profiles.union(profiles), "country", "industry", "id")
     with pytest.raises(ValueError, match="in the table already"):
         N.with_profile_table(df.withColumn("rate", F.lit(1)), profiles, "country", "industry", "id")
+
+
+def test_stretches_that_no_name_equals_are_dropped_before_they_are_moved(spark):
+    names = spark.range(300).select(F.concat(F.lit("name "), "id").alias("name"))
+    texts = spark.range(3000).select(F.concat(F.lit("name "), "id").alias("text"))
+    pieces = N._pieces(texts, "text", 6, 8)
+    passed = N._among(pieces, names, "name")
+    assert passed.columns == pieces.columns
+    want = pieces.join(names, pieces["piece"] == names["name"], "left_semi").count()
+    assert passed.join(names, passed["piece"] == names["name"], "left_semi").count() == want
+    assert want <= passed.count() < want + 0.05 * pieces.count()
