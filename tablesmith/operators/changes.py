@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.operators.ordered import HOT_ROWS, lookup_join
+from tablesmith.session import saved
 
 # Text that stands for "no value".
 PLACEHOLDERS = ["", "string"]
@@ -179,7 +180,8 @@ def apply_grouped_changes(base: DataFrame, group: str, name: str, order: str, de
 
     Placeholder names and values count as not given. With ``seq`` the last edit of a field and the last add of a
     (group, name) win; without it repeats fail the job. A name on a large part of the table is spread over several tasks;
-    ``order`` is any column that varies within a name.
+    ``order`` is any column that varies within a name. Merged adds are kept in the shared folder, and only rows of names
+    with adds are matched with them; the other rows are neither moved nor sorted for that.
     """
     fields = [f for f in base.schema.fields if f.name not in (group, name)]
 
@@ -200,19 +202,25 @@ def apply_grouped_changes(base: DataFrame, group: str, name: str, order: str, de
             patch = patch.filter(_once(F.col("__rows"), "edits", F.col(name)))
         patch = patch.drop("__rows")
         changes = patch.withColumn("__deleted", F.lit(False)) if changes is None else changes.join(patch, name, "full_outer")
+    if adds is not None:
+        added = part(adds, group, name).groupBy(group, name).agg(F.max_by("__new", "__at").alias("__new"), F.count(F.lit(1)).alias("__rows"))
+        if seq is None:
+            added = added.filter(_once(F.col("__rows"), "adds", F.col(name)))
+        added = saved(added.select(*[F.col(c) if c in (group, name) else F.col(f"__new.{c}").alias(c) for c in base.columns]))
+        named = added.select(name).distinct().withColumn("__adds", F.lit(True))
+        changes = named.withColumn("__deleted", F.lit(False)) if changes is None else changes.join(named, name, "full_outer")
     out = base
     if changes is not None:
         if "__edit" not in changes.columns:
             changes = changes.withColumn("__edit", F.lit(None).cast(T.StructType(fields)))
         joined = lookup_join(base, changes, [name], order, "left", hot_rows).filter(~F.coalesce("__deleted", F.lit(False)))
         patched = lambda f: F.coalesce(F.col(f"__edit.{f.name}"), F.col(f.name))
-        out = joined.select(*[F.col(c) if c in (group, name) else patched(base.schema[c]).alias(c) for c in base.columns])
-    if adds is not None:
-        added = part(adds, group, name).groupBy(group, name).agg(F.max_by("__new", "__at").alias("__new"), F.count(F.lit(1)).alias("__rows"))
-        if seq is None:
-            added = added.filter(_once(F.col("__rows"), "adds", F.col(name)))
-        added = added.select(*[F.col(c) if c in (group, name) else F.col(f"__new.{c}").alias(c) for c in base.columns])
-        out = out.join(added.select(group, name), [group, name], "left_anti").select(*base.columns).unionByName(added)
+        patch = [F.col(c) if c in (group, name) else patched(base.schema[c]).alias(c) for c in base.columns]
+        if adds is None:
+            return joined.select(*patch)
+        met = F.coalesce("__adds", F.lit(False))
+        kept = joined.filter(met).select(*patch).join(added.select(group, name), [group, name], "left_anti").select(*base.columns)
+        out = joined.filter(~met).select(*patch).unionByName(kept).unionByName(added)
     return out
 
 

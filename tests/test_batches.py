@@ -131,3 +131,22 @@ def test_nest_moves_the_wide_table_once(spark):
     df = histories(spark)
     plan = W.nest(df, "entity", EVENTS, "id", 3)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan.split("Initial Plan")[-1])) == 1, plan
+
+
+def test_documents_are_made_in_parts_of_a_number_of_rows(spark, monkeypatch):
+    df = histories(spark)
+    want = rows(W.nest(df, "entity", EVENTS, "id", 3))
+    monkeypatch.setattr(W, "TASK_ROWS", 10)
+    made = W.nest(df, "entity", EVENTS, "id", 3)
+    assert re.search(r"hashpartitioning\(entity#\d+, 60\)", made._jdf.queryExecution().executedPlan().toString())
+    assert rows(made) == want
+
+
+def test_only_names_with_adds_are_matched_with_the_adds(spark):
+    base = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), (None, "x", 4), ("a", None, 5), ("c", "z", 6)], "g string, name string, at int")
+    adds = spark.createDataFrame([("a", "x", 9), ("n", "x", 8), ("n", "w", 7)], "g string, name string, at int")
+    changed = C.apply_grouped_changes(base, "g", "name", "at", adds=adds)
+    assert rows(changed) == sorted(map(repr, [*base.filter("NOT (g <=> 'a' AND name <=> 'x')").collect(), *adds.collect()]))
+    matched = re.search(r"Join LeftAnti.*?(?=\n *(?::- |\+- )Project.*__adds|\Z)", C.apply_grouped_changes(
+        base, "g", "name", "at", adds=adds)._jdf.queryExecution().analyzed().toString(), re.S)
+    assert matched and "__adds" in matched.string[matched.start():]
