@@ -6,15 +6,21 @@ per key in RocksDB; a restart goes on from the checkpoint. The wide row passes t
 themselves are the batch job's expressions.
 
 Where rows arrive in order (every micro-batch holds later arrivals than the ones before) the result is the batch job's.
-Rows of one micro-batch may come in any order; those of one key are sorted in one task, so the trigger's size bounds
-that task. A row that arrives late is held against the rows that came before it. With ``expire_after`` a key unseen for
+Rows of one micro-batch may come in any order. A task passes them on in frames, however many one key has: of a transaction
+id it holds back the earliest row only, and a journey of more than RUN_ROWS rows is sorted in runs on the task's own disk.
+A row that arrives late is held against the rows that came before it. With ``expire_after`` a key unseen for
 that long is forgotten: its ids count as new again and its journey starts anew. Off local mode the executors' Python
 needs this package (``--py-files``).
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import batched
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +36,8 @@ from tablesmith.spec import EventSpec
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NO_ID = "\x00"  # starts the key of rows that have no id and so no history; they are spread over NO_ID_KEYS keys
 NO_ID_KEYS = 256
+RUN_ROWS = 20_000  # rows of a journey that are sorted in memory
+FRAME_ROWS = 500  # rows of each run in memory while runs are merged
 
 
 # Columns between the steps. Python sees them as fields of named tuples, so their names don't begin with "_"; the
@@ -37,8 +45,45 @@ NO_ID_KEYS = 256
 PASSED = ["arrival", "record"]
 
 
+def _run(held: list[pd.DataFrame]) -> BinaryIO:
+    """Rows sorted by arrival in a temporary file, a frame at a time."""
+    rows, file = pd.concat(held, ignore_index=True).sort_values("arrival", ignore_index=True), tempfile.TemporaryFile()
+    for at in range(0, len(rows), FRAME_ROWS):
+        pickle.dump(rows.iloc[at:at + FRAME_ROWS], file)
+    file.seek(0)
+    return file
+
+
+def _rows(run: BinaryIO) -> Iterator[tuple]:
+    with run:
+        while True:
+            try:
+                yield from pickle.load(run).itertuples(index=False)
+            except EOFError:
+                return
+
+
+def in_order(rows: Iterator[pd.DataFrame], run_rows: int = RUN_ROWS) -> Iterator[pd.DataFrame]:
+    """The same rows by arrival, in frames; at most about ``run_rows`` of them and a frame of each run are in memory."""
+    held, runs, columns = [], [], None
+    for some in rows:
+        columns = list(some.columns)
+        held.append(some)
+        if sum(map(len, held)) >= run_rows:
+            runs.append(_run(held))
+            held = []
+    if not runs:
+        yield pd.concat(held, ignore_index=True).sort_values("arrival", ignore_index=True)
+        return
+    if held:
+        runs.append(_run(held))
+    at = columns.index("arrival")
+    for some in batched(heapq.merge(*map(_rows, runs), key=lambda row: row[at]), run_rows):
+        yield pd.DataFrame(some, columns=columns)
+
+
 class _Keyed(StatefulProcessor):
-    """One value of state per key; rows of a micro-batch are handled in arrival order."""
+    """One value of state per key; the rows of a key pass in frames."""
 
     STATE = ""
 
@@ -54,14 +99,13 @@ class _Keyed(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if key[0].startswith(NO_ID):
             yield from map(self.without_history, rows)
-            return
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values("arrival", ignore_index=True)
-        yield self.follow(arrived, self.state.get() if self.state.exists() else None)
+        else:
+            yield from self.follow(rows, self.state.get() if self.state.exists() else None)
 
     def without_history(self, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
-    def follow(self, rows: pd.DataFrame, before: tuple | None) -> pd.DataFrame:
+    def follow(self, rows: Iterator[pd.DataFrame], before: tuple | None) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
 
@@ -76,7 +120,17 @@ class TakenIds(_Keyed):
 
     def follow(self, rows, before):
         self.state.update((True,))
-        return rows[PASSED].assign(repeated=[before is not None] + [True] * (len(rows) - 1))
+        first = None  # the earliest row so far
+        for some in rows:
+            marked = some[PASSED].assign(repeated=True)
+            if before is None:
+                marked = pd.concat([*([] if first is None else [first]), marked], ignore_index=True)
+                at = marked["arrival"].idxmin()
+                first, marked = marked.loc[[at]], marked.drop(index=at)
+            if len(marked):
+                yield marked
+        if first is not None:
+            yield first.assign(repeated=False)
 
 
 class JourneySoFar(_Keyed):
@@ -90,14 +144,16 @@ class JourneySoFar(_Keyed):
 
     def follow(self, rows, before):
         sequence, moment, entity = before or (None, None, None)
-        high, late, owners = rows["sequence"].cummax(), rows["moment"].cummax(), []
-        if before is not None:
-            high, late = high.clip(lower=sequence), late.clip(lower=moment)
-        for own in rows["entity"]:
-            entity = own if entity is None and not pd.isna(own) else entity
-            owners.append(entity)
-        self.state.update((int(high.iloc[-1]), int(late.iloc[-1]), entity))
-        return rows[[*PASSED, "repeated"]].assign(sequence=high, moment=late, entity=pd.Series(owners, dtype=object))
+        for some in in_order(rows):
+            high, late, owners = some["sequence"].cummax(), some["moment"].cummax(), []
+            if sequence is not None:
+                high, late = high.clip(lower=sequence), late.clip(lower=moment)
+            for own in some["entity"]:
+                entity = own if entity is None and not pd.isna(own) else entity
+                owners.append(entity)
+            sequence, moment = int(high.iloc[-1]), int(late.iloc[-1])
+            yield some[[*PASSED, "repeated"]].assign(sequence=high, moment=late, entity=pd.Series(owners, dtype=object))
+        self.state.update((sequence, moment, entity))
 
 
 def _with_key(df: DataFrame, column: str) -> DataFrame:

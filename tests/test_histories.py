@@ -3,12 +3,14 @@
 import uuid
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.operators.synthesize import Settings
 from tablesmith.plans.scenario import Validation, validate
 from tablesmith.spec import ColumnSpec, EventSpec, Spec
+from tablesmith.streaming import histories as H
 from tablesmith.streaming.records import repair_stream, write_stream
 
 SPEC = Spec((ColumnSpec("row", "int"), ColumnSpec("owner", "string", nullable=True), ColumnSpec("tags", "string", nullable=True)),
@@ -55,3 +57,64 @@ def test_numeric_owner_without_transaction_ids(spark, tmp_path):
     stream = repair_stream(spark.readStream.schema(rows.schema).parquet(source), spec, SET, OPTIONS)
     assert write_stream(stream, out, f"histories-{uuid.uuid4().hex}", continuous=False).awaitTermination(120)
     assert texts(spark.read.parquet(out), want.columns) == texts(want, want.columns)
+
+
+class Kept:
+    """State of one key."""
+
+    def __init__(self, value=None):
+        self.value = value
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def frames(arrivals, size=50):
+    """Frames of a key's rows, and how many of them were read so far."""
+    read = [0]
+
+    def made():
+        for at in range(0, len(arrivals), size):
+            read[0] += 1
+            some = arrivals[at:at + size]
+            yield pd.DataFrame({"key": "k", "arrival": some, "record": [{"i": i} for i in some], "repeated": False, "sequence": [i * 7 % 31 for i in some],
+                                "moment": [i * 13 % 97 for i in some], "entity": [None if i % 3 else f"e{i}" for i in some]})
+    return made(), read
+
+
+@pytest.mark.parametrize("before", [None, (True,)])
+def test_rows_of_a_taken_id_pass_while_they_are_read(before):
+    arrivals = [i * 37 % 1000 + 5 for i in range(1000)]
+    rows, read = frames(arrivals)
+    step = H.TakenIds(None)
+    step.state = Kept(before)
+    passing = step.handleInputRows(("T",), rows, None)
+    out = [next(passing)]
+    assert read[0] == 1
+    out = pd.concat([*out, *passing])
+    assert sorted(out["arrival"]) == sorted(arrivals) and all(r["i"] == i for r, i in zip(out["record"], out["arrival"]))
+    assert list(out[~out["repeated"].astype(bool)]["arrival"]) == ([] if before else [5])
+    assert step.state.value == (True,)
+
+
+@pytest.mark.parametrize("before", [None, (20, 50, None), (40, 200, "e0")])
+def test_a_journey_of_many_rows_is_followed_in_frames(monkeypatch, before):
+    monkeypatch.setattr(H, "FRAME_ROWS", 7)
+    arrivals = [i * 37 % 1000 for i in range(1000)]
+    sizes, whole = [], {}
+    for run_rows in (90, 5000):
+        monkeypatch.setattr(H.in_order, "__defaults__", (run_rows,))
+        step = H.JourneySoFar(None)
+        step.state = Kept(before)
+        parts = list(step.handleInputRows(("J",), frames(arrivals)[0], None))
+        out = pd.concat(parts, ignore_index=True)
+        sizes.append(max(map(len, parts)))
+        whole[run_rows] = (out.to_dict("list"), step.state.value)
+        assert list(out["arrival"]) == sorted(arrivals)
+    assert sizes == [90, 1000] and whole[90] == whole[5000]
