@@ -231,40 +231,51 @@ def links(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     """(node, component) after all candidates whose groups are apart have been compared.
 
     ``members`` are (bucket, band, node); ``nodes`` have node, n, sketch, bag, and marks (their bands in short), one row each.
+    Members stay narrow: sketches are fetched for distinct pairs, or for the members of buckets whose groups are still
+    apart after the hubs. What a step links are groups, so each step's components are found over its own links alone.
     """
     traits = nodes.select("node", "n", "sketch")
-    marks = nodes.select("node", "marks")
-    bags = nodes.select("node", "bag")
+
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*(F.col(c).alias(c if c in ("bucket", "band") else name if c == "node" else f"{name}_{c}") for c in rows.columns))
+
+    def both_sides(pairs: DataFrame, more: DataFrame) -> DataFrame:
+        return pairs.join(named(more, "a"), "a").join(named(more, "b"), "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_bags = (pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("a_bag")), "a")
-                     .join(bags.select(F.col("node").alias("b"), F.col("bag").alias("b_bag")), "b").select("a", "b", "a_bag", "b_bag"))
+        with_bags = both_sides(pairs, nodes.select("node", "bag")).select("a_component", "b_component", "a_bag", "b_bag")
         return with_bags.mapInArrow(_verified(bands.threshold), "a long, b long")
 
-    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        return rows.select("bucket", F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("component", "n", "sketch", *more)))
+    def still_apart(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+        placed = saved(rows.drop("component").join(grouped, "node").select("bucket", "band", "node", "component"))
+        apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
+        return saved(placed.join(apart, "bucket"))
 
-    grouped, edges = traits.select("node", F.col("node").alias("component")), None
+    grouped = nodes.select("node", F.col("node").alias("component"))
+    rows, ids = members.withColumn("component", F.col("node")), ("a", "b", "a_component", "b_component")
     for step, hubs in enumerate((*bands.hubs, None)):
-        rows = members.join(traits, "node").join(grouped, "node")
-        apart = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-        rows = rows.join(apart, "bucket")
         if hubs is None:
             # A pair that shares several bands is taken in the first of them.
-            marked = rows.join(marks, "node")
+            marked = rows.join(traits.join(nodes.select("node", "marks"), "node"), "node")
             shared = F.array_position(F.zip_with("a_marks", "b_marks", lambda x, y: x == y), F.lit(True))
-            pairs = (side(marked, "a", "marks", "band").join(side(marked, "b", "marks"), "bucket")
-                     .filter((F.col("a_component") < F.col("b_component")) & _alike(bands, "a", "b") & (shared == F.col("a_band") + 1)))
+            pairs = (named(marked, "a").join(named(marked, "b"), ["bucket", "band"])
+                     .filter((F.col("a_component") < F.col("b_component")) & _alike(bands, "a", "b") & (shared == F.col("band") + 1)).select(*ids))
         else:
             # The least member by a hash that is the same in all buckets: groups mostly meet the same hub everywhere.
             rank = F.xxhash64("node", F.lit(step))
             hub = (rows.groupBy("bucket", F.pmod(rank, F.lit(hubs)).alias("slot"))
-                   .agg(F.min(F.struct(rank.alias("rank"), "node", "component", "n", "sketch")).alias("hub")).select("bucket", "hub.*"))
-            pairs = side(rows, "a").join(side(hub, "b"), "bucket").filter(F.col("a_component") != F.col("b_component"))
-        found = saved(verified(pairs.filter(_alike(bands, "a", "b")).select("a", "b").distinct()))
-        edges = found if edges is None else edges.union(found)
-        joined = components(edges)
-        grouped = saved(traits.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+                   .agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("hub")).select("bucket", "hub.node", "hub.component"))
+            met = named(rows.drop("band"), "a").join(named(hub, "b"), "bucket").filter("a_component != b_component")
+            pairs = both_sides(met.select(*ids).distinct(), traits).filter(_alike(bands, "a", "b")).select(*ids)
+        joined = components(verified(pairs))
+        if joined is None:
+            continue
+        merged = joined.select(F.col("node").alias("component"), F.col("component").alias("merged"))
+        # Groups are single nodes at first; later, one of many nodes is spread over copies of its one matching row.
+        regrouped = lookup_join(grouped, merged, ["component"], "node") if step else grouped.join(merged, "component", "left")
+        grouped = saved(regrouped.select("node", F.coalesce("merged", "component").alias("component")))
+        if hubs is not None:
+            rows = still_apart(rows, grouped)
     return grouped
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.llm import decontaminate as D
-from tablesmith.llm import mixing, neardup, quality, secrets
+from tablesmith.llm import graph, mixing, neardup, quality, secrets
 from tablesmith.llm.common import mix64, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -332,3 +332,45 @@ def test_classes(make_docs, odd_rows):
     left = neardup.near_dedup(docs)
     assert left.columns == docs.columns and left.count() == len(groups)
     assert neardup.classify(docs.limit(0)).count() == 0
+
+
+def near_copies(rng, bases, copies):
+    for base in range(bases):
+        words = prose(rng, 500, 3000).split()
+        for copy in range(copies):
+            changed = list(words)
+            for _ in range(copy % 5):
+                changed[rng.randrange(len(changed))] = f"new{rng.randrange(10**6)}"
+            yield 100 * base + copy, " ".join(changed), "s"
+
+
+def test_members_of_buckets_are_joined_once_a_step(spark, make_docs, monkeypatch):
+    """A step reads the members of all buckets a few times, not a dozen, and the driver plans a job for each step, not for each look."""
+    plans, kept = [], neardup.saved
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(neardup, "saved", watched)
+    monkeypatch.setattr(graph, "saved", watched)
+    rows = list(near_copies(random.Random(5), 4, 10))
+    spark.sparkContext.setJobGroup("near", "near duplicates")
+    try:
+        got = neardup.classify(make_docs(rows)).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert Counter(r.class_id for r in got) == {100 * base: 10 for base in range(4)}
+    reads = sum(len(re.findall(r"Relation \[bucket#\d+L,band#\d+,node#\d+L\]", p)) for p in plans)
+    assert 0 < reads <= 4 and len(plans) <= 18 and jobs <= 80
+
+
+@pytest.mark.parametrize("edges, want", [
+    ([], None),
+    ([(2, 1)], {1: 1, 2: 1}),
+    ([(k + 1, k) for k in range(20)] + [(40, 50), (50, 60), (40, 60), (40, 50)], {**dict.fromkeys(range(21), 0), 40: 40, 50: 40, 60: 40}),
+])
+def test_components(spark, edges, want):
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert want is None and got is None or {r.node: r.component for r in got.collect()} == want
