@@ -263,10 +263,16 @@ def links(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
         else:
             # The least member by a hash that is the same in all buckets: groups mostly meet the same hub everywhere.
             rank = F.xxhash64("node", F.lit(step))
-            hub = (rows.groupBy("bucket", F.pmod(rank, F.lit(hubs)).alias("slot"))
-                   .agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("hub")).select("bucket", "hub.node", "hub.component"))
-            met = named(rows.drop("band"), "a").join(named(hub, "b"), "bucket").filter("a_component != b_component")
-            pairs = both_sides(met.select(*ids).distinct(), traits).filter(_alike(bands, "a", "b")).select(*ids)
+            # One hub a bucket meets all members, so pairs stay narrow; several are met by members with sketches, so few pairs are kept.
+            near = rows.join(traits, "node") if step else rows
+            own = [c for c in near.columns if c not in ("bucket", "band")]
+            hub = (near.groupBy("bucket", F.pmod(rank, F.lit(hubs)).alias("slot"))
+                   .agg(F.min(F.struct(rank.alias("rank"), *own)).alias("hub")).select("bucket", *(f"hub.{c}" for c in own)))
+            met = named(near.drop("band"), "a").join(named(hub, "b"), "bucket").filter("a_component != b_component")
+            if step:
+                pairs = met.filter(_alike(bands, "a", "b")).select(*ids).distinct()
+            else:
+                pairs = both_sides(met.select(*ids).distinct(), traits).filter(_alike(bands, "a", "b")).select(*ids)
         joined = components(verified(pairs))
         if joined is None:
             continue
