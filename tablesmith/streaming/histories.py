@@ -5,9 +5,11 @@ are taken, one keyed by journey remembers the last sequence, the latest time and
 per key in RocksDB; a restart goes on from the checkpoint. The wide row passes through untouched, and the repairs
 themselves are the batch job's expressions.
 
+Both steps take the keys of a bucket together (``buckets``). ``TakenIds`` and ``JourneySoFar`` are the same steps for one key
+at a time, on pandas frames: what the buckets are held against in the tests.
+
 Where rows arrive in order (every micro-batch holds later arrivals than the ones before) the result is the batch job's.
-Rows of one micro-batch may come in any order. A task passes them on in frames, however many one key has: of a transaction
-id it holds back the earliest row only, and a journey of more than RUN_ROWS rows is sorted in runs on the task's own disk.
+Rows of one micro-batch may come in any order.
 A row that arrives late is held against the rows that came before it. With ``expire_after`` a key unseen for
 that long is forgotten: its ids count as new again and its journey starts anew. Off local mode the executors' Python
 needs this package (``--py-files``).
@@ -25,17 +27,16 @@ from typing import BinaryIO
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablesmith.operators import journeys as J
 from tablesmith.operators.ordered import check_order
 from tablesmith.operators.synthesize import Settings
 from tablesmith.spec import EventSpec
+from tablesmith.streaming.buckets import followed, key_hash
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-NO_ID = "\x00"  # starts the key of rows that have no id and so no history; they are spread over NO_ID_KEYS keys
-NO_ID_KEYS = 256
+NO_ID = "\x00"  # starts the key of rows that have no id and so no history
 RUN_ROWS = 20_000  # rows of a journey that are sorted in memory
 FRAME_ROWS = 500  # rows of each run in memory while runs are merged
 
@@ -156,18 +157,6 @@ class JourneySoFar(_Keyed):
         self.state.update((sequence, moment, entity))
 
 
-def _with_key(df: DataFrame, column: str) -> DataFrame:
-    own = F.col(f"record.{column}")
-    nowhere = F.concat(F.lit(NO_ID), F.pmod(F.xxhash64("arrival"), F.lit(NO_ID_KEYS)).cast("string"))
-    return df.withColumn("key", F.when(own.isNull() | (own == ""), nowhere).otherwise(own))
-
-
-def _stateful(df: DataFrame, processor: _Keyed) -> DataFrame:
-    result = T.StructType([*[df.schema[n] for n in PASSED], *T.StructType.fromDDL(processor.RESULT).fields])
-    mode = "None" if processor.expire_after is None else "ProcessingTime"
-    return df.groupBy("key").transformWithStateInPandas(processor, result, "Append", mode)
-
-
 def repair_journeys(stream: DataFrame, order: str, events: tuple[EventSpec, ...], settings: Settings, entity_key: str | None = None,
                     expire_after: int | None = None) -> DataFrame:
     """``journeys.repair_journeys`` on a stream. ``expire_after`` is in milliseconds of processing time.
@@ -176,18 +165,17 @@ def repair_journeys(stream: DataFrame, order: str, events: tuple[EventSpec, ...]
     """
     check_order(stream, order)
     stream = J.with_issues(stream)
-    packed = stream.select(F.col(order).cast("bigint").alias("arrival"), F.struct(*stream.columns).alias("record"))
     has_ids = "transaction_id" in stream.columns
-    marked = _stateful(_with_key(packed, "transaction_id"), TakenIds(expire_after)) if has_ids else packed.withColumn("repeated", F.lit(False))
 
     def unpacked(df: DataFrame) -> DataFrame:
         return df.select("record.*", *[F.col(c).alias(f"__{c}") for c in df.columns])
 
     entity = F.col(entity_key).cast("string") if entity_key else F.lit(None).cast("string")
-    own = unpacked(marked).select(
-        F.col("__arrival").alias("arrival"), F.col("__record").alias("record"), F.col("__repeated").alias("repeated"),
+    own = stream.select(
+        F.col(order).cast("bigint").alias("arrival"), F.struct(*stream.columns).alias("record"),
+        *[key_hash(F.col(f"{kind}_id")).alias(f"{kind}_hash") for kind in ("transaction", "journey") if has_ids or kind == "journey"],
         J._sequences(events)[2].alias("sequence"), F.unix_micros(J._time_or(settings).cast("timestamp")).alias("moment"), entity.alias("entity"))
-    scanned = unpacked(_stateful(_with_key(own, "journey_id"), JourneySoFar(expire_after)))
+    scanned = unpacked(followed(own, has_ids, expire_after))
     ruled = scanned.withColumns({"__seq": F.col("__sequence"), "__ts": F.timestamp_micros("__moment").cast("timestamp_ntz")})
     if entity_key:
         ruled = ruled.withColumn("__entity", F.col("__entity").cast(stream.schema[entity_key].dataType))
