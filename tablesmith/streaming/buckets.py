@@ -153,15 +153,15 @@ def by_transaction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def by_journey(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
-    tables = (_table(r) for b in batches for r in b.column("rows").to_pylist()) if packed else (pa.Table.from_batches([b]) for b in batches)
+    tables = (_table(r.as_py()) for b in batches for r in b.column("rows")) if packed else (pa.Table.from_batches([b]) for b in batches)
     for table in _held(tables, PACK_ROWS, PACK_BYTES):
         yield from _stretches(table, _bucket(table, "journey_hash", _present(table, "journey_hash")))
 
 
 def unpack(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in batch.column("rows").to_pylist():
-            yield from _table(rows).select(columns).to_batches(max_chunksize=OUT_ROWS)
+        for rows in batch.column("rows"):
+            yield from _table(rows.as_py()).select(columns).to_batches(max_chunksize=OUT_ROWS)
 
 
 class _Run:
@@ -218,7 +218,8 @@ class Pages:
         self.schema = pa.schema([("key", pa.string()), ("hash", pa.int64()), *values, ("seen", pa.int64())])
         self.expire_after = expire_after
         self.depth = handle.getValueState("depth", "depth int", expire_after)
-        self.pages = handle.getMapState("pages", "page int", "rows binary", expire_after)
+        # Streams begun with state per id kept a value of this name under other keys, so Spark refuses their checkpoints.
+        self.pages = handle.getMapState("so_far", "page int", "rows binary", expire_after)
 
     def _page(self, hashes: np.ndarray, depth: int) -> np.ndarray:
         return (hashes.view(np.uint64) // np.uint64(BUCKETS) & np.uint64((1 << depth) - 1)).astype(np.int64)
