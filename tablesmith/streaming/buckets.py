@@ -9,7 +9,8 @@ pages of a bucket are split as they grow, so a batch reads and writes the pages
 
 A task holds PACK_ROWS rows or PACK_BYTES while it packs, and WINDOW_ROWS rows or WINDOW_BYTES of a bucket; a bucket with
 more is sorted in runs on the task's own disk and followed window by window. Of a transaction id, a task sends the earliest
-row of each pack only, so an id on much of the table doesn't gather in one task; rows of a hot journey do.
+row of each pack only, so an id on much of the table doesn't gather in one task; rows of a hot journey do. Which row that is
+follows from the order of a task's rows: a task that runs again must get them in the same order, as it does from files.
 """
 
 from __future__ import annotations

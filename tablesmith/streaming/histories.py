@@ -9,10 +9,9 @@ Both steps take the keys of a bucket together (``buckets``). ``TakenIds`` and ``
 at a time, on pandas frames: what the buckets are held against in the tests.
 
 Where rows arrive in order (every micro-batch holds later arrivals than the ones before) the result is the batch job's.
-Rows of one micro-batch may come in any order.
-A row that arrives late is held against the rows that came before it. With ``expire_after`` a key unseen for
-that long is forgotten: its ids count as new again and its journey starts anew. Off local mode the executors' Python
-needs this package (``--py-files``).
+Rows of one micro-batch may come in any order. A row that arrives late is held against the rows that came before it.
+With ``expire_after`` a key unseen for that long is forgotten: its ids count as new again and its journey starts anew. Off
+local mode the executors' Python needs this package (``--py-files``).
 """
 
 from __future__ import annotations
@@ -114,7 +113,6 @@ class TakenIds(_Keyed):
     """Marks every row but the first of a transaction id."""
 
     STATE = "taken boolean"
-    RESULT = "repeated boolean"
 
     def without_history(self, rows):
         return rows[PASSED].assign(repeated=False)
@@ -138,7 +136,6 @@ class JourneySoFar(_Keyed):
     """Adds the highest sequence, the latest time and the first entity key of the journey, this row included."""
 
     STATE = "sequence int, moment bigint, entity string"
-    RESULT = "repeated boolean, sequence int, moment bigint, entity string"
 
     def without_history(self, rows):
         return rows[[*PASSED, "repeated", "sequence", "moment", "entity"]]
